@@ -69,8 +69,7 @@ def findings_per_file(files: DataFrame, findings: DataFrame) -> DataFrame:
     """Findings, files and their ratio, null without files."""
     n_files = files.agg(F.count("*").alias("n_files"))
     n_findings = findings.agg(F.count("*").alias("n_findings"))
-    # two one-row results side by side
-    return n_files.join(n_findings, F.lit(True)).withColumn(
+    return n_files.withColumn("n_findings", n_findings.scalar()).withColumn(
         "findings_per_file", F.try_divide(F.col("n_findings"), F.col("n_files"))
     )
 
@@ -188,8 +187,9 @@ def urgent_findings(findings: DataFrame, n: int = 5) -> DataFrame:
     rest = urgent.agg(F.greatest(F.count("*") - n, F.lit(0)).alias("remaining"))
     first = urgent.orderBy(*order).limit(n)
     return first.select(
-        "id", "rule_id", "severity", F.col(PATH).alias("path"), F.col("location.line_start").alias("line_start")
-    ).join(rest, F.lit(True))
+        "id", "rule_id", "severity", F.col(PATH).alias("path"), F.col("location.line_start").alias("line_start"),
+        rest.scalar().alias("remaining"),
+    )
 
 
 def scan_metadata(
