@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -58,3 +59,13 @@ def any_of(tests: Sequence[Column]) -> Column:
     for test in tests[1:]:
         out = out | test
     return out
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for intermediate files: below the shared checkpoint folder, or a temporary one on a single machine."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if shared:
+        return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    return tempfile.mkdtemp(prefix=f"vigilake-{name}-") + "/data"
