@@ -50,7 +50,9 @@ def doc_files(s: SparkSession, d: str, seed: Sequence[str] = (), ext: str = ".tx
 
 
 def page_files(s: SparkSession, d: str, seed: Sequence[str] = ()) -> DataFrame:
-    path = F.concat(F.regexp_replace(F.regexp_replace("url", "^https?://", ""), r"\?.*$", ""), F.lit(".html"))
+    path = F.concat(
+        F.regexp_replace(F.regexp_replace(F.regexp_replace("url", "^https?://", ""), r"\?.*$", ""), "/$", "/index"), F.lit(".html")
+    )
     return files_from_table(pages(s, d), path=path, text=seeded(seed, "html", "page_id", "url"), repo=F.lit("web"), keep=("page_id",))
 
 
@@ -99,7 +101,7 @@ def doc_files_sql(seed: Sequence[str] = (), ext: str = ".txt") -> str:
     )
 
 
-PAGE_PATH = "regexp_replace(regexp_replace(url, '^https?://', ''), '\\?.*$', '') || '.html'"
+PAGE_PATH = "regexp_replace(regexp_replace(regexp_replace(url, '^https?://', ''), '\\?.*$', ''), '/$', '/index') || '.html'"
 
 
 def page_files_sql(seed: Sequence[str] = ()) -> str:
