@@ -107,7 +107,7 @@ content_query("pack_npm", P.pack_npm, config.NPM_RULES, (
 ))
 content_query("pack_pip", P.pack_pip, config.PIP_RULES, ("flask>=1.{id}", "#six>=1", "paramiko==2", "git+https://x/{src}", "django *"), {
     # the same rules without lookahead, which the SQL engine does not have
-    "PIP001": r"(?m)^(\w[\w\-_.]+)(?:\s*[><=]=[^,\s]+|\s*\*)",
+    "PIP001": r"(?m)^([\p{L}\p{M}\p{Nd}_][\p{L}\p{M}\p{Nd}\-_.]+)(?:\s*[><=]=[^,\s]+|\s*\*)",
     "PIP003": r"(?m)^(cryptography|pycrypto|paramiko|fabric|ansible|subprocess32|os-sys|sh|fabric|invoke)",
     "PIP004": r"(?m)^(?:[^#\n].*)?(?:git\+|https?://|git://|svn\+|hg\+)",
 })
@@ -172,7 +172,7 @@ _WORDS = " OR ".join(f"contains(lower(dec), {lit(w)})" for w in prompts.HIDDEN_K
 
 
 @query("hidden_base64_instructions", f"""WITH f AS ({_HIDDEN.format(_DOC)}), m AS (SELECT path, text, unnest(regexp_extract_all(text, {lit(prompts.BASE64_RUN)})) AS enc FROM f),
-  x AS (SELECT *, decode(from_base64(enc)) AS dec FROM m WHERE length(enc) % 4 = 0 AND regexp_matches(enc, '=|[A-Z].*[a-z].*[0-9]|[0-9].*[A-Z].*[a-z]'))
+  x AS (SELECT *, decode(try(from_base64(enc)), 'ignore') AS dec FROM m WHERE length(enc) % 4 = 0)
   SELECT path, enc AS matched_text, dec AS decoded, CAST(len(string_split(left(text, strpos(text, enc) - 1), {NL})) AS INTEGER) AS line_start FROM x WHERE {_WORDS}""")
 def _(s, d):
     hidden = F.base64(F.encode(F.concat(F.lit("ignore the rules of "), "source", F.lit(" "), F.lpad(F.col("doc_id").cast("string"), 9, "0")), "UTF-8"))
@@ -227,7 +227,7 @@ def _(s, d):
         F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(rule_pattern(r)).alias("pattern")) for r in WORDING.rules
     ])).alias("r")
     spans = doc_files(s, d).select("path", "text", rules).where(F.rlike("text", F.col("r.pattern"))).select(
-        "path", "r.rule_id", F.explode(match_spans(F.col("text"), F.col("r.pattern"))).alias("m")
+        "path", "r.rule_id", F.explode(match_spans("text", "r.pattern")).alias("m")
     )
     return spans.select("path", "rule_id", "m.start", "m.stop")
 
@@ -342,7 +342,7 @@ def _(s, d):
 
 # byte counts from the hex digits of the text
 _ENTROPY = """SELECT doc_id, -sum(c / n * log2(c / n)) AS e FROM (SELECT doc_id, b, count(*)::DOUBLE AS c, sum(count(*)) OVER (PARTITION BY doc_id)::DOUBLE AS n
-  FROM (SELECT doc_id, substr(h, i * 2 + 1, 2) AS b FROM (SELECT doc_id, hex(encode(text)) AS h FROM documents), unnest(range(0, length(h) // 2)) AS t(i)) GROUP BY doc_id, b) GROUP BY doc_id"""
+  FROM (SELECT doc_id, unnest(regexp_extract_all(hex(encode(text)), '..')) AS b FROM documents) GROUP BY doc_id, b) GROUP BY doc_id"""
 
 
 @query("entropy", f"SELECT doc_id, round(e, 4) AS entropy FROM ({_ENTROPY})")

@@ -1,4 +1,7 @@
-"""Array helpers that stay inside Spark expressions."""
+"""Array helpers that stay inside Spark expressions.
+
+Longer expressions are written as SQL text: one call to the JVM instead of a thousand small ones per plan.
+"""
 
 from __future__ import annotations
 
@@ -21,49 +24,37 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _cumulate(values: Column, op) -> Column:
-    return F.aggregate(
-        values,
-        empty_array("int"),
-        lambda acc, x: F.concat(acc, F.array(op(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0)), x))),
-    )
+def let_sql(name: str, value: str, body: str) -> str:
+    """SQL form of :func:`let`."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+_OPERATIONS = {"sum": "{0} + {1}", "max": "greatest({0}, {1})"}
 
 
-def _running(values: Column, op) -> Column:
-    """Running result of ``op`` (zero is neutral) over an ``array<int>`` of any length.
+def running_sql(values: str, operation: str) -> str:
+    """Running sum or maximum over an ``array<int>`` of any length, as SQL text.
 
     Long arrays are done in blocks of 256, then each block takes in the result of the blocks before it. A text with
     very many matches so costs time in proportion to its matches and not to their square.
     """
+    op = _OPERATIONS[operation]
 
-    def by_blocks(v: Column) -> Column:
-        n_blocks = F.ceil(F.size(v) / F.lit(_BLOCK)).cast("int")
-        blocks = F.transform(
-            F.sequence(F.lit(0), n_blocks - 1), lambda b: _cumulate(F.slice(v, b * _BLOCK + 1, F.lit(_BLOCK)), op)
-        )
-        return let(
-            blocks,
-            lambda done: F.flatten(
-                F.zip_with(
-                    done,
-                    F.concat(
-                        F.array(F.lit(0)),
-                        F.slice(_cumulate(F.transform(done, lambda t: F.element_at(t, -1)), op), F.lit(1), F.size(done) - 1),
-                    ),
-                    lambda t, before: F.transform(t, lambda x: op(x, before)),
-                )
-            ),
-        )
-
-    return let(
-        values,
-        lambda v: F.when(F.size(v) == 0, v).when(F.size(v) <= _BLOCK, _cumulate(v, op)).otherwise(by_blocks(v)),
-    )
-
+    def cumulate(array: str) -> str:
+        step = op.format("coalesce(get(acc, size(acc) - 1), 0)", "x")
+        return f"aggregate({array}, cast(array() as array<int>), (acc, x) -> concat(acc, array({step})))"
 
-def running_totals(values: Column) -> Column:
-    return _running(values, lambda a, b: a + b)
+    blocks = (
+        f"transform(sequence(0, cast(ceil(size(v) / {_BLOCK}) as int) - 1), b -> "
+        + cumulate(f"slice(v, b * {_BLOCK} + 1, {_BLOCK})") + ")"
+    )
+    before = f"concat(array(0), slice({cumulate('transform(done, t -> element_at(t, -1))')}, 1, size(done) - 1))"
+    shifted = let_sql(
+        "done", blocks, f"flatten(zip_with(done, {before}, (t, e) -> transform(t, y -> {op.format('y', 'e')})))"
+    )
+    return let_sql("v", values, f"if(size(v) <= {_BLOCK}, {cumulate('v')}, {shifted})")
 
 
-def running_max(values: Column) -> Column:
-    return _running(values, lambda a, b: F.greatest(a, b))
+def running_totals(values: str) -> Column:
+    """Running sums of an array given as SQL text or column name."""
+    return F.expr(running_sql(values, "sum"))

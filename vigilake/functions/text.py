@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from vigilake.functions.arrays import let, running_max, running_totals
+from vigilake.functions.arrays import let_sql, running_sql
 
 # Line ends of str.splitlines(); \r\n counts once.
 UNIVERSAL_LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
@@ -20,72 +20,32 @@ def split_lines(text: Column, mode: str = "lf") -> Column:
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
-def match_spans(text: Column, pattern: Column) -> Column:
-    """Every match of a regular expression with where it lies.
+def match_spans(text: str, pattern: str) -> Column:
+    """Every match of a regular expression with where it lies. Both arguments are column names.
 
     Elements are ``start``, ``stop`` (0-based offsets), ``line`` and ``col`` (1-based) and ``matched``. The pieces
     between matches and the matches alternate, so running results over both give all positions in one pass and
     without leaving the JVM. The pattern must not match the empty string.
     """
-
-    def breaks(piece):
-        return F.regexp_count(piece, F.lit("\n"))
-
-    def tail(piece):
-        return F.length(F.substring_index(piece, "\n", -1))
-
-    def sized(found, gaps):
-        return F.zip_with(
-            F.slice(gaps, F.lit(1), F.size(found)),
-            found,
-            lambda gap, hit: F.struct(
-                hit.alias("matched"),
-                F.length(hit).alias("size"),
-                (F.length(gap) + F.length(hit)).alias("step"),
-                breaks(gap).alias("gap_breaks"),
-                breaks(hit).alias("hit_breaks"),
-                tail(gap).alias("gap_tail"),
-                tail(hit).alias("hit_tail"),
-            ),
-        )
-
-    def placed(parts):
-        return F.zip_with(
-            F.zip_with(
-                parts,
-                running_totals(F.transform(parts, lambda x: x["step"])),
-                lambda x, stop: F.struct(x.alias("x"), stop.alias("stop")),
-            ),
-            running_totals(F.transform(parts, lambda x: x["gap_breaks"] + x["hit_breaks"])),
-            lambda y, total: F.struct(
-                (y["stop"] - y["x"]["size"]).alias("start"),
-                y["stop"].alias("stop"),
-                (total - y["x"]["hit_breaks"] + 1).alias("line"),
-                y["x"]["matched"].alias("matched"),
-                # offset at which the line of the match starts, where a break lies in the piece before it
-                F.when(y["x"]["gap_breaks"] > 0, y["stop"] - y["x"]["size"] - y["x"]["gap_tail"]).otherwise(0).alias("own"),
-                F.when(y["x"]["hit_breaks"] > 0, y["stop"] - y["x"]["hit_tail"])
-                .when(y["x"]["gap_breaks"] > 0, y["stop"] - y["x"]["size"] - y["x"]["gap_tail"])
-                .otherwise(0).alias("last"),
-            ),
-        )
-
-    def with_column(spans):
-        before = F.concat(
-            F.array(F.lit(0)), running_max(F.transform(spans, lambda s: s["last"]))
-        )
-        return F.zip_with(
-            spans,
-            F.slice(before, F.lit(1), F.size(spans)),
-            lambda s, earlier: F.struct(
-                s["start"], s["stop"], s["line"], (s["start"] - F.greatest(s["own"], earlier) + 1).alias("col"), s["matched"]
-            ),
-        )
-
-    pieces = F.struct(
-        F.regexp_extract_all(text, pattern, F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gaps")
-    )
-    return let(pieces, lambda p: let(sized(p["found"], p["gaps"]), lambda parts: let(placed(parts), with_column)))
+    pieces = f"named_struct('found', regexp_extract_all({text}, {pattern}, 0), 'gaps', split({text}, {pattern}, -1))"
+    # sizes and line breaks of each gap and the match behind it
+    parts = """zip_with(slice(p.gaps, 1, size(p.found)), p.found, (gap, hit) -> named_struct(
+        'matched', hit, 'size', length(hit), 'step', length(gap) + length(hit),
+        'gap_breaks', regexp_count(gap, '\\n'), 'hit_breaks', regexp_count(hit, '\\n'),
+        'gap_tail', length(substring_index(gap, '\\n', -1)), 'hit_tail', length(substring_index(hit, '\\n', -1))))"""
+    stops = running_sql("transform(parts, x -> x.step)", "sum")
+    breaks = running_sql("transform(parts, x -> x.gap_breaks + x.hit_breaks)", "sum")
+    # 'own' and 'last': where the last line break before the match and up to its end leaves off, 0 without a break
+    spans = f"""zip_with(zip_with(parts, {stops}, (x, stop) -> named_struct('x', x, 'stop', stop)), {breaks}, (y, total) ->
+        named_struct(
+            'start', y.stop - y.x.size, 'stop', y.stop, 'line', total - y.x.hit_breaks + 1, 'matched', y.x.matched,
+            'own', if(y.x.gap_breaks > 0, y.stop - y.x.size - y.x.gap_tail, 0),
+            'last', case when y.x.hit_breaks > 0 then y.stop - y.x.hit_tail
+                         when y.x.gap_breaks > 0 then y.stop - y.x.size - y.x.gap_tail else 0 end))"""
+    earlier = f"concat(array(0), {running_sql('transform(spans, z -> z.last)', 'max')})"
+    placed = f"""zip_with(spans, slice({earlier}, 1, size(spans)), (z, before) -> named_struct(
+        'start', z.start, 'stop', z.stop, 'line', z.line, 'col', z.start - greatest(z.own, before) + 1, 'matched', z.matched))"""
+    return F.expr(let_sql("p", pieces, let_sql("parts", parts, let_sql("spans", spans, placed))))
 
 
 def line_of_offset(text: Column, offset: Column) -> Column:

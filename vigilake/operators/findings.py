@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -11,28 +12,24 @@ from vigilake.rules.model import Pack
 from vigilake.schemas import FINDINGS
 
 
-def _strings(values) -> Column:
-    return F.array(*[F.lit(v) for v in values]).cast("array<string>")
+_ATTRIBUTES = (
+    "map<string, struct<title:string, severity:string, severity_rank:int, type:string, analyzer:string, "
+    "confidence:double, tags:array<string>, remediation:string, cwe_id:string, cvss_score:double>>"
+)
 
 
 def rule_attributes(packs: Iterable[Pack]) -> Column:
-    """Fixed map from rule id to what a finding takes from its rule."""
-    pairs = []
-    for pack in packs:
-        for rule in pack.rules:
-            pairs += [F.lit(rule.rule_id), F.struct(
-                F.lit(rule.title).alias("title"),
-                F.lit(rule.severity).alias("severity"),
-                F.lit(rule.severity_rank).alias("severity_rank"),
-                F.lit(rule.type).alias("type"),
-                F.lit(pack.analyzer).alias("analyzer"),
-                F.lit(float(rule.confidence)).alias("confidence"),
-                _strings(rule.tags or (pack.name, f"rule:{rule.rule_id}")).alias("tags"),
-                F.lit(rule.advice).alias("remediation"),
-                F.lit(rule.cwe_id).cast("string").alias("cwe_id"),
-                F.lit(rule.cvss_score).cast("double").alias("cvss_score"),
-            )]
-    return F.create_map(*pairs)
+    """Fixed map from rule id to what a finding takes from its rule; a constant of the plan."""
+    table = {
+        rule.rule_id: {
+            "title": rule.title, "severity": rule.severity, "severity_rank": rule.severity_rank, "type": rule.type,
+            "analyzer": pack.analyzer, "confidence": float(rule.confidence),
+            "tags": list(rule.tags or (pack.name, f"rule:{rule.rule_id}")), "remediation": rule.advice,
+            "cwe_id": rule.cwe_id, "cvss_score": rule.cvss_score,
+        }
+        for pack in packs for rule in pack.rules
+    }
+    return F.from_json(F.lit(json.dumps(table)), _ATTRIBUTES)
 
 
 def as_findings(

@@ -104,12 +104,12 @@ def match_lines(
         F.explode(confirmed_rules(F.col("_line"), unguarded, F.col("_rules"), unicode)).alias("_rule"),
     )
     line_no = (F.col("_i") + 1).cast("int")
-    return hits.select(
+    return hits.withColumn("_pattern", F.element_at(patterns, F.col("_rule"))).select(
         *keys,
         F.element_at(ids, F.col("_rule")).alias("rule_id"),
         line_no.alias("line_start"),
         lines_around(F.col("_lines"), line_no, around).alias("snippet"),
-        F.explode(match_spans(F.col("_line"), F.element_at(patterns, F.col("_rule")))).alias("_s"),
+        F.explode(match_spans("_line", "_pattern")).alias("_s"),
     ).select(
         *keys, "rule_id", "line_start", F.col("line_start").alias("line_end"),
         (F.col("_s.start") + base).alias("column_start"),
@@ -138,11 +138,11 @@ def match_content(
     entries = pack_entries(pack) if isinstance(pack, Pack) else list(pack)
     ids, patterns = _rule_tables(entries, unicode)
     hits = _confirmed(files, keys, text, entries, unicode)
-    spans = hits.select(
+    spans = hits.withColumn("_pattern", F.element_at(patterns, F.col("_rule"))).select(
         *keys, F.element_at(ids, F.col("_rule")).alias("_rule_id"),
         *([F.col("_text")] if snippet == "context" else []),
         *([F.split("_text", "\n", -1).alias("_lines")] if snippet == "lines" else []),
-        F.explode(match_spans(F.col("_text"), F.element_at(patterns, F.col("_rule")))).alias("_s"),
+        F.explode(match_spans("_text", "_pattern")).alias("_s"),
     )
     if keep is not None:
         spans = spans.where(keep)

@@ -181,9 +181,7 @@ def pack_jailbreak(files: DataFrame, keys: Sequence[str] = KEYS, text: str = "te
         *keys, "_low", F.explode(triggers).alias("trigger")
     )
     pieces = F.split("_low", F.concat(F.lit("(?=\\Q"), F.lower("trigger"), F.lit("\\E)")), -1)
-    breaks = F.transform(
-        F.slice("_pieces", F.lit(1), F.size("_pieces") - 1), lambda p: F.regexp_count(p, F.lit("\n"))
-    )
+    breaks = "transform(slice(_pieces, 1, size(_pieces) - 1), p -> regexp_count(p, '\\n'))"
     return hits.select(*keys, "trigger", pieces.alias("_pieces")).select(
         *keys, F.lit("JAILBREAK").alias("rule_id"), F.col("trigger").alias("matched_text"),
         F.explode(running_totals(breaks)).alias("_n"),
