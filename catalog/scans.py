@@ -86,9 +86,15 @@ def _case(mapping, default, column="event_type"):
     return f"CASE {column} " + " ".join(f"WHEN {lit(k)} THEN {v if not isinstance(v, str) else lit(v)}" for k, v in mapping.items()) + f" ELSE {default if not isinstance(default, str) else lit(default)} END"
 
 
-_LEVEL = F.when(F.col("event_type") == "error", "HIGH").when(F.col("event_type") == "click", "LOW").otherwise("odd")
-_SPARK_TEXT = F.when(F.col("event_type") == "error", "Possible backdoor found").when(
-    F.col("event_type") == "purchase", "config value missing").otherwise("plain message")
+def _level():
+    return F.when(F.col("event_type") == "error", "HIGH").when(F.col("event_type") == "click", "LOW").otherwise("odd")
+
+
+def _message():
+    return F.when(F.col("event_type") == "error", "Possible backdoor found").when(
+        F.col("event_type") == "purchase", "config value missing").otherwise("plain message")
+
+
 _EVENTS = "SELECT 'event/' || event_id AS path, CAST(event_id AS INTEGER) AS line_start, event_type FROM events"
 FINDING = ("path", "rule_id", "severity", "type", "confidence", "line_start", "analyzer")
 
@@ -105,8 +111,8 @@ def _shape(df):
   'bandit' AS analyzer FROM ({_EVENTS})""")
 def _(s, d):
     report = F.to_json(F.struct(F.array(F.struct(
-        F.lit("B101").alias("test_id"), _LEVEL.alias("issue_severity"), _LEVEL.alias("issue_confidence"),
-        _SPARK_TEXT.alias("issue_text"), F.col("event_id").alias("line_number"),
+        F.lit("B101").alias("test_id"), _level().alias("issue_severity"), _level().alias("issue_confidence"),
+        _message().alias("issue_text"), F.col("event_id").alias("line_number"),
     )).alias("results")))
     return _shape(TR.ingest_bandit(_reports(s, d, report)))
 
@@ -118,7 +124,7 @@ def _(s, d):
     level = F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "click", "WARNING").otherwise("INFO")
     report = F.to_json(F.struct(F.array(F.struct(
         F.lit("a/b").alias("check_id"), F.struct(F.col("event_id").alias("line"), F.lit(1).alias("col")).alias("start"),
-        F.struct(level.alias("severity"), _SPARK_TEXT.alias("message"), F.struct(F.array(F.lit(79)).alias("cwe")).alias("metadata")).alias("extra"),
+        F.struct(level.alias("severity"), _message().alias("message"), F.struct(F.array(F.lit(79)).alias("cwe")).alias("metadata")).alias("extra"),
     )).alias("results")))
     return _shape(TR.ingest_semgrep(_reports(s, d, report)))
 
@@ -129,7 +135,7 @@ def _(s, d):
 def _(s, d):
     level = F.when(F.col("event_type") == "error", "style").when(F.col("event_type") == "click", "warning").otherwise("info")
     report = F.to_json(F.array(F.struct(
-        level.alias("level"), F.lit(2086).alias("code"), _SPARK_TEXT.alias("message"), F.col("event_id").alias("line"), F.lit(1).alias("column"),
+        level.alias("level"), F.lit(2086).alias("code"), _message().alias("message"), F.col("event_id").alias("line"), F.lit(1).alias("column"),
     )))
     return _shape(TR.ingest_shellcheck(_reports(s, d, report)))
 
