@@ -12,7 +12,7 @@ from functools import lru_cache, reduce
 from operator import and_, or_
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from vigilake.functions.arrays import let
 from vigilake.rules.model import Rule
@@ -85,7 +85,7 @@ def _sequence_need(nodes: list) -> Need:
         run = ""
 
     for op, arg in nodes:
-        if op is _c.LITERAL:
+        if op is _c.LITERAL and not chr(arg).splitlines() == [""]:
             run += chr(arg)
             continue
         if op is _c.BRANCH:
@@ -114,28 +114,74 @@ _FOLDED_LETTERS = ("\u0130", "\u0131", "\u017f")
 _FOLD_TABLE = {0x0130: "i", 0x0131: "i", 0x017F: "s"}
 
 
-def literals_of(need: Need) -> set[str]:
-    if need is None:
-        return set()
-    return {need} if isinstance(need, str) else set().union(*(literals_of(x) for x in need[1]))
+@lru_cache(maxsize=None)
+def stays_on_line(rule: Rule) -> bool:
+    """True if no match of a rule can hold or see a line feed, so that matching line by line gives the same result."""
+    flags = sum({"i": re.I, "m": re.M, "s": re.S}[f] for f in set(rule.flags))
+    return _avoids_break(list(_parser.parse(_python_escapes(rule.pattern), flags)), "s" in rule.flags, "m" in rule.flags)
+
+
+def _avoids_break(nodes: list, dotall: bool, multiline: bool) -> bool:
+    for op, arg in nodes:
+        if op is _c.LITERAL:
+            ok = arg != 10
+        elif op is _c.NOT_LITERAL:
+            ok = arg == 10
+        elif op is _c.ANY:
+            ok = not dotall
+        elif op is _c.IN:
+            # NEGATE comes first; a set without it is safe unless it names the line feed or a class that holds it
+            ok = arg[0][0] is not _c.NEGATE and all(
+                (o is _c.LITERAL and a != 10) or (o is _c.RANGE and not a[0] <= 10 <= a[1])
+                or (o is _c.CATEGORY and a in (_c.CATEGORY_DIGIT, _c.CATEGORY_WORD))
+                for o, a in arg
+            )
+        elif op is _c.BRANCH:
+            ok = all(_avoids_break(list(option), dotall, multiline) for option in arg[1])
+        elif op is _c.SUBPATTERN:
+            ok = not arg[1] and not arg[2] and _avoids_break(list(arg[-1]), dotall, multiline)
+        elif op in (_c.MAX_REPEAT, _c.MIN_REPEAT):
+            ok = _avoids_break(list(arg[2]), dotall, multiline)
+        elif op is _c.AT:
+            ok = arg in (_c.AT_BOUNDARY, _c.AT_NON_BOUNDARY) or (multiline and arg in (_c.AT_BEGINNING, _c.AT_END))
+        elif op in (_c.ASSERT, _c.ASSERT_NOT):
+            ok = _avoids_break(list(arg[1]), dotall, multiline)
+        else:
+            ok = False
+        if not ok:
+            return False
+    return True
 
 
 def ignores_case(rule: Rule) -> bool:
     return "i" in rule.flags or "(?i)" in rule.pattern
 
 
+def literals_of(need: Need) -> set[str]:
+    if need is None:
+        return set()
+    return {need} if isinstance(need, str) else set().union(*(literals_of(x) for x in need[1]))
+
+
 # Above this many literals one pass of a multi-string search in Arrow batches beats one contains() per literal
 # (measured on 25 MB of text and 8 cores: 154 literals take 2.5 s with contains(), 2.1 s as one folded regular
 # expression and 0.6 s in Arrow batches).
 _CONTAINS_LIMIT = 40
+PLACES = T.ArrayType(T.StructType([T.StructField("line", T.IntegerType()), T.StructField("rule", T.IntegerType())]))
+
+
+def rule_literals(rules: list[Rule]) -> set[str]:
+    return set().union(*(literals_of(_lower(need)) for need in (needed_literals(r.pattern, r.flags) for r in rules) if need))
+
 
+def places_to_try(text: str, lines: str, rules: list[Rule], by_line: list[bool], unicode: bool, searched: str | None) -> Column:
+    """Where rules have to be tried: an array of (line, rule), line 0 for the whole text.
 
-def candidate_rules(text: Column, rules: list[Rule]) -> Column:
-    """1-based numbers of the rules whose needed literals occur in a text; rules without literals are always named."""
+    ``text``, ``lines`` and ``searched`` are column names. ``searched`` holds what :func:`search_udf` found; without
+    it the literals are looked for with contains(). Rules without literals are tried on the whole text first, with
+    ``^`` and ``$`` at line ends: a match inside a line is a match there too.
+    """
     needs = [needed_literals(rule.pattern, rule.flags) for rule in rules]
-    literals = set().union(*(literals_of(_lower(need)) for need in needs if need))
-    if len(literals) > _CONTAINS_LIMIT:
-        return _search_udf([_lower(need) if need else None for need in needs])(text)
 
     def holds(need: Need, column: Column) -> Column:
         if isinstance(need, str):
@@ -145,27 +191,45 @@ def candidate_rules(text: Column, rules: list[Rule]) -> Column:
     def numbers(v: Column) -> Column:
         out = []
         for number, (rule, need) in enumerate(zip(rules, needs), 1):
-            if need is None:
+            if need is None and by_line[number - 1]:
+                out.append(F.when(F.rlike(text, F.lit("(?m)" + rule_pattern(rule, unicode))), F.lit(number)))
+            elif need is None:
                 out.append(F.lit(number))
-            elif ignores_case(rule):
+            elif searched is None and ignores_case(rule):
                 out.append(F.when(holds(need, v["lowered"]) | v["folded"], F.lit(number)))
-            else:
-                out.append(F.when(holds(need, text), F.lit(number)))
-        return F.array_compact(F.array(*out))
-
-    folded = reduce(or_, [text.contains(x) for x in _FOLDED_LETTERS])
-    return let(F.struct(F.lower(text).alias("lowered"), folded.alias("folded")), numbers)
+            elif searched is None:
+                out.append(F.when(holds(need, F.col(text)), F.lit(number)))
+        return F.array_compact(F.array(*out)) if out else F.array().cast("array<int>")
 
-
-def _search_udf(needs: list):
-    """Arrow UDF that looks for all literals in one pass and settles the and/or trees of the rules."""
-    always = [n for n, need in enumerate(needs, 1) if need is None]
+    if searched is None:
+        folded = reduce(or_, [F.col(text).contains(x) for x in _FOLDED_LETTERS])
+        found = let(F.struct(F.lower(text).alias("lowered"), folded.alias("folded")), numbers)
+    else:
+        found = numbers(None)
+    line_rules = F.array(*[F.lit(n) for n, flag in enumerate(by_line, 1) if flag]).cast("array<int>")
+    own = F.expr(f"size({lines})")
+    places = F.flatten(F.transform(
+        found,
+        lambda n: F.when(
+            F.array_contains(line_rules, n),
+            F.transform(F.sequence(F.lit(1), own), lambda i: F.struct(i.cast("int").alias("line"), n.cast("int").alias("rule"))),
+        ).otherwise(F.array(F.struct(F.lit(0).alias("line"), n.cast("int").alias("rule")))),
+    ))
+    return places if searched is None else F.concat(F.col(searched), places)
+
+
+def search_udf(rules: list[Rule], by_line: list[bool], universal: bool):
+    """Arrow UDF that looks for the literals of all rules in one pass and settles their and/or trees.
+
+    Gives (line, rule) where a rule may match: line by line for rules that match inside lines, else line 0.
+    """
+    needs = [_lower(need) if need else None for need in (needed_literals(r.pattern, r.flags) for r in rules)]
     owners: dict[str, list[int]] = {}
     for n, need in enumerate(needs, 1):
         for literal in sorted(literals_of(need)):
             owners.setdefault(literal, []).append(n)
 
-    def candidates(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         find = _literal_finder(list(owners))
 
         def settled(need, found) -> bool:
@@ -175,16 +239,27 @@ def _search_udf(needs: list):
 
         def one(value):
             if value is None:
-                return None
-            found = find(_fold(value))
-            numbers = {n for literal in found for n in owners[literal]}
-            return sorted(always + [n for n in numbers if settled(needs[n - 1], found)])
+                return []
+            value = _fold(value)
+            places, everywhere = [], set()
+            for i, line in enumerate(value.splitlines() if universal else value.split("\n"), 1):
+                found = find(line)
+                if found:
+                    everywhere |= found
+                    numbers = {n for literal in found for n in owners[literal] if by_line[n - 1]}
+                    places += [{"line": i, "rule": n} for n in sorted(numbers) if settled(needs[n - 1], found)]
+            numbers = {n for literal in everywhere for n in owners[literal] if not by_line[n - 1]}
+            return places + [{"line": 0, "rule": n} for n in sorted(numbers) if settled(needs[n - 1], everywhere)]
 
         for texts in batches:
             yield texts.map(one)
 
     # not deterministic only in name: it keeps the optimizer from copying the call into pushed-down filters
-    return F.pandas_udf(candidates, "array<int>").asNondeterministic()
+    return F.pandas_udf(search, PLACES).asNondeterministic()
+
+
+def needs_search(rules: list[Rule]) -> bool:
+    return len(rule_literals(rules)) > _CONTAINS_LIMIT
 
 
 def _fold(value: str) -> str:
@@ -205,29 +280,11 @@ def _literal_finder(literals: list[str]):
     return lambda value: {x for _, x in automaton.iter(value)}
 
 
-def confirmed_rules(text: Column, entries, candidates: Column, unicode: bool = True) -> Column:
-    """Numbers of the candidate rules that match; a guard column must hold as well."""
-    out = []
-    for number, (rule, guard) in enumerate(entries, 1):
-        test = F.array_contains(candidates, F.lit(number))
-        if guard is not None:
-            test = test & guard
-        out.append(F.when(test & F.rlike(text, F.lit(rule_pattern(rule, unicode))), F.lit(number)))
-    return F.array_compact(F.array(*out))
-
-
-def rules_worth_lines(text: Column, entries, candidates: Column, unicode: bool = True) -> Column:
-    """Numbers of the rules that may match some line of a text.
-
-    Literals decide where a rule has them. The others are tried on the whole text, with ``^`` and ``$`` at line ends:
-    a match inside a line is a match there too.
-    """
-    out = []
-    for number, (rule, guard) in enumerate(entries, 1):
-        test = F.array_contains(candidates, F.lit(number))
-        if guard is not None:
-            test = test & guard
-        if needed_literals(rule.pattern, rule.flags) is None:
-            test = test & F.rlike(text, F.lit("(?m)" + rule_pattern(rule, unicode)))
-        out.append(F.when(test, F.lit(number)))
-    return F.array_compact(F.array(*out))
+def extracted(subject: str, rule_number: str, rules: list[Rule], unicode: bool = True) -> Column:
+    """Matches of the rule with the given number, by one literal pattern per rule."""
+    out = F.when(F.col(rule_number) == 1, F.regexp_extract_all(subject, F.lit(rule_pattern(rules[0], unicode)), F.lit(0)))
+    for number, rule in enumerate(rules[1:], 2):
+        out = out.when(
+            F.col(rule_number) == number, F.regexp_extract_all(subject, F.lit(rule_pattern(rule, unicode)), F.lit(0))
+        )
+    return out

@@ -20,14 +20,17 @@ def split_lines(text: Column, mode: str = "lf") -> Column:
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
-def match_spans(text: str, pattern: str) -> Column:
-    """Every match of a regular expression with where it lies. Both arguments are column names.
+def match_spans(text: str, pattern: str, found: str | None = None) -> Column:
+    """Every match of a regular expression with where it lies. Arguments are column names.
+
+    ``found`` names a column with the matches where they are known already.
 
     Elements are ``start``, ``stop`` (0-based offsets), ``line`` and ``col`` (1-based) and ``matched``. The pieces
     between matches and the matches alternate, so running results over both give all positions in one pass and
     without leaving the JVM. The pattern must not match the empty string.
     """
-    pieces = f"named_struct('found', regexp_extract_all({text}, {pattern}, 0), 'gaps', split({text}, {pattern}, -1))"
+    hits = found or f"regexp_extract_all({text}, {pattern}, 0)"
+    pieces = f"named_struct('found', {hits}, 'gaps', split({text}, {pattern}, -1))"
     # sizes and line breaks of each gap and the match behind it
     parts = """zip_with(slice(p.gaps, 1, size(p.found)), p.found, (gap, hit) -> named_struct(
         'matched', hit, 'size', length(hit), 'step', length(gap) + length(hit),

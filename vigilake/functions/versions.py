@@ -11,6 +11,13 @@ def version_key(version: Column) -> Column:
     return F.when(F.forall(parts, lambda x: F.trim(x).rlike(r"^[0-9]{1,18}$")), numbers)
 
 
+def ordering_key(version: Column) -> Column:
+    """Version key without trailing zeros: such keys sort and compare as arrays just like the padded versions."""
+    key = version_key(version)
+    zeros = F.aggregate(key, F.lit(0), lambda n, x: F.when(x == 0, n + 1).otherwise(0))
+    return F.slice(key, F.lit(1), F.size(key) - zeros)
+
+
 def _padded(key: Column, size: Column) -> Column:
     return F.concat(key, F.array_repeat(F.lit(0).cast("bigint"), F.greatest(size - F.size(key), F.lit(0))))
 

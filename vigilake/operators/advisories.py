@@ -8,7 +8,7 @@ from vigilake.functions.scalars import (
     cvss_to_severity, ecosystem_osv, finding_id, parse_osv_time, purl, severity_rank, strip_range_signs,
     vulnerability_description,
 )
-from vigilake.functions.versions import compare_versions, version_lt
+from vigilake.functions.versions import ordering_key, version_lt
 from vigilake.operators.findings import with_finding_defaults
 from vigilake.operators.packages import distinct_packages
 from vigilake.rules.config import KNOWN_VULNERABLE
@@ -60,22 +60,21 @@ def load_advisories(raw: DataFrame, column: str = "value") -> DataFrame:
     )
 
 
-def _zero(version: Column) -> Column:
-    return (version == "0") | version.isNull()
+def _at_least(version: Column, bound: Column, key: Column, bound_key: Column) -> Column:
+    """version >= bound, by precomputed keys where both are numeric, else as text."""
+    return F.when(key.isNotNull() & bound_key.isNotNull(), key >= bound_key).otherwise(version >= bound)
 
 
-def in_interval(version: Column, introduced: Column, fixed: Column) -> Column:
-    """introduced <= version < fixed, with an open end where a bound is missing."""
-    low = _zero(introduced) | (compare_versions(version, introduced) >= 0)
-    high = fixed.isNull() | (compare_versions(version, fixed) < 0)
-    return low & high
+def in_interval(v: Column, low: Column, high: Column, kv: Column, klow: Column, khigh: Column) -> Column:
+    """low <= version < high, with an open end where a bound is missing or zero."""
+    above = low.isNull() | (low == "0") | _at_least(v, low, kv, klow)
+    return above & (high.isNull() | ~_at_least(v, high, kv, khigh))
 
 
-def in_any_bound(version: Column, introduced: Column, fixed: Column) -> Column:
+def in_any_bound(v: Column, low: Column, high: Column, kv: Column, klow: Column, khigh: Column) -> Column:
     """True if either bound holds on its own."""
-    low = introduced.isNotNull() & (compare_versions(version, introduced) >= 0)
-    high = fixed.isNotNull() & (compare_versions(version, fixed) < 0)
-    return low | high
+    above = low.isNotNull() & _at_least(v, low, kv, klow)
+    return above | (high.isNotNull() & ~_at_least(v, high, kv, khigh))
 
 
 def join_advisories(packages: DataFrame, advisories: DataFrame, mode: str = "interval", salts: int = 16) -> DataFrame:
@@ -86,14 +85,18 @@ def join_advisories(packages: DataFrame, advisories: DataFrame, mode: str = "int
     two bounds of an interval as alternatives.
     """
     test = {"interval": in_interval, "any": in_any_bound}[mode]
-    versions = packages.select("ecosystem", "name", "version").distinct().withColumn("_eco", ecosystem_osv(F.col("ecosystem")))
+    versions = packages.select("ecosystem", "name", "version").distinct().withColumns({
+        "_eco": ecosystem_osv(F.col("ecosystem")), "_key": ordering_key(F.col("version")),
+    })
     bounds = advisories.select(
         F.col("id").alias("advisory_id"), F.col("ecosystem").alias("_eco"), "name", "summary", "severity", "cvss_score",
         "fixed_version", "references", "published", "modified", F.explode_outer("affected").alias("_b"),
+    ).withColumns({"_low": ordering_key(F.col("_b.introduced")), "_high": ordering_key(F.col("_b.fixed"))})
+    hits = versions.join(bounds, ["_eco", "name"]).where(
+        test(F.col("version"), F.col("_b.introduced"), F.col("_b.fixed"), F.col("_key"), F.col("_low"), F.col("_high"))
     )
-    hits = versions.join(bounds, ["_eco", "name"]).where(test(F.col("version"), F.col("_b.introduced"), F.col("_b.fixed")))
     # several intervals of one advisory may hold for a version
-    found = hits.drop("_eco", "_b").dropDuplicates(["ecosystem", "name", "version", "advisory_id"])
+    found = hits.drop("_eco", "_b", "_key", "_low", "_high").dropDuplicates(["ecosystem", "name", "version", "advisory_id"])
     return salted_join(packages, found, ["ecosystem", "name", "version"], ["file_path", "line_number"], salts=salts)
 
 

@@ -1,8 +1,8 @@
 """Pattern packs over texts and lines.
 
-A pack runs in two steps. First one projection tells which rules match a row, with literal patterns that are compiled
-once per task and are only tried where the literals they need occur. Only matching (row, rule) pairs then go on to the
-step that finds every match and its position. There is no shuffle and no join with a rule table.
+A pack runs in two steps. First the literals that the rules need are looked for, which tells in which lines or texts
+which rules are worth trying. Only these (place, rule) pairs go on to the regular expressions, one literal pattern per
+rule, and to the step that finds the position of every match. There is no shuffle and no join with a rule table.
 """
 
 from __future__ import annotations
@@ -13,7 +13,9 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vigilake.functions.patterns import candidate_rules, confirmed_rules, rule_pattern, rules_worth_lines
+from vigilake.functions.patterns import (
+    extracted, needs_search, places_to_try, rule_pattern, search_udf, stays_on_line,
+)
 from vigilake.functions.text import lines_around, match_context, match_spans, split_lines
 from vigilake.rules.model import Pack, Rule
 
@@ -29,27 +31,58 @@ def pack_entries(pack: Pack | Iterable[Rule], guard: Column | None = None) -> li
     return [(rule, guard) for rule in rules]
 
 
-def _rule_tables(entries: Entries, unicode: bool) -> tuple[Column, Column]:
-    ids = F.array(*[F.lit(rule.rule_id) for rule, _ in entries])
-    patterns = F.array(*[F.lit(rule_pattern(rule, unicode)) for rule, _ in entries])
-    return ids, patterns
-
-
-def _with_candidates(files: DataFrame, keys: Sequence[str], text: str, entries: Entries) -> DataFrame:
-    """Texts with the numbers of the rules worth trying; texts no guard admits are dropped first."""
+def _guarded(files: DataFrame, entries: Entries) -> DataFrame:
+    """Files that at least one guard admits."""
     guards = {str(guard): guard for _, guard in entries if guard is not None}
     if guards and all(guard is not None for _, guard in entries):
         files = files.where(reduce(or_, guards.values()))
-    columns = dict.fromkeys([*keys, *(c for c in files.columns if guards and c != text)])
-    return files.select(
-        *columns, F.col(text).alias("_text"), candidate_rules(F.col(text), [rule for rule, _ in entries]).alias("_candidates")
+    return files
+
+
+def _admitted(entries: Entries) -> Column | None:
+    """Numbers of the rules whose guard holds for a file; null if no rule has a guard."""
+    if all(guard is None for _, guard in entries):
+        return None
+    return F.array_compact(F.array(*[
+        F.lit(n) if guard is None else F.when(guard, F.lit(n)) for n, (_, guard) in enumerate(entries, 1)
+    ]))
+
+
+def _tried(
+    files: DataFrame, entries: Entries, keys: Sequence[str], text: str, by_line: list[bool], mode: str, unicode: bool
+) -> DataFrame:
+    """One row per place where a rule has to be tried, with the matches found there.
+
+    Columns: keys, ``_text``, ``_lines``, ``_line`` (0 for the whole text), ``_subject``, ``_rule``, ``_found``.
+    """
+    rules = [rule for rule, _ in entries]
+    admitted = _admitted(entries)
+    base = _guarded(files, entries).select(
+        *keys, F.col(text).alias("_text"), *([] if admitted is None else [admitted.alias("_admitted")])
+    )
+    searched = None
+    if needs_search(rules):
+        searched = "_searched"
+        base = base.withColumn("_searched", search_udf(rules, by_line, mode == "universal")(F.col("_text")))
+    held = [c for c in base.columns if c != "_searched"]
+    placed = base.withColumn("_lines", split_lines(F.col("_text"), mode)).select(
+        *held, "_lines", F.explode(places_to_try("_text", "_lines", rules, by_line, unicode, searched)).alias("_p")
     )
+    if admitted is not None:
+        placed = placed.where(F.array_contains("_admitted", F.col("_p.rule")))
+    subject = F.when(F.col("_p.line") == 0, F.col("_text")).otherwise(F.get("_lines", F.col("_p.line") - 1))
+    return placed.select(
+        *keys, "_text", "_lines", F.col("_p.line").alias("_line"), F.col("_p.rule").alias("_rule"), subject.alias("_subject")
+    ).withColumn("_found", extracted("_subject", "_rule", rules, unicode)).where(F.size("_found") > 0)
 
 
-def _confirmed(files: DataFrame, keys: Sequence[str], text: str, entries: Entries, unicode: bool) -> DataFrame:
-    """One row per text and matching rule, with the number of the rule."""
-    return _with_candidates(files, keys, text, entries).select(
-        *keys, "_text", F.explode(confirmed_rules(F.col("_text"), entries, F.col("_candidates"), unicode)).alias("_rule")
+def _spans(tried: DataFrame, entries: Entries, unicode: bool, *columns) -> DataFrame:
+    """Positions of the matches: one row per match with ``_rule_id`` and ``_s``."""
+    ids = F.array(*[F.lit(rule.rule_id) for rule, _ in entries])
+    patterns = F.array(*[F.lit(rule_pattern(rule, unicode)) for rule, _ in entries])
+    return tried.withColumn("_pattern", F.element_at(patterns, F.col("_rule"))).select(
+        *columns, "_line", F.element_at(ids, F.col("_rule")).alias("_rule_id"),
+        F.explode(match_spans("_subject", "_pattern", "_found")).alias("_s"),
     )
 
 
@@ -85,33 +118,12 @@ def match_lines(
     entries = pack_entries(pack) if single else list(pack)
     around = context_lines if context_lines is not None else (pack.context_lines if single else 3)
     base = column_base if column_base is not None else (pack.column_base if single else 0)
-    ids, patterns = _rule_tables(entries, unicode)
-    # rule numbers found in the whole text limit what is tried on its lines; guards are settled there as well
-    candidates = _with_candidates(files, keys, text, entries)
-    lines = (
-        candidates.select(
-            *keys, "_text", rules_worth_lines(F.col("_text"), entries, F.col("_candidates"), unicode).alias("_rules")
-        )
-        .where(F.size("_rules") > 0)
-        .select(*keys, "_rules", split_lines(F.col("_text"), mode).alias("_lines"))
-        .select(*keys, "_rules", "_lines", F.posexplode("_lines").alias("_i", "_line"))
-    )
-    unguarded = [(rule, None) for rule, _ in entries]
+    tried = _tried(files, entries, keys, text, [True] * len(entries), mode, unicode)
     if skip_comments:
-        lines = skip_comment_lines(lines, "_line")
-    hits = lines.select(
-        *keys, "_lines", "_i", "_line",
-        F.explode(confirmed_rules(F.col("_line"), unguarded, F.col("_rules"), unicode)).alias("_rule"),
-    )
-    line_no = (F.col("_i") + 1).cast("int")
-    return hits.withColumn("_pattern", F.element_at(patterns, F.col("_rule"))).select(
-        *keys,
-        F.element_at(ids, F.col("_rule")).alias("rule_id"),
-        line_no.alias("line_start"),
-        lines_around(F.col("_lines"), line_no, around).alias("snippet"),
-        F.explode(match_spans("_line", "_pattern")).alias("_s"),
-    ).select(
-        *keys, "rule_id", "line_start", F.col("line_start").alias("line_end"),
+        tried = skip_comment_lines(tried, "_subject")
+    snippet = lines_around(F.col("_lines"), F.col("_line"), around).alias("snippet")
+    return _spans(tried, entries, unicode, *keys, snippet).select(
+        *keys, F.col("_rule_id").alias("rule_id"), F.col("_line").alias("line_start"), F.col("_line").alias("line_end"),
         (F.col("_s.start") + base).alias("column_start"),
         (F.col("_s.stop") + base).alias("column_end"),
         F.col("_s.matched").alias("matched_text"),
@@ -136,25 +148,31 @@ def match_content(
     ``_rule_id`` and ``_s`` (the match) for rules that need to look at what was matched.
     """
     entries = pack_entries(pack) if isinstance(pack, Pack) else list(pack)
-    ids, patterns = _rule_tables(entries, unicode)
-    hits = _confirmed(files, keys, text, entries, unicode)
-    spans = hits.withColumn("_pattern", F.element_at(patterns, F.col("_rule"))).select(
-        *keys, F.element_at(ids, F.col("_rule")).alias("_rule_id"),
-        *([F.col("_text")] if snippet == "context" else []),
-        *([F.split("_text", "\n", -1).alias("_lines")] if snippet == "lines" else []),
-        F.explode(match_spans("_text", "_pattern")).alias("_s"),
-    )
+    # a rule that cannot see a line feed gives the same matches line by line, on far less text
+    by_line = [needs_search([r for r, _ in entries]) and stays_on_line(rule) for rule, _ in entries]
+    tried = _tried(files, entries, keys, text, by_line, "lf", unicode)
+    whole = F.col("_line") == 0
+    columns = list(keys)
+    if snippet == "context":
+        # where the line of the match starts in the text
+        shift = F.when(whole, 0).otherwise(
+            F.expr("aggregate(slice(_lines, 1, _line - 1), 0, (n, line) -> n + length(line) + 1)")
+        )
+        columns += [F.col("_text"), shift.alias("_shift")]
+    elif snippet == "lines":
+        columns += [F.col("_lines")]
+    spans = _spans(tried, entries, unicode, *columns)
     if keep is not None:
         spans = spans.where(keep)
-    shown = {
-        "none": F.lit(None).cast("string"),
-        "context": match_context(F.col("_text"), F.col("_s.start"), F.col("_s.stop")) if snippet == "context" else None,
-        "lines": lines_around(F.col("_lines"), F.col("_s.line"), context_lines) if snippet == "lines" else None,
-    }[snippet]
-    last_line = F.col("_s.line") + F.regexp_count(F.col("_s.matched"), F.lit("\n"))
+    line = F.when(whole, F.col("_s.line")).otherwise(F.col("_line"))
+    shown = F.lit(None).cast("string")
+    if snippet == "context":
+        shown = match_context(F.col("_text"), F.col("_s.start") + F.col("_shift"), F.col("_s.stop") + F.col("_shift"))
+    elif snippet == "lines":
+        shown = lines_around(F.col("_lines"), line, context_lines)
     return spans.select(
-        *keys, F.col("_rule_id").alias("rule_id"),
-        F.col("_s.line").alias("line_start"), last_line.alias("line_end"),
+        *keys, F.col("_rule_id").alias("rule_id"), line.alias("line_start"),
+        (line + F.regexp_count(F.col("_s.matched"), F.lit("\n"))).alias("line_end"),
         F.col("_s.col").alias("column_start"),
         (F.col("_s.col") + F.col("_s.stop") - F.col("_s.start")).alias("column_end"),
         F.col("_s.matched").alias("matched_text"),
@@ -167,8 +185,7 @@ def match_counts(
 ) -> DataFrame:
     """Number of matches per text and rule, without positions."""
     entries = pack_entries(pack) if isinstance(pack, Pack) else list(pack)
-    ids, patterns = _rule_tables(entries, unicode)
-    return _confirmed(files, keys, text, entries, unicode).select(
-        *keys, F.element_at(ids, F.col("_rule")).alias("rule_id"),
-        F.regexp_count("_text", F.element_at(patterns, F.col("_rule"))).alias("n_matches"),
+    ids = F.array(*[F.lit(rule.rule_id) for rule, _ in entries])
+    return _tried(files, entries, keys, text, [False] * len(entries), "lf", unicode).select(
+        *keys, F.element_at(ids, F.col("_rule")).alias("rule_id"), F.size("_found").cast("bigint").alias("n_matches")
     )

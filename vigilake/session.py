@@ -10,22 +10,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared checkpoint folder and go on from there.
+    """Write the rows to a table in the shared scratch folder and go on from there.
 
-    The folder the cluster names in ``spark.checkpoint.dir`` is used. A folder of our own is set only where none is.
+    The rows are computed once, which a checkpoint would do twice, and lost executors cost no recomputation.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            folder = context.getConf().get("spark.checkpoint.dir")
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="vigilake-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    folder = scratch_folder(df.sparkSession, "cut")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
