@@ -360,7 +360,7 @@ def _(s, d):
 def _docs(s, d, template, text_only=False):
     parts = template.replace("{type}", "\0T\0").replace("{user}", "\0U\0").split("\0")
     names = {"T": F.col("event_type"), "U": F.col("user_id").cast("string")}
-    rows = read_table(s, d, "events").select("event_id", F.concat(*[names.get(p, F.lit(p)) for p in parts if p]).alias("text"))
+    rows = spread(read_table(s, d, "events"), "event_id").select("event_id", F.concat(*[names.get(p, F.lit(p)) for p in parts if p]).alias("text"))
     return rows if text_only else St.parse_json_documents(rows)
 
 

@@ -78,7 +78,7 @@ def extract_snippet(text: Column, start_line, end_line=None, max_lines: int = 5,
     return F.array_join(F.slice(lines, first, count), "\n")
 
 
-def lines_around(lines: Column, line_no: Column, before: int, after: int | None = None) -> Column:
+def lines_around(lines: Column, line_no: Column, before: int | Column, after: int | Column | None = None) -> Column:
     """Lines within reach of a 1-based line, joined by line breaks."""
     after = before if after is None else after
     first = F.greatest(line_no - before, F.lit(1))

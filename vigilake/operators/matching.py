@@ -95,7 +95,11 @@ def explode_lines(files: DataFrame, keys: Sequence[str] = ("path",), text: str =
 
 def skip_comment_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     """Lines that are neither blank nor a ``#`` comment."""
-    return lines.where(~F.rlike(F.trim(F.col(line)), F.lit(r"^\s*(#|$)")))
+    return lines.where(~_is_comment(line))
+
+
+def _is_comment(line: str) -> Column:
+    return F.rlike(F.trim(F.col(line)), F.lit(r"^\s*(#|$)"))
 
 
 def match_lines(
@@ -106,26 +110,37 @@ def match_lines(
     text: str = "text",
     mode: str = "universal",
     unicode: bool = True,
-    context_lines: int | None = None,
-    column_base: int | None = None,
-    skip_comments: bool = False,
+    context_lines: int | dict[str, int] | None = None,
+    column_base: int | dict[str, int] | None = None,
+    skip_comments: bool | Iterable[str] = False,
 ) -> DataFrame:
     """All matches of line rules. One row per match, with the lines around it as snippet.
 
-    Texts without a trace of any rule are dropped before they are split into lines.
+    ``context_lines``, ``column_base`` and ``skip_comments`` may differ by rule id, so that packs with different
+    habits share one pass.
     """
     single = isinstance(pack, Pack)
     entries = pack_entries(pack) if single else list(pack)
     around = context_lines if context_lines is not None else (pack.context_lines if single else 3)
     base = column_base if column_base is not None else (pack.column_base if single else 0)
     tried = _tried(files, entries, keys, text, [True] * len(entries), mode, unicode)
-    if skip_comments:
+    if skip_comments is True:
         tried = skip_comment_lines(tried, "_subject")
-    snippet = lines_around(F.col("_lines"), F.col("_line"), around).alias("snippet")
-    return _spans(tried, entries, unicode, *keys, snippet).select(
+    elif skip_comments:
+        chosen = set(skip_comments)
+        numbers = [n for n, (rule, _) in enumerate(entries, 1) if rule.rule_id in chosen]
+        tried = tried.where(~(F.col("_rule").isin(*numbers) & _is_comment("_subject")))
+
+    def by_rule(value: int | dict[str, int], default: int) -> Column:
+        if isinstance(value, int):
+            return F.lit(value)
+        return F.element_at(F.array(*[F.lit(value.get(rule.rule_id, default)) for rule, _ in entries]), F.col("_rule"))
+
+    snippet = lines_around(F.col("_lines"), F.col("_line"), by_rule(around, 3)).alias("snippet")
+    return _spans(tried, entries, unicode, *keys, snippet, by_rule(base, 0).alias("_base")).select(
         *keys, F.col("_rule_id").alias("rule_id"), F.col("_line").alias("line_start"), F.col("_line").alias("line_end"),
-        (F.col("_s.start") + base).alias("column_start"),
-        (F.col("_s.stop") + base).alias("column_end"),
+        (F.col("_s.start") + F.col("_base")).alias("column_start"),
+        (F.col("_s.stop") + F.col("_base")).alias("column_end"),
         F.col("_s.matched").alias("matched_text"),
         "snippet",
     )

@@ -41,7 +41,8 @@ def number_rows(df: DataFrame, by: Sequence[str], order: Sequence[Column], name:
     inside their partition, and shifted by what the partitions before hold. The ranges are sampled, so the rows are
     written to the checkpoint folder before they are read twice.
     """
-    placed = df.repartitionByRange(*[F.col(c) for c in by], *order).withColumn("_part", F.spark_partition_id())
+    # sampling the ranges and dealing the rows both read the input, so it is computed once beforehand
+    placed = cut_lineage(df).repartitionByRange(*[F.col(c) for c in by], *order).withColumn("_part", F.spark_partition_id())
     local = Window.partitionBy("_part", *by).orderBy(*order)
     rows = cut_lineage(placed.withColumn("_n", F.row_number().over(local)))
     # one row per partition and group that meet: a number of partitions, not of rows

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from vigilake.functions.arrays import running_totals
 from vigilake.functions.patterns import java_pattern
-from vigilake.functions.text import line_of_offset
-from vigilake.operators.matching import explode_lines, match_content, match_lines
+from vigilake.functions.text import line_of_offset, split_lines
+from vigilake.operators.matching import explode_lines, match_content, match_lines, pack_entries
 from vigilake.rules import PACKS, characters, code, config, prompts, secrets, threats
 from vigilake.rules.model import Pack
 from vigilake.session import any_of
@@ -68,17 +68,37 @@ def latest_tag_only() -> Column:
 
 def pack_dockerfile(files: DataFrame, keys: Sequence[str] = KEYS, text: str = "text", **options) -> DataFrame:
     """All Dockerfile rules: patterns, missing USER and HEALTHCHECK, old base images, sensitive copies."""
-    hits = match_content(files, config.DOCKERFILE, keys=keys, text=text, keep=latest_tag_only(), **options).unionByName(
-        match_content(files, config.CONTAINER, keys=keys, text=text, **options)
-    )
-    no_user = missing_directive(files, r"(?m)^USER\s", "DOCKER003", keys, text)
-    no_check = missing_directive(files, r"(?i)HEALTHCHECK", "DOCKERFILE_NO_HEALTHCHECK", keys, text)
-    copies = sensitive_copy(files, keys, text)
-    images = pinned_image_check(files, keys, text)
-    out = hits
-    for part in (no_user, no_check, copies, images):
-        out = out.unionByName(part, allowMissingColumns=True)
-    return out
+    entries = [*pack_entries(config.DOCKERFILE), *pack_entries(config.CONTAINER)]
+    hits = match_content(files, entries, keys=keys, text=text, keep=latest_tag_only(), **options)
+    return hits.unionByName(dockerfile_checks(files, keys, text), allowMissingColumns=True)
+
+
+def dockerfile_checks(files: DataFrame, keys: Sequence[str] = KEYS, text: str = "text") -> DataFrame:
+    """The Dockerfile checks that are no single pattern, in one pass over the instructions of a file."""
+    def hit(rule, line, column, matched):
+        return F.struct(
+            F.lit(rule).alias("rule_id"), line.cast("int").alias("line_start"), line.cast("int").alias("line_end"),
+            F.lit(column).cast("int").alias("column_start"), matched.cast("string").alias("matched_text"),
+        )
+
+    def absent(pattern, rule):
+        return F.when(~F.rlike(F.col(text), F.lit(pattern)), hit(rule, F.lit(1), None, F.lit(None)))
+
+    def of_line(raw, i):
+        line = F.regexp_replace(raw, r"^\s+|\s+$", "")
+        return F.array_compact(F.array(
+            F.when(_copies_sensitive(line), hit("DOCKERFILE_COPYING_SENSITIVE_FILES", i + 1, 1, line)),
+            F.when(
+                line.startswith("FROM ") & base_image(line).isin(*config.OUTDATED_BASE_IMAGES),
+                hit("DOCKERFILE_VULNERABLE_BASE_IMAGE", i + 1, 1, base_image(line)),
+            ),
+        ))
+
+    missing = F.array_compact(F.array(
+        absent(r"(?m)^USER\s", "DOCKER003"), absent(r"(?i)HEALTHCHECK", "DOCKERFILE_NO_HEALTHCHECK")
+    ))
+    lines = F.flatten(F.transform(split_lines(F.col(text), "universal"), of_line))
+    return files.select(*keys, F.explode(F.concat(missing, lines)).alias("_h")).select(*keys, "_h.*")
 
 
 def missing_directive(files: DataFrame, pattern: str, rule_id: str, keys: Sequence[str] = KEYS, text: str = "text") -> DataFrame:
@@ -94,10 +114,20 @@ def _instructions(files: DataFrame, keys, text: str, heads: tuple[str, ...]) ->
     return lines.select(*keys, "line_no", line.alias("line")).where(any_of([F.col("line").startswith(h) for h in heads]))
 
 
+def _copies_sensitive(line: Column) -> Column:
+    pattern = "(?i)" + "|".join(config.SENSITIVE_COPY_PATTERNS)
+    return (line.startswith("COPY ") | line.startswith("ADD ")) & F.rlike(line, F.lit(pattern))
+
+
+def base_image(line: Column) -> Column:
+    """Image of a FROM line, without its alias."""
+    image = F.trim(F.substring(line, F.lit(6), F.length(line)))
+    return F.when(F.upper(image).contains(" AS "), F.trim(F.substring_index(image, " AS ", 1))).otherwise(image)
+
+
 def sensitive_copy(files: DataFrame, keys: Sequence[str] = KEYS, text: str = "text") -> DataFrame:
     """COPY and ADD lines that touch a sensitive path."""
-    pattern = "(?i)" + "|".join(config.SENSITIVE_COPY_PATTERNS)
-    return _instructions(files, keys, text, ("COPY ", "ADD ")).where(F.rlike("line", F.lit(pattern))).select(
+    return _instructions(files, keys, text, ("COPY ", "ADD ")).where(_copies_sensitive(F.col("line"))).select(
         *keys, F.lit("DOCKERFILE_COPYING_SENSITIVE_FILES").alias("rule_id"), F.col("line_no").alias("line_start"),
         F.col("line_no").alias("line_end"), F.lit(1).alias("column_start"), F.col("line").alias("matched_text"),
     )
@@ -105,9 +135,8 @@ def sensitive_copy(files: DataFrame, keys: Sequence[str] = KEYS, text: str = "te
 
 def pinned_image_check(files: DataFrame, keys: Sequence[str] = KEYS, text: str = "text") -> DataFrame:
     """FROM lines with a base image past its support date. The list is a fixed handful, so it is a literal."""
-    image = F.trim(F.substring("line", F.lit(6), F.length("line")))
-    image = F.when(F.upper(image).contains(" AS "), F.trim(F.substring_index(image, " AS ", 1))).otherwise(image)
-    return _instructions(files, keys, text, ("FROM ",)).select(*keys, "line_no", image.alias("image")).where(
+    image = base_image(F.col("line")).alias("image")
+    return _instructions(files, keys, text, ("FROM ",)).select(*keys, "line_no", image).where(
         F.col("image").isin(*config.OUTDATED_BASE_IMAGES)
     ).select(
         *keys, F.lit("DOCKERFILE_VULNERABLE_BASE_IMAGE").alias("rule_id"), F.col("line_no").alias("line_start"),
