@@ -5,6 +5,7 @@ Longer expressions are written as SQL text: one call to the JVM instead of a tho
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
@@ -16,6 +17,11 @@ def empty_array(ddl: str) -> Column:
     return F.array().cast(f"array<{ddl}>")
 
 
+def constant_array(values, kind: str = "string") -> Column:
+    """An array of constants in one call; the optimizer folds it to a literal."""
+    return F.from_json(F.lit(json.dumps(list(values))), f"array<{kind}>")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once per row and use it by name in ``body``.
 

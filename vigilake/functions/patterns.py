@@ -174,10 +174,12 @@ def rule_literals(rules: list[Rule]) -> set[str]:
     return set().union(*(literals_of(_lower(need)) for need in (needed_literals(r.pattern, r.flags) for r in rules) if need))
 
 
-def places_to_try(text: str, lines: str, rules: list[Rule], by_line: list[bool], unicode: bool, searched: str | None) -> Column:
+def places_to_try(
+    text: str, lines: str, rules: list[Rule], by_line: list[bool], unicode: bool, searched: str | None, admitted: str | None = None
+) -> Column:
     """Where rules have to be tried: an array of (line, rule), line 0 for the whole text.
 
-    ``text``, ``lines`` and ``searched`` are column names. ``searched`` holds what :func:`search_udf` found; without
+    ``text``, ``lines``, ``searched`` and ``admitted`` (numbers of the rules for this file) are column names. ``searched`` holds what :func:`search_udf` found; without
     it the literals are looked for with contains(). Rules without literals are tried on the whole text first, with
     ``^`` and ``$`` at line ends: a match inside a line is a match there too.
     """
@@ -191,14 +193,16 @@ def places_to_try(text: str, lines: str, rules: list[Rule], by_line: list[bool],
     def numbers(v: Column) -> Column:
         out = []
         for number, (rule, need) in enumerate(zip(rules, needs), 1):
+            test = F.lit(True) if admitted is None else F.array_contains(admitted, F.lit(number))
             if need is None and by_line[number - 1]:
-                out.append(F.when(F.rlike(text, F.lit("(?m)" + rule_pattern(rule, unicode))), F.lit(number)))
-            elif need is None:
-                out.append(F.lit(number))
-            elif searched is None and ignores_case(rule):
-                out.append(F.when(holds(need, v["lowered"]) | v["folded"], F.lit(number)))
-            elif searched is None:
-                out.append(F.when(holds(need, F.col(text)), F.lit(number)))
+                test = test & F.rlike(text, F.lit("(?m)" + rule_pattern(rule, unicode)))
+            elif need is not None and searched is not None:
+                continue
+            elif need is not None and ignores_case(rule):
+                test = test & (holds(need, v["lowered"]) | v["folded"])
+            elif need is not None:
+                test = test & holds(need, F.col(text))
+            out.append(F.when(test, F.lit(number)))
         return F.array_compact(F.array(*out)) if out else F.array().cast("array<int>")
 
     if searched is None:
@@ -218,10 +222,11 @@ def places_to_try(text: str, lines: str, rules: list[Rule], by_line: list[bool],
     return places if searched is None else F.concat(F.col(searched), places)
 
 
-def search_udf(rules: list[Rule], by_line: list[bool], universal: bool):
+def search_udf(rules: list[Rule], by_line: list[bool], universal: bool, guarded: bool):
     """Arrow UDF that looks for the literals of all rules in one pass and settles their and/or trees.
 
-    Gives (line, rule) where a rule may match: line by line for rules that match inside lines, else line 0.
+    Gives (line, rule) where a rule may match: line by line for rules that match inside lines, else line 0. Takes the
+    text and, if ``guarded``, the numbers of the rules for this file.
     """
     needs = [_lower(need) if need else None for need in (needed_literals(r.pattern, r.flags) for r in rules)]
     owners: dict[str, list[int]] = {}
@@ -229,7 +234,7 @@ def search_udf(rules: list[Rule], by_line: list[bool], universal: bool):
         for literal in sorted(literals_of(need)):
             owners.setdefault(literal, []).append(n)
 
-    def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def search(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         find = _literal_finder(list(owners))
 
         def settled(need, found) -> bool:
@@ -237,7 +242,14 @@ def search_udf(rules: list[Rule], by_line: list[bool], universal: bool):
                 return need in found
             return (all if need[0] == "and" else any)(settled(part, found) for part in need[1])
 
-        def one(value):
+        def worth_trying(found, allowed, lines_only):
+            numbers = {
+                n for literal in found for n in owners[literal]
+                if by_line[n - 1] is lines_only and (allowed is None or n in allowed)
+            }
+            return [n for n in sorted(numbers) if settled(needs[n - 1], found)]
+
+        def one(value, allowed):
             if value is None:
                 return []
             value = _fold(value)
@@ -246,16 +258,24 @@ def search_udf(rules: list[Rule], by_line: list[bool], universal: bool):
                 found = find(line)
                 if found:
                     everywhere |= found
-                    numbers = {n for literal in found for n in owners[literal] if by_line[n - 1]}
-                    places += [{"line": i, "rule": n} for n in sorted(numbers) if settled(needs[n - 1], found)]
-            numbers = {n for literal in everywhere for n in owners[literal] if not by_line[n - 1]}
-            return places + [{"line": 0, "rule": n} for n in sorted(numbers) if settled(needs[n - 1], everywhere)]
+                    places += [{"line": i, "rule": n} for n in worth_trying(found, allowed, True)]
+            return places + [{"line": 0, "rule": n} for n in worth_trying(everywhere, allowed, False)]
+
+        for columns in batches:
+            if isinstance(columns, pd.Series):
+                yield columns.map(lambda value: one(value, None))
+            else:
+                texts, admitted = columns
+                yield pd.Series([one(value, set(rules)) for value, rules in zip(texts, admitted)], index=texts.index, dtype=object)
+
+    def search_texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        return search(batches)
 
-        for texts in batches:
-            yield texts.map(one)
+    def search_admitted(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        return search(batches)
 
     # not deterministic only in name: it keeps the optimizer from copying the call into pushed-down filters
-    return F.pandas_udf(search, PLACES).asNondeterministic()
+    return F.pandas_udf(search_admitted if guarded else search_texts, PLACES).asNondeterministic()
 
 
 def needs_search(rules: list[Rule]) -> bool:
@@ -280,11 +300,15 @@ def _literal_finder(literals: list[str]):
     return lambda value: {x for _, x in automaton.iter(value)}
 
 
+def sql_literal(value: str) -> str:
+    """A text as SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def extracted(subject: str, rule_number: str, rules: list[Rule], unicode: bool = True) -> Column:
     """Matches of the rule with the given number, by one literal pattern per rule."""
-    out = F.when(F.col(rule_number) == 1, F.regexp_extract_all(subject, F.lit(rule_pattern(rules[0], unicode)), F.lit(0)))
-    for number, rule in enumerate(rules[1:], 2):
-        out = out.when(
-            F.col(rule_number) == number, F.regexp_extract_all(subject, F.lit(rule_pattern(rule, unicode)), F.lit(0))
-        )
-    return out
+    branches = " ".join(
+        f"WHEN {number} THEN regexp_extract_all({subject}, {sql_literal(rule_pattern(rule, unicode))}, 0)"
+        for number, rule in enumerate(rules, 1)
+    )
+    return F.expr(f"CASE {rule_number} {branches} END")

@@ -13,6 +13,7 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from vigilake.functions.arrays import constant_array
 from vigilake.functions.patterns import (
     extracted, needs_search, places_to_try, rule_pattern, search_udf, stays_on_line,
 )
@@ -43,9 +44,12 @@ def _admitted(entries: Entries) -> Column | None:
     """Numbers of the rules whose guard holds for a file; null if no rule has a guard."""
     if all(guard is None for _, guard in entries):
         return None
-    return F.array_compact(F.array(*[
-        F.lit(n) if guard is None else F.when(guard, F.lit(n)) for n, (_, guard) in enumerate(entries, 1)
-    ]))
+    groups: dict[str, tuple[Column, list[int]]] = {}
+    for n, (_, guard) in enumerate(entries, 1):
+        groups.setdefault(str(guard), (F.lit(True) if guard is None else guard, []))[1].append(n)
+    return F.flatten(F.array_compact(F.array(*[
+        F.when(guard, constant_array(numbers, "int")) for guard, numbers in groups.values()
+    ])))
 
 
 def _tried(
@@ -63,10 +67,13 @@ def _tried(
     searched = None
     if needs_search(rules):
         searched = "_searched"
-        base = base.withColumn("_searched", search_udf(rules, by_line, mode == "universal")(F.col("_text")))
+        search = search_udf(rules, by_line, mode == "universal", admitted is not None)
+        base = base.withColumn("_searched", search(*(["_text"] if admitted is None else ["_text", "_admitted"])))
     held = [c for c in base.columns if c != "_searched"]
     placed = base.withColumn("_lines", split_lines(F.col("_text"), mode)).select(
-        *held, "_lines", F.explode(places_to_try("_text", "_lines", rules, by_line, unicode, searched)).alias("_p")
+        *held, "_lines", F.explode(
+            places_to_try("_text", "_lines", rules, by_line, unicode, searched, None if admitted is None else "_admitted")
+        ).alias("_p")
     )
     if admitted is not None:
         placed = placed.where(F.array_contains("_admitted", F.col("_p.rule")))
@@ -78,8 +85,8 @@ def _tried(
 
 def _spans(tried: DataFrame, entries: Entries, unicode: bool, *columns) -> DataFrame:
     """Positions of the matches: one row per match with ``_rule_id`` and ``_s``."""
-    ids = F.array(*[F.lit(rule.rule_id) for rule, _ in entries])
-    patterns = F.array(*[F.lit(rule_pattern(rule, unicode)) for rule, _ in entries])
+    ids = constant_array(rule.rule_id for rule, _ in entries)
+    patterns = constant_array(rule_pattern(rule, unicode) for rule, _ in entries)
     return tried.withColumn("_pattern", F.element_at(patterns, F.col("_rule"))).select(
         *columns, "_line", F.element_at(ids, F.col("_rule")).alias("_rule_id"),
         F.explode(match_spans("_subject", "_pattern", "_found")).alias("_s"),
@@ -134,7 +141,7 @@ def match_lines(
     def by_rule(value: int | dict[str, int], default: int) -> Column:
         if isinstance(value, int):
             return F.lit(value)
-        return F.element_at(F.array(*[F.lit(value.get(rule.rule_id, default)) for rule, _ in entries]), F.col("_rule"))
+        return F.element_at(constant_array((value.get(r.rule_id, default) for r, _ in entries), "int"), F.col("_rule"))
 
     snippet = lines_around(F.col("_lines"), F.col("_line"), by_rule(around, 3)).alias("snippet")
     return _spans(tried, entries, unicode, *keys, snippet, by_rule(base, 0).alias("_base")).select(
@@ -200,7 +207,7 @@ def match_counts(
 ) -> DataFrame:
     """Number of matches per text and rule, without positions."""
     entries = pack_entries(pack) if isinstance(pack, Pack) else list(pack)
-    ids = F.array(*[F.lit(rule.rule_id) for rule, _ in entries])
+    ids = constant_array(rule.rule_id for rule, _ in entries)
     return _tried(files, entries, keys, text, [False] * len(entries), "lf", unicode).select(
         *keys, F.element_at(ids, F.col("_rule")).alias("rule_id"), F.size("_found").cast("bigint").alias("n_matches")
     )
