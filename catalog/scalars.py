@@ -98,13 +98,12 @@ def _(s, d):
     return documents(s, d).select("doc_id", Sc.finding_id(F.lit("test"), F.col("source"), line, F.lit("secret")).alias("id"))
 
 
-@query("location_string", """SELECT doc_id, CASE lang WHEN 'en' THEN source WHEN 'de' THEN source || ':' || doc_id ELSE source || ':' || doc_id || '-' || n_chars END AS place FROM documents
-  WHERE doc_id <> n_chars""")
+@query("location_string", """SELECT doc_id, CASE lang WHEN 'en' THEN source WHEN 'de' THEN source || ':' || doc_id ELSE source || ':' || doc_id ||
+  CASE WHEN doc_id = n_chars THEN '' ELSE '-' || n_chars END END AS place FROM documents""")
 def _(s, d):
     start = F.when(F.col("lang") != "en", F.col("doc_id"))
     end = F.when(F.col("lang") == "de", F.col("doc_id")).otherwise(F.col("n_chars"))
-    rows = documents(s, d).where(F.col("doc_id") != F.col("n_chars"))
-    return rows.select("doc_id", Sc.location_string(F.col("source"), start, end).alias("place"))
+    return documents(s, d).select("doc_id", Sc.location_string(F.col("source"), start, end).alias("place"))
 
 
 @query("extract_snippet", f"SELECT doc_id, array_to_string(string_split(text, {NL})[2:4], {NL}) AS a, array_to_string(string_split(text, {NL})[1:5], {NL}) AS b FROM documents")
@@ -179,10 +178,9 @@ def _(s, d):
     return doc_files(s, d).where(F.rlike("path", pattern)).select("path")
 
 
-@query("confidence_percent", "SELECT p_partkey, printf('%.0f%%', p_size / 64.0 * 100) AS pct FROM part WHERE (p_size * 100) % 64 <> 32")
+@query("confidence_percent", "SELECT p_partkey, printf('%.0f%%', p_size / 63.0 * 100) AS pct FROM part")
 def _(s, d):
-    rows = part(s, d).where((F.col("p_size") * 100) % 64 != 32)  # an exact half is rounded up here and to even elsewhere
-    return rows.select("p_partkey", Sc.confidence_percent(F.col("p_size") / 64).alias("pct"))
+    return part(s, d).select("p_partkey", Sc.confidence_percent(F.col("p_size") / 63).alias("pct"))
 
 
 @query("parse_osv_time", "SELECT event_id, CASE WHEN event_type = 'error' THEN NULL ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS t FROM events")
