@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -60,3 +62,24 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     return tempfile.mkdtemp(prefix=f"vigilake-{name}-") + "/data"
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession, *folders: str) -> None:
+    """Make Python packages importable on the executors, once per application. Without folders this package is sent."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    target = os.path.join(tempfile.mkdtemp(prefix="vigilake-ship-"), "vigilake_packages.zip")
+    with zipfile.ZipFile(target, "w") as archive:
+        for folder in folders or (os.path.dirname(os.path.abspath(__file__)),):
+            base = os.path.dirname(os.path.abspath(folder))
+            for place, _, names in os.walk(folder):
+                for name in names:
+                    if name.endswith(".py"):
+                        full = os.path.join(place, name)
+                        archive.write(full, os.path.relpath(full, base))
+    context.addPyFile(target)
+    _SHIPPED.add(context.applicationId)
