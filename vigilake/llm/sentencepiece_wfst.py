@@ -21,6 +21,9 @@ from pyspark.sql import DataFrame, functions as F
 BLANK = "▁"
 #: Words a task remembers; when they are more it starts anew. Longer words are never kept.
 REMEMBERED, KEPT_LENGTH = 200_000, 48
+#: Pairs of pieces a task remembers.
+PAIRS = 400_000
+UNKNOWN_SCORE = -1e3
 _INFINITE = float("inf")
 
 
@@ -30,12 +33,14 @@ class Transducer:
     def __init__(self, pieces: list[tuple[str, float]], ids: dict[str, int], byte_ids: list[int], unknown: int, prefix: bool, merging: bool):
         self.rank = dict(pieces)
         self.ids, self.byte_ids, self.unknown, self.prefix, self.merging = ids, byte_ids, unknown, prefix, merging
-        lengths: dict[str, set[int]] = {}  # of the pieces that end with a character
+        self.arcs: dict = {}  # tree of the pieces by character; "" holds the piece that ends at a node
         for p in self.rank:
-            lengths.setdefault(p[-1], set()).add(len(p))
-        self.by_end = {c: sorted(s) for c, s in lengths.items()}
+            if not merging or self._stands(p):
+                node = self.arcs
+                for c in p:
+                    node = node.setdefault(c, {})
+                node[""] = p
         self.joined: dict[tuple[str, str], float] = {}
-        self.whole: dict[str, bool] = {}
         known = {c for p in self.rank for c in p}
         stops = "".join(c for c in "\n\t\r" if c not in known)
         apart = not any(BLANK in p.lstrip(BLANK) for p in self.rank)
@@ -59,16 +64,13 @@ class Transducer:
 
     def _stands(self, piece: str) -> bool:
         """Whether merging makes the piece out of its characters, so that it can be on a path at all."""
-        found = self.whole.get(piece)
-        if found is None:
-            found = self.whole[piece] = len(piece) == 1 or self._merged(piece) == [piece]
-        return found
+        return len(piece) == 1 or self._merged(piece) == [piece]
 
     def pair_weight(self, left: str, right: str) -> float:
         """0 where merging leaves the two side by side, else infinite."""
         found = self.joined.get((left, right))
         if found is None:
-            if len(self.joined) > 2_000_000:
+            if len(self.joined) >= PAIRS:
                 self.joined.clear()
             found = self.joined[left, right] = 0.0 if self._merged(left + right) == [left, right] else _INFINITE
         return found
@@ -76,36 +78,61 @@ class Transducer:
     # --- composition and shortest path ---
 
     def shortest_path(self, text: str) -> list[str]:
-        """Pieces of the least weight over an input. For merging models each arc weighs one; else its negative score."""
-        n = len(text)
-        cost, last, back = [0.0] + [_INFINITE] * n, [""] * (n + 1), [0] * (n + 1)
-        for end in range(1, n + 1):
-            char = text[end - 1]
-            lengths = self.by_end.get(char, (1,))
-            best = _INFINITE
-            for length in lengths if lengths[0] == 1 else (1, *lengths):
-                start = end - length
-                if start < 0:
+        """Pieces of the least weight over an input."""
+        return self._only_path(text) if self.merging else self._least_path(text)
+
+    def _arcs_from(self, text: str, at: int) -> list[str]:
+        """Pieces that begin at a place, short ones first; a character that is no piece reads itself."""
+        node, found = self.arcs.get(text[at]), []
+        if node is None or "" not in node:
+            found.append(text[at])
+        while node is not None:
+            piece = node.get("")
+            if piece is not None:
+                found.append(piece)
+            at += 1
+            node = node.get(text[at]) if at < len(text) else None
+        return found
+
+    def _only_path(self, text: str) -> list[str]:
+        """For a merging model all weights are 0 or infinite, and exactly one path of weight 0 leads to any place.
+
+        It is searched with long arcs first. A place that was left again is on no path to the end, so it is tried once.
+        """
+        path: list[str] = []
+        untried: list[list[str]] = []
+        closed: set[int] = set()
+        at, arcs, end = 0, self._arcs_from(text, 0), len(text)
+        while True:
+            while arcs:
+                piece = arcs.pop()
+                stop = at + len(piece)
+                if stop not in closed and not (path and self.pair_weight(path[-1], piece)):
                     break
-                if cost[start] == _INFINITE:
-                    continue
-                piece = text[start:end]
-                score = self.rank.get(piece)
-                if score is None and length > 1:
-                    continue
-                if self.merging:
-                    if not self._stands(piece) or (start and self.pair_weight(last[start], piece)):
-                        continue
-                    total = cost[start] + 1.0
-                else:
-                    total = cost[start] - (score if score is not None else -1e3)
-                if total < best:
-                    best = total
-                    cost[end], last[end], back[end] = total, piece, start
-        path, at = [], n
-        while at:
-            path.append(last[at])
-            at = back[at]
+            else:
+                closed.add(at)
+                at -= len(path.pop())
+                arcs = untried.pop()
+                continue
+            path.append(piece)
+            if stop == end:
+                return path
+            untried.append(arcs)
+            at, arcs = stop, self._arcs_from(text, stop)
+
+    def _least_path(self, text: str) -> list[str]:
+        """For a model with piece scores the weight of an arc is its negative score: relax all arcs from left to right."""
+        n = len(text)
+        cost, last = [0.0] + [_INFINITE] * n, [""] * (n + 1)
+        for at in range(n):
+            for piece in self._arcs_from(text, at):
+                total, stop = cost[at] - self.rank.get(piece, UNKNOWN_SCORE), at + len(piece)
+                if total < cost[stop]:
+                    cost[stop], last[stop] = total, piece
+        path = []
+        while n:
+            path.append(last[n])
+            n -= len(last[n])
         return path[::-1]
 
     def word_ids(self, word: str) -> tuple[int, ...]:
