@@ -374,7 +374,7 @@ def _(s, d):
         F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"),
         F.lit(".unknown").alias("ext"), content.alias("content"),
     )
-    return is_binary(rows, sniff_bytes=None).select("path", "is_binary")
+    return is_binary(rows).select("path", "is_binary")
 
 
 _EXT_MAP = {"python": [".en", ".de"], "shell": [".de"], "text": ["*"]}

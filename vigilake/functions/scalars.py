@@ -59,10 +59,13 @@ def strip_range_signs(version: Column) -> Column:
     return F.regexp_replace(version, r"[\^~]", "")
 
 
-def finding_id(analyzer: Column, path: Column, line: Column, finding_type: Column) -> Column:
-    """Stable id: three letters of the analyzer and twelve digits of a hash of where and what."""
+def finding_id(analyzer: Column, path: Column, line: Column, finding_type: Column, repo: Column | None = None) -> Column:
+    """Stable id: three letters of the analyzer and twelve digits of a hash of where and what.
+
+    A repository that is known is part of the place; a null one counts as not known.
+    """
     place = F.coalesce(line.cast("string"), F.lit("N/A"))
-    digest = F.sha2(F.concat_ws(":", analyzer, path, place, finding_type), 256)
+    digest = F.sha2(F.concat_ws(":", analyzer, *([] if repo is None else [repo]), path, place, finding_type), 256)
     return F.concat(F.upper(F.substring(analyzer, 1, 3)), F.lit("-"), F.substring(digest, 1, 12))
 
 
@@ -107,7 +110,7 @@ def parse_osv_time(text: Column) -> Column:
 def issue_label(text: Column) -> Column:
     """``open_port`` becomes ``Open port``."""
     words = F.replace(text, F.lit("_"), F.lit(" "))
-    return F.concat(F.upper(F.substring(words, 1, 1)), F.lower(F.substring(words, 2, 1_000_000)))
+    return F.concat(F.upper(F.substring(words, 1, 1)), F.lower(F.substring(words, F.lit(2), F.length(words))))
 
 
 def vulnerability_description(

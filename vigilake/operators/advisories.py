@@ -17,7 +17,7 @@ from vigilake.session import salted_join
 _OSV = (
     "id string, summary string, severity array<struct<type:string,score:string>>, "
     "affected array<struct<package:struct<name:string,ecosystem:string>, "
-    "ranges:array<struct<type:string,events:array<map<string,string>>>>>>, "
+    "ranges:array<struct<type:string,events:array<map<string,string>>>>,versions:array<string>>>, "
     "references array<struct<type:string,url:string>>, published string, modified string"
 )
 
@@ -38,7 +38,9 @@ def load_advisories(raw: DataFrame, column: str = "value") -> DataFrame:
         F.coalesce(F.transform("references", lambda r: F.coalesce(r["url"], F.lit(""))), F.array().cast("array<string>")).alias("references"),
         parse_osv_time(F.col("published")).alias("published"), parse_osv_time(F.col("modified")).alias("modified"),
     )
-    events = F.coalesce(F.flatten(F.transform("p.ranges", lambda r: r["events"])), F.array().cast("array<map<string,string>>"))
+    # commit ids of GIT ranges have no order that versions could be compared by
+    ranges = F.filter("p.ranges", lambda r: F.coalesce(r["type"], F.lit("ECOSYSTEM")) != "GIT")
+    events = F.coalesce(F.flatten(F.transform(ranges, lambda r: r["events"])), F.array().cast("array<map<string,string>>"))
 
     def intervals(items: Column) -> Column:
         # an introduced event opens an interval that ends at the next fixed event of the list
@@ -49,6 +51,10 @@ def load_advisories(raw: DataFrame, column: str = "value") -> DataFrame:
                     F.try_element_at(F.get(items, i + 1), F.lit("introduced")).isNull(),
                     F.try_element_at(F.get(items, i + 1), F.lit("fixed")),
                 ).alias("fixed"),
+                F.when(
+                    F.try_element_at(F.get(items, i + 1), F.lit("introduced")).isNull(),
+                    F.try_element_at(F.get(items, i + 1), F.lit("last_affected")),
+                ).alias("last_affected"),
             )),
             lambda x: x["introduced"].isNotNull(),
         )
@@ -57,6 +63,7 @@ def load_advisories(raw: DataFrame, column: str = "value") -> DataFrame:
     return rows.select(
         "id", F.col("p.package.ecosystem").alias("ecosystem"), F.col("p.package.name").alias("name"), "summary", "severity",
         "cvss_score", intervals(events).alias("affected"), fixed.alias("fixed_version"), "references", "published", "modified",
+        F.coalesce("p.versions", F.array().cast("array<string>")).alias("versions"),
     )
 
 
@@ -66,9 +73,9 @@ def _at_least(version: Column, bound: Column, key: Column, bound_key: Column) ->
 
 
 def in_interval(v: Column, low: Column, high: Column, kv: Column, klow: Column, khigh: Column) -> Column:
-    """low <= version < high, with an open end where a bound is missing or zero."""
+    """low <= version < high, with an open end where a bound is missing or zero; without any bound nothing holds."""
     above = low.isNull() | (low == "0") | _at_least(v, low, kv, klow)
-    return above & (high.isNull() | ~_at_least(v, high, kv, khigh))
+    return (low.isNotNull() | high.isNotNull()) & above & (high.isNull() | ~_at_least(v, high, kv, khigh))
 
 
 def in_any_bound(v: Column, low: Column, high: Column, kv: Column, klow: Column, khigh: Column) -> Column:
@@ -91,12 +98,19 @@ def join_advisories(packages: DataFrame, advisories: DataFrame, mode: str = "int
     bounds = advisories.select(
         F.col("id").alias("advisory_id"), F.col("ecosystem").alias("_eco"), "name", "summary", "severity", "cvss_score",
         "fixed_version", "references", "published", "modified", F.explode_outer("affected").alias("_b"),
+        (F.col("versions") if "versions" in advisories.columns else F.lit(None).cast("array<string>")).alias("_listed"),
     ).withColumns({"_low": ordering_key(F.col("_b.introduced")), "_high": ordering_key(F.col("_b.fixed"))})
+    holds = test(F.col("version"), F.col("_b.introduced"), F.col("_b.fixed"), F.col("_key"), F.col("_low"), F.col("_high"))
+    if "last_affected" in bounds.select("_b.*").columns:
+        # the last affected version belongs to the interval
+        last = F.col("_b.last_affected")
+        holds = holds & (last.isNull() | (F.col("version") == last) | ~_at_least(F.col("version"), last, F.col("_key"), ordering_key(last)))
+    # versions that an advisory lists by name are affected whatever its ranges say
     hits = versions.join(bounds, ["_eco", "name"]).where(
-        test(F.col("version"), F.col("_b.introduced"), F.col("_b.fixed"), F.col("_key"), F.col("_low"), F.col("_high"))
+        F.coalesce(holds, F.lit(False)) | F.coalesce(F.array_contains("_listed", F.col("version")), F.lit(False))
     )
     # several intervals of one advisory may hold for a version
-    found = hits.drop("_eco", "_b", "_key", "_low", "_high").dropDuplicates(["ecosystem", "name", "version", "advisory_id"])
+    found = hits.drop("_eco", "_b", "_key", "_low", "_high", "_listed").dropDuplicates(["ecosystem", "name", "version", "advisory_id"])
     return salted_join(packages, found, ["ecosystem", "name", "version"], ["file_path", "line_number"], salts=salts)
 
 
@@ -142,7 +156,7 @@ def dependency_findings(hits: DataFrame, created_at: Column | None = None) -> Da
         ).alias("location"),
         F.lit("vulnerability").alias("analyzer"), F.lit(1.0).alias("confidence"),
         (F.current_timestamp() if created_at is None else created_at).alias("created_at"),
-        F.slice("references", 1, 3).alias("references"),
+        "references",
         F.array(F.lit("dependency"), F.lit("vulnerability")).alias("tags"),
         F.create_map(
             F.lit("package_name"), F.col("name"), F.lit("package_version"), F.col("version"),

@@ -21,6 +21,7 @@ class ScanConfig:
     include: Sequence[str] = ("*",)
     exclude: Sequence[str] = ()
     max_depth: int | None = None
+    include_hidden: bool = False
     min_severity: str = "low"
     min_confidence: float = 0.0
     analyzer_confidence: dict[str, float] = field(default_factory=dict)

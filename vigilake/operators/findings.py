@@ -58,7 +58,8 @@ def as_findings(
     return rows.select(
         finding_id(
             F.col("_r.analyzer"), F.col(path), column("line_start", "int"),
-            F.concat_ws("@", "rule_id", column("column_start", "string")),
+            F.concat_ws("@", "rule_id", F.coalesce(column("column_start", "string"), column("matched_text", "string"))),
+            column("repo", "string"),
         ).alias("id"),
         F.col("rule_id"),
         F.col("_r.title").alias("title"),
@@ -83,6 +84,7 @@ def as_findings(
         F.col("_r.remediation").alias("remediation"),
         F.col("_r.cwe_id").alias("cwe_id"),
         F.col("_r.cvss_score").alias("cvss_score"),
+        column("repo", "string").alias("repo"),
     )
 
 

@@ -13,7 +13,7 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vigilake.functions.arrays import constant_array
+from vigilake.functions.arrays import constant_array, running_totals
 from vigilake.functions.patterns import (
     extracted, needs_search, places_to_try, rule_pattern, search_udf, stays_on_line,
 )
@@ -53,7 +53,7 @@ def _admitted(entries: Entries) -> Column | None:
 
 
 def _tried(
-    files: DataFrame, entries: Entries, keys: Sequence[str], text: str, by_line: list[bool], mode: str, unicode: bool
+    files: DataFrame, entries: Entries, keys: Sequence[str], text: str, by_line: list[bool], mode: str, unicode: bool, ends: bool = False
 ) -> DataFrame:
     """One row per place where a rule has to be tried, with the matches found there.
 
@@ -70,8 +70,14 @@ def _tried(
         search = search_udf(rules, by_line, mode == "universal", admitted is not None)
         base = base.withColumn("_searched", search(*(["_text"] if admitted is None else ["_text", "_admitted"])))
     held = [c for c in base.columns if c != "_searched"]
-    placed = base.withColumn("_lines", split_lines(F.col("_text"), mode)).select(
-        *held, "_lines", F.explode(
+    base = base.withColumn("_lines", split_lines(F.col("_text"), mode))
+    extra = ["_lines"]
+    if ends:
+        # running lengths of the lines with their line feeds
+        base = base.withColumn("_ends", running_totals("transform(_lines, x -> length(x) + 1)"))
+        extra.append("_ends")
+    placed = base.select(
+        *held, *extra, F.explode(
             places_to_try("_text", "_lines", rules, by_line, unicode, searched, None if admitted is None else "_admitted")
         ).alias("_p")
     )
@@ -79,7 +85,7 @@ def _tried(
         placed = placed.where(F.array_contains("_admitted", F.col("_p.rule")))
     subject = F.when(F.col("_p.line") == 0, F.col("_text")).otherwise(F.get("_lines", F.col("_p.line") - 1))
     return placed.select(
-        *keys, "_text", "_lines", F.col("_p.line").alias("_line"), F.col("_p.rule").alias("_rule"), subject.alias("_subject")
+        *keys, "_text", *extra, F.col("_p.line").alias("_line"), F.col("_p.rule").alias("_rule"), subject.alias("_subject")
     ).withColumn("_found", extracted("_subject", "_rule", rules, unicode)).where(F.size("_found") > 0)
 
 
@@ -172,14 +178,12 @@ def match_content(
     entries = pack_entries(pack) if isinstance(pack, Pack) else list(pack)
     # a rule that cannot see a line feed gives the same matches line by line, on far less text
     by_line = [needs_search([r for r, _ in entries]) and stays_on_line(rule) for rule, _ in entries]
-    tried = _tried(files, entries, keys, text, by_line, "lf", unicode)
+    tried = _tried(files, entries, keys, text, by_line, "lf", unicode, ends=snippet == "context")
     whole = F.col("_line") == 0
     columns = list(keys)
     if snippet == "context":
-        # where the line of the match starts in the text
-        shift = F.when(whole, 0).otherwise(
-            F.expr("aggregate(slice(_lines, 1, _line - 1), 0, (n, line) -> n + length(line) + 1)")
-        )
+        # where the line of the match starts in the text; ends of lines were summed once for the whole file
+        shift = F.when(F.col("_line") <= 1, 0).otherwise(F.get("_ends", F.col("_line") - 2))
         columns += [F.col("_text"), shift.alias("_shift")]
     elif snippet == "lines":
         columns += [F.col("_lines")]

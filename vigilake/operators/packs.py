@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from vigilake.functions.arrays import running_totals
 from vigilake.functions.patterns import java_pattern
-from vigilake.functions.text import line_of_offset, split_lines
+from vigilake.functions.text import match_spans, split_lines
 from vigilake.operators.matching import explode_lines, match_content, match_lines, pack_entries
 from vigilake.rules import PACKS, characters, code, config, prompts, secrets, threats
 from vigilake.rules.model import Pack
@@ -223,16 +223,15 @@ def hidden_base64_instructions(files: DataFrame, keys: Sequence[str] = KEYS, tex
     decoded = F.replace(F.make_valid_utf8(F.try_to_binary("encoded", F.lit("base64")).cast("string")), F.lit("�"), F.lit(""))
     words = any_of([F.lower("decoded").contains(w) for w in prompts.HIDDEN_KEYWORDS])
     return (
-        files.select(*keys, F.col(text).alias("_t"),
-                     F.explode(F.regexp_extract_all(F.col(text), F.lit(prompts.BASE64_RUN), F.lit(0))).alias("encoded"))
+        files.select(*keys, F.col(text).alias("_t"), F.lit(prompts.BASE64_RUN).alias("_p"))
+        .select(*keys, F.explode(match_spans("_t", "_p")).alias("_s"))
+        .select(*keys, F.col("_s.line").alias("line_start"), F.col("_s.matched").alias("encoded"))
         # a run of another length has no valid padding
         .where(F.length(run) % 4 == 0)
-        .select(*keys, "_t", "encoded", decoded.alias("decoded"))
+        .select(*keys, "line_start", "encoded", decoded.alias("decoded"))
         .where(words)
         .select(
-            *keys, F.lit("HIDDEN_BASE64").alias("rule_id"),
-            line_of_offset(F.col("_t"), F.position(F.col("encoded"), F.col("_t")) - 1).alias("line_start"),
-            F.col("encoded").alias("matched_text"), "decoded",
+            *keys, F.lit("HIDDEN_BASE64").alias("rule_id"), "line_start", F.col("encoded").alias("matched_text"), "decoded",
         )
     )
 

@@ -15,11 +15,24 @@ def union_findings(*parts: DataFrame) -> DataFrame:
     return out
 
 
+def file_keys(*tables: DataFrame) -> list[str]:
+    """What tells files apart: the path, and the repository where all tables have one."""
+    return ["repo", "path"] if all("repo" in t.columns for t in tables) else ["path"]
+
+
+def keyed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Files without a repository compare as equal in it: null becomes the empty text."""
+    return df.withColumn("repo", F.coalesce("repo", F.lit(""))) if "repo" in keys else df
+
+
 def dedupe_findings(findings: DataFrame) -> DataFrame:
     """One finding per rule and place. Rows that agree in place are told apart by id, so the result is the same in every run."""
     place = ["rule_id", "location.path", "location.line_start", "location.column_start"]
+    place += [c for c in ("repo",) if c in findings.columns]
+    # without a column the text tells matches of one line apart
+    matched = F.when(F.col("location.column_start").isNull(), F.try_element_at("metadata", F.lit("matched_text")))
     rest = [c for c in findings.columns if c not in ("rule_id", "id", "metadata")]
-    picked = findings.groupBy(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(place)]).agg(
+    picked = findings.groupBy(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(place)], matched.alias("_kt")).agg(
         F.min_by(F.struct(*findings.columns), F.struct("id", F.to_json(F.struct(*rest)))).alias("_f")
     )
     return picked.select("_f.*")
@@ -69,16 +82,23 @@ def join_files_rules(
 
 def join_cache(files: DataFrame, cache: DataFrame, analyzer: str) -> DataFrame:
     """Files with ``is_hit``: known to the analyzer, and unchanged by time or else by content."""
-    known = cache.where(F.col("analyzer") == analyzer).select(
-        "path", F.col("mtime").alias("_mtime"), F.col("content_hash").alias("_hash"), F.lit(True).alias("_known")
+    keys = file_keys(files, cache)
+    known = keyed(cache, keys).where(F.col("analyzer") == analyzer).select(
+        *[F.col(k).alias(f"_{k}") for k in keys], F.col("mtime").alias("_mtime"), F.col("content_hash").alias("_hash"), F.lit(True).alias("_known")
     )
     hit = F.col("_known").isNotNull() & (
         (F.col("mtime") == F.col("_mtime")) | (F.col("content_hash") == F.col("_hash"))
     )
-    return files.join(known, "path", "left").withColumn("is_hit", F.coalesce(hit, F.lit(False))).drop("_mtime", "_hash", "_known")
+    own = {"repo": F.coalesce(files["repo"], F.lit("")) if "repo" in keys else None, "path": files["path"]}
+    on = [own[k] == F.col(f"_{k}") for k in keys]
+    return files.join(known, on, "left").withColumn("is_hit", F.coalesce(hit, F.lit(False))).drop(
+        "_mtime", "_hash", "_known", *[f"_{k}" for k in keys]
+    )
 
 
 def cache_misses(files: DataFrame, cache: DataFrame, analyzer: str) -> DataFrame:
     """Files whose content the analyzer has not seen."""
-    known = cache.where(F.col("analyzer") == analyzer).select("path", "content_hash")
-    return files.join(known, ["path", "content_hash"], "left_anti")
+    keys = [*file_keys(files, cache), "content_hash"]
+    known = keyed(cache, keys).where(F.col("analyzer") == analyzer).select(*[F.col(k).alias(f"_{k}") for k in keys])
+    own = {k: F.coalesce(files[k], F.lit("")) if k == "repo" else files[k] for k in keys}
+    return files.join(known, [own[k] == F.col(f"_{k}") for k in keys], "left_anti")

@@ -21,10 +21,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+#: Inputs of at most so many partitions are samples on one machine.
+FEW_FILES = 4
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread a small input over all cores before costly work; inputs with enough partitions stay as they are."""
+    """Spread a sample that lies in one or a few files over all cores. An input of more partitions is never shuffled."""
     context = df.sparkSession.sparkContext
-    if df.rdd.getNumPartitions() >= context.defaultParallelism:
+    if df.rdd.getNumPartitions() > min(FEW_FILES, context.defaultParallelism - 1):
         return df
     return df.repartition(context.defaultParallelism, *keys)
 

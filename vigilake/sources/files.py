@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from vigilake.functions.scalars import normalize_path
 
-MAX_TEXT_BYTES = 5 * 1024 * 1024
-
 
 def path_columns(path: Column) -> dict[str, Column]:
     """Name, stem, lower-case suffix, depth and hidden flag of a path."""
@@ -50,7 +48,7 @@ def scan_files(
     if not include_hidden:
         files = files.where(~F.col("is_hidden"))
     if max_depth is not None:
-        files = files.where(F.col("depth") <= max_depth)
+        files = files.where(F.col("depth") < max_depth)
     return files
 
 
@@ -66,12 +64,15 @@ def files_from_table(
 
 
 def decode_text(
-    files: DataFrame, content: str = "content", max_bytes: int | None = MAX_TEXT_BYTES, errors: str = "replace"
+    files: DataFrame, content: str = "content", max_bytes: int | None = None, errors: str = "replace"
 ) -> DataFrame:
-    """Text of file contents. Invalid bytes are replaced or left out; files over the size limit are no text."""
-    if max_bytes is not None:
-        files = files.where(F.octet_length(content) <= max_bytes)
+    """Text of file contents, of any size. Invalid bytes are replaced or left out.
+
+    With ``max_bytes`` the text of larger files is null; their rows stay.
+    """
     text = F.make_valid_utf8(F.col(content).cast("string"))
+    if max_bytes is not None:
+        text = F.when(F.octet_length(content) <= max_bytes, text)
     if errors == "ignore":
         text = F.replace(text, F.lit("�"), F.lit(""))
     return files.withColumn("text", text)

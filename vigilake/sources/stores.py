@@ -8,6 +8,7 @@ from vigilake.functions.scalars import location_string
 from vigilake.operators.findings import with_finding_defaults
 from vigilake.operators.ordering import latest, number_findings
 from vigilake.operators.rollups import severity_counts, type_counts
+from vigilake.operators.sets import file_keys, keyed
 from vigilake.schemas import CACHE, FINDINGS
 
 CACHE_VERSION = "1"
@@ -50,7 +51,8 @@ def write_cache(entries: DataFrame, path: str, previous: DataFrame | None = None
 
 
 def cache_latest(entries: DataFrame) -> DataFrame:
-    return latest(entries, ["path", "analyzer"], ["scanned_at"])
+    """The newest entry per file and analyzer; equal paths of different repositories are different files."""
+    return latest(entries, [*file_keys(entries), "analyzer"], ["scanned_at"])
 
 
 def read_cache(spark: SparkSession, path: str | None) -> DataFrame:
@@ -61,7 +63,9 @@ def read_cache(spark: SparkSession, path: str | None) -> DataFrame:
     rows = spark.read.parquet(path)
     if "version" not in rows.columns:
         return empty
-    columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in CACHE.fields]
+    columns = [
+        (F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in CACHE.fields
+    ]
     return rows.where(F.col("version") == CACHE_VERSION).select(*columns)
 
 
@@ -70,7 +74,10 @@ def expire_cache(entries: DataFrame, current: DataFrame, as_of: Column, max_age_
     fresh = entries.where(
         F.unix_micros(as_of.cast("timestamp")) - F.unix_micros("scanned_at") <= max_age_days * 86_400_000_000
     )
-    return fresh.join(current.select("path").distinct(), "path", "left_semi")
+    keys = file_keys(entries, current)
+    there = keyed(current, keys).select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+    own = {k: F.coalesce(fresh[k], F.lit("")) if k == "repo" else fresh[k] for k in keys}
+    return fresh.join(there, [own[k] == F.col(f"_{k}") for k in keys], "left_semi")
 
 
 def text_report(findings: DataFrame, title: str = "Security Report") -> DataFrame:

@@ -87,7 +87,6 @@ def ingest_semgrep(reports: DataFrame, report: str = "report", language: str = "
     text = F.concat_ws("\n", F.lower(rule), F.lower(message))
     # cwe is a text, a number or a list; a list comes through as its JSON text
     cwe = F.coalesce(F.get(F.from_json(meta["cwe"], "array<string>"), F.lit(0)), meta["cwe"])
-    first = F.get(meta["references"], F.lit(0))
     return _finish(
         rows, "semgrep", created_at,
         rule_id=F.concat(F.lit("SEMGREP-"), F.replace(rule, F.lit("/"), F.lit("-"))),
@@ -101,7 +100,7 @@ def ingest_semgrep(reports: DataFrame, report: str = "report", language: str = "
         line_end=F.coalesce(r["end"]["line"], r["start"]["line"], F.lit(1)),
         column_start=F.coalesce(r["start"]["col"], F.lit(0)), column_end=F.coalesce(r["end"]["col"], F.lit(0)),
         snippet=F.coalesce(extra["lines"], F.lit("")),
-        references=F.array_compact(F.array(first)),
+        references=F.coalesce(F.array_compact(meta["references"]), F.array().cast("array<string>")),
         tags=F.array(F.lit("semgrep"), F.concat(F.lit("semgrep_rule:"), rule), F.lit(f"language:{language}")),
         cwe_id=F.when(F.upper(cwe).startswith("CWE-"), cwe).otherwise(F.concat(F.lit("CWE-"), cwe)),
         remediation=F.coalesce(meta["fix"], extra["fix"]),
