@@ -20,11 +20,14 @@ from vigilake.udf import EXTENSIONS
 FILES = f"WITH files AS ({doc_files_sql()})"
 
 
-@query("scan_files")
+@query("scan_files", """SELECT 'source=' || source || '/lang=' || lang AS folder, 2 AS depth, '.txt' AS ext, CAST(sum(strlen(text) + 1) AS BIGINT) AS size
+  FROM documents GROUP BY source, lang""")
 def _(s, d):
     root = scratch_folder(s, "tree")
     documents(s, d).select("text", "lang", "source").write.partitionBy("source", "lang").text(root)
-    return scan_files(s, root).select("repo", "name", "ext", "depth", "size")
+    # how many files a folder has depends on the tasks that wrote it, what they hold together does not
+    files = scan_files(s, root, max_depth=3).withColumn("folder", F.regexp_replace("path", "/[^/]*$", ""))
+    return files.groupBy("folder", "depth", "ext").agg(F.sum("size").alias("size"))
 
 
 @query("files_from_table", f"""{FILES} SELECT repo, path, string_split(path, '/')[-1] AS name, '.txt' AS ext, 2 AS depth,

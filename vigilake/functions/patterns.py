@@ -14,7 +14,7 @@ from operator import and_, or_
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
-from vigilake.functions.arrays import let
+from vigilake.functions.arrays import let, let_sql
 from vigilake.rules.model import Rule
 
 try:
@@ -306,9 +306,14 @@ def sql_literal(value: str) -> str:
 
 
 def extracted(subject: str, rule_number: str, rules: list[Rule], unicode: bool = True) -> Column:
-    """Matches of the rule with the given number, by one literal pattern per rule."""
+    """Matches of the rule with the given number, by one literal pattern per rule.
+
+    The choice stands in a lambda: the code of many patterns in one method is more than the JVM compiles, and then the
+    whole stage would run interpreted instead of this one expression.
+    """
     branches = " ".join(
-        f"WHEN {number} THEN regexp_extract_all({subject}, {sql_literal(rule_pattern(rule, unicode))}, 0)"
+        f"WHEN {number} THEN regexp_extract_all(tried.subject, {sql_literal(rule_pattern(rule, unicode))}, 0)"
         for number, rule in enumerate(rules, 1)
     )
-    return F.expr(f"CASE {rule_number} {branches} END")
+    pair = f"named_struct('subject', {subject}, 'rule', {rule_number})"
+    return F.expr(let_sql("tried", pair, f"CASE tried.rule {branches} END"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from vigilake.functions.scalars import normalize_path
@@ -38,7 +40,7 @@ def scan_files(
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    base = root.rstrip("/")
+    base = re.sub(r"^file:/+", "/", root.rstrip("/"))
     relative = F.regexp_replace(F.regexp_replace("path", r"^file:/+", "/"), r"^.*?\Q" + base + r"\E/", "")
     files = reader.load(root).select(
         F.lit(base.rsplit("/", 1)[-1]).alias("repo"), relative.alias("path"),
