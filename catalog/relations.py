@@ -11,7 +11,6 @@ from catalog.bindings import (
 )
 from catalog.scans import FILES, cache_entries
 from vigilake.operators import advisories as A, commits as Cm, filters as Fi, ordering as O, packages as Pk, rollups as R, sets as S
-from vigilake.operators.matching import explode_lines
 from vigilake.operators.packs import rules_table
 from vigilake.plans.scan import scan
 from vigilake.rules.config import KNOWN_VULNERABLE
@@ -150,29 +149,26 @@ def _(s, d):
 _HITS = "h AS (SELECT path, line_no FROM l WHERE regexp_matches(line, '[0-9]{6,}'))"
 
 
-def _lines(s, d):
-    lines = explode_lines(doc_files(s, d), mode="universal")
-    return lines, lines.where(F.rlike("line", F.lit("[0-9]{6,}")))
+def _has_number(line):
+    return F.rlike(line, F.lit("[0-9]{6,}"))
 
 
 @query("snippet_context", f"""WITH l AS ({lines_sql(doc_files_sql())}), {_HITS} SELECT h.path, h.line_no, string_agg(l.line, chr(10) ORDER BY l.line_no) AS snippet
   FROM h JOIN l ON h.path = l.path AND l.line_no BETWEEN h.line_no - 3 AND h.line_no + 3 GROUP BY ALL""")
 def _(s, d):
-    lines, hits = _lines(s, d)
-    return O.snippet_context(hits.select("path", "line_no"), lines)
+    return O.text_windows(doc_files(s, d), 3, hit=_has_number).select("path", "line_no", "snippet")
 
 
 @query("lines_of_interest", f"""WITH l AS ({lines_sql(doc_files_sql())}), {_HITS} SELECT DISTINCT l.path, l.line_no, l.line
   FROM h JOIN l ON h.path = l.path AND l.line_no BETWEEN h.line_no - 2 AND h.line_no + 2""")
 def _(s, d):
-    lines, hits = _lines(s, d)
-    return O.lines_of_interest(hits, lines)
+    return O.text_lines_near(doc_files(s, d), _has_number)
 
 
 @query("snippet_window", f"""SELECT path, line_no, string_agg(line, chr(10)) OVER (PARTITION BY path ORDER BY line_no ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS snippet
   FROM ({lines_sql(doc_files_sql())})""")
 def _(s, d):
-    return O.snippet_window(explode_lines(doc_files(s, d), mode="universal"), 3).select("path", "line_no", "snippet")
+    return O.text_windows(doc_files(s, d), 3).select("path", "line_no", "snippet")
 
 
 @query("one_time_commits", f"WITH c AS ({ORDER_COMMITS}) SELECT repo, sha, author FROM c WHERE (repo, author) IN (SELECT (repo, author) FROM c GROUP BY repo, author HAVING count(*) = 1)")

@@ -132,3 +132,18 @@ def test_scan_reads_manifests_packages_prompts_and_bytes(spark):
     assert ("r1", "requirements.txt", "PIP002") in found and ("r1", "package.json", "NPM001") in found
     assert ("r1", "chat.json", "STRUCTURED_PROMPT") in found and ("r1", "plain.json", "BIN103") in found
     assert all(r.severity is not None for r in scan(files).collect())
+
+
+def test_line_windows_from_tables_and_from_texts_agree(spark):
+    from vigilake.operators import ordering as O
+    from vigilake.operators.matching import explode_lines
+
+    text = "\n".join(f"line {i}" + (" hit" if i % 7 == 3 else "") for i in range(40))
+    files = repo_files(spark, [("r", "a", text), ("r", "b", "hit"), ("r", "c", ""), ("r", "d", None)])
+    lines = explode_lines(files, mode="universal")
+    hit = lambda c: c.contains("hit")
+    hits = lines.where(hit(F.col("line"))).select("path", "line_no")
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert rows(O.text_windows(files, 2, hit=hit).select("path", "line_no", "snippet")) == rows(O.snippet_context(hits, lines, 2))
+    assert rows(O.text_lines_near(files, hit, 2)) == rows(O.lines_of_interest(hits, lines, 2))
+    assert "Exchange" not in O.text_windows(files, 2)._jdf.queryExecution().executedPlan().toString()

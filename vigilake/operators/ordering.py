@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from vigilake.functions.text import split_lines
 from vigilake.session import cut_lineage
 
 PATH = "location.path"
@@ -66,6 +67,36 @@ def latest(df: DataFrame, keys: Sequence[str], by: Sequence[str]) -> DataFrame:
     )
 
 
+def _near(array: str, n: int, at: Column) -> Column:
+    """The part of an array within ``n`` of a 0-based place."""
+    first = F.greatest(at - n, F.lit(0))
+    return F.slice(array, first + 1, F.least(at + n, F.size(array) - 1) - first + 1)
+
+
+def text_windows(
+    files: DataFrame, n: int = 3, keys: Sequence[str] = ("path",), text: str = "text", mode: str = "universal",
+    hit: Callable[[Column], Column] | None = None,
+) -> DataFrame:
+    """Lines of texts (those that pass ``hit``) with the lines within ``n`` of them as snippet.
+
+    The text of a file is one row, so its lines are at hand and nothing is shuffled.
+    """
+    lines = files.select(*keys, split_lines(F.col(text), mode).alias("_lines"))
+    rows = lines.select(*keys, "_lines", F.posexplode("_lines").alias("_i", "line"))
+    if hit is not None:
+        rows = rows.where(hit(F.col("line")))
+    return rows.select(*keys, (F.col("_i") + 1).alias("line_no"), "line", F.array_join(_near("_lines", n, F.col("_i")), "\n").alias("snippet"))
+
+
+def text_lines_near(
+    files: DataFrame, hit: Callable[[Column], Column], n: int = 2, keys: Sequence[str] = ("path",), text: str = "text", mode: str = "universal"
+) -> DataFrame:
+    """Lines of texts that pass ``hit`` and the lines within ``n`` of them, each once and without a shuffle."""
+    lines = files.select(*keys, split_lines(F.col(text), mode).alias("_lines")).withColumn("_hits", F.transform("_lines", hit))
+    rows = lines.select(*keys, "_hits", F.posexplode("_lines").alias("_i", "line"))
+    return rows.where(F.array_contains(_near("_hits", n, F.col("_i")), True)).select(*keys, (F.col("_i") + 1).alias("line_no"), "line")
+
+
 _CHUNK = 512
 
 
