@@ -7,14 +7,13 @@ Rules are written in the common part of the Python and Java dialects. What diffe
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from functools import lru_cache, reduce
 from operator import and_, or_
 
-import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, functions as F
 
-from vigilake.functions.arrays import let, let_sql
+from vigilake.functions.arrays import constant_array, empty_array, let, let_sql
+from vigilake.functions.text import split_lines
 from vigilake.rules.model import Rule
 
 try:
@@ -111,7 +110,6 @@ def _sequence_need(nodes: list) -> Need:
 
 # Letters outside ASCII that Unicode case folding treats as i, s or k; lower() alone does not map them.
 _FOLDED_LETTERS = ("\u0130", "\u0131", "\u017f")
-_FOLD_TABLE = {0x0130: "i", 0x0131: "i", 0x017F: "s"}
 
 
 @lru_cache(maxsize=None)
@@ -163,27 +161,34 @@ def literals_of(need: Need) -> set[str]:
     return {need} if isinstance(need, str) else set().union(*(literals_of(x) for x in need[1]))
 
 
-# Above this many literals one pass of a multi-string search in Arrow batches beats one contains() per literal
-# (measured on 25 MB of text and 8 cores: 154 literals take 2.5 s with contains(), 2.1 s as one folded regular
-# expression and 0.6 s in Arrow batches).
-_CONTAINS_LIMIT = 40
-PLACES = T.ArrayType(T.StructType([T.StructField("line", T.IntegerType()), T.StructField("rule", T.IntegerType())]))
+def rarest_literals(need: Need) -> list[str]:
+    """Literals of which every match holds at least one: the part of the tree with the fewest, then the longest ones."""
+    if need is None:
+        return [""]
+    if isinstance(need, str):
+        return [need.lower()]
+    parts = [rarest_literals(part) for part in need[1]]
+    if need[0] == "or":
+        return sorted(set().union(*parts))
+    return min(parts, key=lambda part: (len(part), -min(map(len, part))))
 
 
-def rule_literals(rules: list[Rule]) -> set[str]:
-    return set().union(*(literals_of(_lower(need)) for need in (needed_literals(r.pattern, r.flags) for r in rules) if need))
+def folded(text: Column) -> Column:
+    """The text as literals are looked for in it: lower case, and the letters that fold to i and s as these."""
+    return F.lower(F.translate(text, "".join(_FOLDED_LETTERS), "iis"))
 
 
 def places_to_try(
-    text: str, lines: str, rules: list[Rule], by_line: list[bool], unicode: bool, searched: str | None, admitted: str | None = None
+    text: str, lines: str, rules: list[Rule], by_line: list[bool], unicode: bool, mode: str, admitted: str | None = None
 ) -> Column:
     """Where rules have to be tried: an array of (line, rule), line 0 for the whole text.
 
-    ``text``, ``lines``, ``searched`` and ``admitted`` (numbers of the rules for this file) are column names. ``searched`` holds what :func:`search_udf` found; without
-    it the literals are looked for with contains(). Rules without literals are tried on the whole text first, with
-    ``^`` and ``$`` at line ends: a match inside a line is a match there too.
+    ``text``, ``lines`` and ``admitted`` (numbers of the rules for this file) are column names. First the whole folded
+    text must hold the literals of a rule; of rules for lines, only lines go on that hold one of its rarest literals.
+    Both steps are the same for any number of rules and stay in the JVM. Rules without literals are tried on the whole
+    text first, with ``^`` and ``$`` at line ends: a match inside a line is a match there too.
     """
-    needs = [needed_literals(rule.pattern, rule.flags) for rule in rules]
+    needs = [_lower(need) if need else None for need in (needed_literals(rule.pattern, rule.flags) for rule in rules)]
 
     def holds(need: Need, column: Column) -> Column:
         if isinstance(need, str):
@@ -193,111 +198,35 @@ def places_to_try(
     def numbers(v: Column) -> Column:
         out = []
         for number, (rule, need) in enumerate(zip(rules, needs), 1):
-            test = F.lit(True) if admitted is None else F.array_contains(admitted, F.lit(number))
-            if need is None and by_line[number - 1]:
-                test = test & F.rlike(text, F.lit("(?m)" + rule_pattern(rule, unicode)))
-            elif need is not None and searched is not None:
-                continue
-            elif need is not None and ignores_case(rule):
-                test = test & (holds(need, v["lowered"]) | v["folded"])
-            elif need is not None:
-                test = test & holds(need, F.col(text))
-            out.append(F.when(test, F.lit(number)))
+            tests = [] if admitted is None else [F.array_contains(admitted, F.lit(number))]
+            if need is not None:
+                tests.append(holds(need, v))
+            elif by_line[number - 1]:
+                tests.append(F.rlike(text, F.lit("(?m)" + rule_pattern(rule, unicode))))
+            out.append(F.when(reduce(and_, tests), F.lit(number)) if tests else F.lit(number))
         return F.array_compact(F.array(*out)) if out else F.array().cast("array<int>")
 
-    if searched is None:
-        folded = reduce(or_, [F.col(text).contains(x) for x in _FOLDED_LETTERS])
-        found = let(F.struct(F.lower(text).alias("lowered"), folded.alias("folded")), numbers)
-    else:
-        found = numbers(None)
-    line_rules = F.array(*[F.lit(n) for n, flag in enumerate(by_line, 1) if flag]).cast("array<int>")
-    own = F.expr(f"size({lines})")
-    places = F.flatten(F.transform(
-        found,
-        lambda n: F.when(
-            F.array_contains(line_rules, n),
-            F.transform(F.sequence(F.lit(1), own), lambda i: F.struct(i.cast("int").alias("line"), n.cast("int").alias("rule"))),
-        ).otherwise(F.array(F.struct(F.lit(0).alias("line"), n.cast("int").alias("rule")))),
-    ))
-    return places if searched is None else F.concat(F.col(searched), places)
-
-
-def search_udf(rules: list[Rule], by_line: list[bool], universal: bool, guarded: bool):
-    """Arrow UDF that looks for the literals of all rules in one pass and settles their and/or trees.
-
-    Gives (line, rule) where a rule may match: line by line for rules that match inside lines, else line 0. Takes the
-    text and, if ``guarded``, the numbers of the rules for this file.
-    """
-    needs = [_lower(need) if need else None for need in (needed_literals(r.pattern, r.flags) for r in rules)]
-    owners: dict[str, list[int]] = {}
-    for n, need in enumerate(needs, 1):
-        for literal in sorted(literals_of(need)):
-            owners.setdefault(literal, []).append(n)
-
-    def search(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        find = _literal_finder(list(owners))
-
-        def settled(need, found) -> bool:
-            if isinstance(need, str):
-                return need in found
-            return (all if need[0] == "and" else any)(settled(part, found) for part in need[1])
-
-        def worth_trying(found, allowed, lines_only):
-            numbers = {
-                n for literal in found for n in owners[literal]
-                if by_line[n - 1] is lines_only and (allowed is None or n in allowed)
-            }
-            return [n for n in sorted(numbers) if settled(needs[n - 1], found)]
-
-        def one(value, allowed):
-            if value is None:
-                return []
-            value = _fold(value)
-            places, everywhere = [], set()
-            for i, line in enumerate(value.splitlines() if universal else value.split("\n"), 1):
-                found = find(line)
-                if found:
-                    everywhere |= found
-                    places += [{"line": i, "rule": n} for n in worth_trying(found, allowed, True)]
-            return places + [{"line": 0, "rule": n} for n in worth_trying(everywhere, allowed, False)]
-
-        for columns in batches:
-            if isinstance(columns, pd.Series):
-                yield columns.map(lambda value: one(value, None))
-            else:
-                texts, admitted = columns
-                yield pd.Series([one(value, set(rules)) for value, rules in zip(texts, admitted)], index=texts.index, dtype=object)
-
-    def search_texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        return search(batches)
-
-    def search_admitted(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        return search(batches)
-
-    # not deterministic only in name: it keeps the optimizer from copying the call into pushed-down filters
-    return F.pandas_udf(search_admitted if guarded else search_texts, PLACES).asNondeterministic()
-
-
-def needs_search(rules: list[Rule]) -> bool:
-    return len(rule_literals(rules)) > _CONTAINS_LIMIT
-
-
-def _fold(value: str) -> str:
-    if any(ch in value for ch in _FOLDED_LETTERS):
-        value = value.translate(_FOLD_TABLE)
-    return value.lower()
-
-
-def _literal_finder(literals: list[str]):
-    try:
-        import ahocorasick
-    except ImportError:
-        return lambda value: {x for x in literals if x in value}
-    automaton = ahocorasick.Automaton()
-    for literal in literals:
-        automaton.add_word(literal, literal)
-    automaton.make_automaton()
-    return lambda value: {x for _, x in automaton.iter(value)}
+    line_rules = constant_array([n for n, flag in enumerate(by_line, 1) if flag], "int")
+    marks = constant_array([rarest_literals(need) for need in needs], "array<string>")
+
+    def places(w: Column) -> Column:
+        """Of the rules found in a text, ``w.found``, with its folded lines."""
+
+        def of_rule(n: Column) -> Column:
+            own = lambda i: F.exists(F.element_at(marks, n), lambda x: F.get(w["lines"], i - 1).contains(x))
+            numbered = F.when(F.size(w["lines"]) > 0, F.sequence(F.lit(1), F.size(w["lines"])))
+            hit = F.transform(F.filter(numbered, own), lambda i: F.struct(i.cast("int").alias("line"), n.cast("int").alias("rule")))
+            whole = F.array(F.struct(F.lit(0).alias("line"), n.cast("int").alias("rule")))
+            return F.when(F.array_contains(line_rules, n), F.coalesce(hit, empty_array("struct<line:int,rule:int>"))).otherwise(whole)
+
+        return F.flatten(F.transform(w["found"], of_rule))
+
+    def searched(v: Column) -> Column:
+        return let(numbers(v), lambda found: F.when(
+            F.size(found) > 0, let(F.struct(split_lines(v, mode).alias("lines"), found.alias("found")), places)
+        ).otherwise(empty_array("struct<line:int,rule:int>")))
+
+    return let(folded(F.col(text)), searched)
 
 
 def sql_literal(value: str) -> str:

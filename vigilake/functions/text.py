@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, functions as F
 
-from vigilake.functions.arrays import let_sql, running_sql
+from vigilake.functions.arrays import let, let_sql, running_sql
 
 # Line ends of str.splitlines(); \r\n counts once.
 UNIVERSAL_LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+_RARE_LINE_ENDS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 
 
 def split_lines(text: Column, mode: str = "lf") -> Column:
@@ -16,8 +20,13 @@ def split_lines(text: Column, mode: str = "lf") -> Column:
         return F.split(text, "\n", -1)
     if mode != "universal":
         raise ValueError("mode is 'lf' or 'universal'")
-    parts = F.split(text, UNIVERSAL_LINE_END, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+
+    def parts(v: Column) -> Column:
+        # splitting at one character needs no regular expression, and most texts have line feeds only
+        rare = reduce(or_, [v.contains(end) for end in _RARE_LINE_ENDS])
+        return F.when(rare, F.split(v, UNIVERSAL_LINE_END, -1)).otherwise(F.split(v, "\n", -1))
+
+    return let(let(text, parts), lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, 1, F.size(p) - 1)).otherwise(p))
 
 
 def match_spans(text: str, pattern: str, found: str | None = None) -> Column:

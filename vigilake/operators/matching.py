@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from vigilake.functions.arrays import constant_array, running_totals
 from vigilake.functions.patterns import (
-    extracted, needs_search, places_to_try, rule_pattern, search_udf, stays_on_line,
+    extracted, places_to_try, rule_pattern, stays_on_line,
 )
 from vigilake.functions.text import lines_around, match_context, match_spans, split_lines
 from vigilake.rules.model import Pack, Rule
@@ -57,19 +57,14 @@ def _tried(
 ) -> DataFrame:
     """One row per place where a rule has to be tried, with the matches found there.
 
-    Columns: keys, ``_text``, ``_lines``, ``_line`` (0 for the whole text), ``_subject``, ``_rule``, ``_found``.
+    Columns: keys, ``_text``, ``_lines``, ``_line`` (0 for the whole text), ``_subject``, ``_rule``, ``_found`` (may be empty).
     """
     rules = [rule for rule, _ in entries]
     admitted = _admitted(entries)
     base = _guarded(files, entries).select(
         *keys, F.col(text).alias("_text"), *([] if admitted is None else [admitted.alias("_admitted")])
     )
-    searched = None
-    if needs_search(rules):
-        searched = "_searched"
-        search = search_udf(rules, by_line, mode == "universal", admitted is not None)
-        base = base.withColumn("_searched", search(*(["_text"] if admitted is None else ["_text", "_admitted"])))
-    held = [c for c in base.columns if c != "_searched"]
+    held = base.columns
     base = base.withColumn("_lines", split_lines(F.col("_text"), mode))
     extra = ["_lines"]
     if ends:
@@ -77,16 +72,14 @@ def _tried(
         base = base.withColumn("_ends", running_totals("transform(_lines, x -> length(x) + 1)"))
         extra.append("_ends")
     placed = base.select(
-        *held, *extra, F.explode(
-            places_to_try("_text", "_lines", rules, by_line, unicode, searched, None if admitted is None else "_admitted")
+        *held, *extra, F.explode_outer(  # a plain explode is evaluated a second time, in a filter that the optimizer adds
+            places_to_try("_text", "_lines", rules, by_line, unicode, mode, None if admitted is None else "_admitted")
         ).alias("_p")
-    )
-    if admitted is not None:
-        placed = placed.where(F.array_contains("_admitted", F.col("_p.rule")))
+    ).where(F.col("_p").isNotNull())
     subject = F.when(F.col("_p.line") == 0, F.col("_text")).otherwise(F.get("_lines", F.col("_p.line") - 1))
     return placed.select(
         *keys, "_text", *extra, F.col("_p.line").alias("_line"), F.col("_p.rule").alias("_rule"), subject.alias("_subject")
-    ).withColumn("_found", extracted("_subject", "_rule", rules, unicode)).where(F.size("_found") > 0)
+    ).withColumn("_found", extracted("_subject", "_rule", rules, unicode))
 
 
 def _spans(tried: DataFrame, entries: Entries, unicode: bool, *columns) -> DataFrame:
@@ -95,8 +88,8 @@ def _spans(tried: DataFrame, entries: Entries, unicode: bool, *columns) -> DataF
     patterns = constant_array(rule_pattern(rule, unicode) for rule, _ in entries)
     return tried.withColumn("_pattern", F.element_at(patterns, F.col("_rule"))).select(
         *columns, "_line", F.element_at(ids, F.col("_rule")).alias("_rule_id"),
-        F.explode(match_spans("_subject", "_pattern", "_found")).alias("_s"),
-    )
+        F.explode_outer(match_spans("_subject", "_pattern", "_found")).alias("_s"),
+    ).where(F.col("_s").isNotNull())
 
 
 def explode_lines(files: DataFrame, keys: Sequence[str] = ("path",), text: str = "text", mode: str = "lf") -> DataFrame:
@@ -177,7 +170,7 @@ def match_content(
     """
     entries = pack_entries(pack) if isinstance(pack, Pack) else list(pack)
     # a rule that cannot see a line feed gives the same matches line by line, on far less text
-    by_line = [needs_search([r for r, _ in entries]) and stays_on_line(rule) for rule, _ in entries]
+    by_line = [stays_on_line(rule) for rule, _ in entries]
     tried = _tried(files, entries, keys, text, by_line, "lf", unicode, ends=snippet == "context")
     whole = F.col("_line") == 0
     columns = list(keys)
@@ -212,6 +205,6 @@ def match_counts(
     """Number of matches per text and rule, without positions."""
     entries = pack_entries(pack) if isinstance(pack, Pack) else list(pack)
     ids = constant_array(rule.rule_id for rule, _ in entries)
-    return _tried(files, entries, keys, text, [False] * len(entries), "lf", unicode).select(
+    return _tried(files, entries, keys, text, [False] * len(entries), "lf", unicode).where(F.size("_found") > 0).select(
         *keys, F.element_at(ids, F.col("_rule")).alias("rule_id"), F.size("_found").cast("bigint").alias("n_matches")
     )
