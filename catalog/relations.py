@@ -220,7 +220,18 @@ def _(s, d):
     return R.top_extensions(doc_findings(s, d))
 
 
-@query("scan_metadata")
+@query("scan_metadata", on_findings("""SELECT 'scan' AS section, key, value FROM (VALUES ('scan_id', 'scan'), ('repository', 'corpus'),
+    ('timestamp', '2024-06-01 00:00:00'), ('duration_seconds', '60.0'), ('enabled_analyzers', 'corpus,wording')) AS facts(key, value)
+  UNION ALL SELECT 'totals', key, value FROM (SELECT count(*) AS f, (SELECT count(*) FROM findings) AS n FROM documents),
+    LATERAL (VALUES ('file_count', CAST(f AS VARCHAR)), ('finding_count', CAST(n AS VARCHAR)),
+      ('findings_per_file', CAST(n / f AS VARCHAR)), ('files_per_second', CAST(f / 60.0::DOUBLE AS VARCHAR))) AS rates(key, value)
+  UNION ALL SELECT 'extension_stats', '.txt', CAST(count(*) AS VARCHAR) FROM documents
+  UNION ALL SELECT 'severity_counts', s, CAST(count(f.id) AS VARCHAR) FROM (VALUES ('low'), ('medium'), ('high'), ('critical')) AS v(s)
+    LEFT JOIN findings f ON f.severity = s GROUP BY s
+  UNION ALL SELECT 'type_counts', type, CAST(count(*) AS VARCHAR) FROM findings GROUP BY type
+  UNION ALL SELECT 'analyzer_counts', analyzer, CAST(count(*) AS VARCHAR) FROM findings GROUP BY analyzer
+  UNION ALL SELECT 'top_extensions', '.txt', CAST(count(*) AS VARCHAR) FROM findings
+  UNION ALL SELECT DISTINCT 'tags', tag, tag FROM (SELECT unnest(tags) AS tag FROM findings)"""))
 def _(s, d):
     start, end = F.to_timestamp(F.lit(AS_OF)), F.to_timestamp(F.lit("2024-06-01 00:01:00"))
     return R.scan_metadata(doc_files(s, d), doc_findings(s, d), scan_id="scan", repository="corpus", started_at=start, finished_at=end,

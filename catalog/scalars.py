@@ -15,7 +15,7 @@ from vigilake.operators.matching import match_content, match_counts, pack_entrie
 from vigilake.rules.model import Rule
 from vigilake.session import read_table, scratch_folder
 from vigilake.sources.files import content_hash, files_from_table
-from vigilake.streaming.incremental import incremental_scan, stream_finding_counts, stream_new_files
+from vigilake.streaming.incremental import incremental_scan, read_finding_counts, start_finding_counts, stream_new_files
 from vigilake.udf import analyzer_from_function, error_findings, register_analyzer, register_rule_pack, run_registered
 
 
@@ -229,7 +229,8 @@ def _stream(s, d, table):
     "SELECT DISTINCT sha256(text) AS content_hash, text FROM documents", [*CORPUS.rules, *WORDING.rules], key="content_hash")}) GROUP BY ALL""")
 def _(s, d):
     arriving = _stream(s, d, "documents").select(
-        F.sha2("text", 256).alias("content_hash"), "text", F.to_timestamp(F.lit(AS_OF)).alias("mtime"))
+        F.sha2("text", 256).alias("content_hash"), "text",
+        (F.to_timestamp(F.lit(AS_OF)) + F.make_interval(secs=F.col("doc_id"))).alias("mtime"))
     entries = [*pack_entries(CORPUS), *pack_entries(WORDING)]
     found = stream_new_files(arriving, lambda f: match_counts(f, entries, keys=("content_hash",)))
     out, state = scratch_folder(s, "stream-out"), scratch_folder(s, "stream-state")
@@ -246,11 +247,10 @@ _SEV = "CASE event_type WHEN 'error' THEN 'critical' WHEN 'purchase' THEN 'high'
 def _(s, d):
     level = F.coalesce(Sc.lookup(F.col("event_type"), _EVENT_SEVERITY), F.lit("low"))
     findings = _stream(s, d, "events").select(F.col("ts").cast("timestamp").alias("created_at"), level.alias("severity"))
-    name = "finding_counts_" + scratch_folder(s, "state").rsplit("/", 2)[-2].replace("-", "_")
-    # complete mode holds one row per hour and severity, whatever the number of events
-    done = stream_finding_counts(findings).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    done.awaitTermination()
-    return s.table(name).select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "severity", "n")
+    out = scratch_folder(s, "counts")
+    start_finding_counts(findings, out, scratch_folder(s, "counts-state")).awaitTermination()
+    counts = read_finding_counts(s, out)
+    return counts.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "severity", "n")
 
 
 # --- extension points --------------------------------------------------------------------------------------------------

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.bindings import (
-    AS_OF, FINDINGS_CTE, PAGE_PATH, doc_files, doc_files_sql, doc_findings, documents, lines_sql, lit, on_findings,
+    AS_OF, FINDINGS_CTE, NL, PAGE_PATH, doc_files, doc_files_sql, doc_findings, documents, lines_sql, lit, on_findings,
     page_files, page_files_sql, pages, query,
 )
 from vigilake.operators import advisories as A, filters as Fi, packages as Pk
@@ -180,7 +180,17 @@ def _(s, d):
     )
 
 
-@query("text_report")
+_CAPITAL = "upper(left(type, 1)) || substr(type, 2)"
+
+
+@query("text_report", on_findings(f"""SELECT 0 AS section, CAST(1 AS BIGINT) AS ordinal, 'Security Report' AS line
+  UNION ALL SELECT 1, CASE severity WHEN 'critical' THEN 1 WHEN 'high' THEN 2 WHEN 'medium' THEN 3 ELSE 4 END, upper(severity) || ': ' || count(*)
+    FROM findings GROUP BY severity
+  UNION ALL SELECT 2, -count(*), {_CAPITAL} || ': ' || count(*) FROM findings GROUP BY type
+  UNION ALL SELECT 6 - severity_rank, ordinal, ordinal || '. ' || title || {NL} || '   ID: ' || id || {NL} || '   Type: ' || {_CAPITAL} || {NL}
+    || '   Location: ' || path || ':' || line_start || {NL} || '   Description: ' || title || ': ' || matched_text
+    || coalesce({NL} || '   Remediation: ' || nullif(remediation, ''), '')
+    FROM (SELECT *, row_number() OVER (PARTITION BY severity ORDER BY path, line_start, column_start, rule_id, id) AS ordinal FROM findings)"""))
 def _(s, d):
     return stores.text_report(doc_findings(s, d))
 

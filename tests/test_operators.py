@@ -78,6 +78,12 @@ def test_scan_files_reads_a_tree(spark, tmp_path):
     assert all(r.text.endswith("\ufffd") for r in rows)
 
 
+def test_versions_with_parts_of_any_length(spark):
+    pairs = [("20240601123456789012", "3.1"), ("1." + "9" * 40, "1.1" + "0" * 40), ("1.0.0", "1"), ("01.2", "1.2"), ("1.a", "1.b")]
+    rows = spark.createDataFrame(pairs, "a string, b string").select(Ve.compare_versions(F.col("a"), F.col("b")).alias("c")).collect()
+    assert [r.c for r in rows] == [1, -1, 0, 0, -1]
+
+
 def test_binary_sniffing_and_entropy(spark):
     rows = [(".py", b"\x00"), (".exe", b"text"), (".xyz", b"a\x00b"), (".xyz", b"\xff\xfe"), (".xyz", b"plain"), (".xyz", None)]
     df = spark.createDataFrame(rows, "ext string, content binary")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from vigilake.operators.sets import cache_misses
+from vigilake.session import cut_lineage
 from vigilake.sources.stores import read_cache, write_cache
 
 Scan = Callable[[DataFrame], DataFrame]
@@ -23,15 +24,18 @@ class IncrementalResult:
     entries: DataFrame
 
 
-def incremental_scan(files: DataFrame, cache: DataFrame, analyzers: dict[str, Scan], as_of: Column) -> IncrementalResult:
+def incremental_scan(
+    files: DataFrame, cache: DataFrame, analyzers: dict[str, Scan], as_of: Column, hold: Callable[[DataFrame], DataFrame] | None = None
+) -> IncrementalResult:
     """Run each analyzer on the files whose content it has not seen, and give the cache entries for them.
 
-    A file without findings gets an entry too, so it is not scanned again.
+    A file without findings gets an entry too, so it is not scanned again. The counts of the entries need the findings a
+    second time; with ``hold`` (such as ``cut_lineage``, which writes them) they are computed once.
     """
     scanned, found, entries = [], [], []
     for name, run in analyzers.items():
         new = cache_misses(files, cache, name)
-        findings = run(new)
+        findings = run(new) if hold is None else hold(run(new))
         counts = findings.groupBy(F.col("location.path").alias("path")).agg(F.count("*").alias("n_findings"))
         scanned.append(new.select("path", "content_hash", F.lit(name).alias("analyzer")))
         found.append(findings)
@@ -69,6 +73,27 @@ def stream_finding_counts(
     )
 
 
+def start_finding_counts(
+    findings: DataFrame, path: str, checkpoint: str, *, event_time: str = "created_at", window: str = "1 hour", delay: str = "1 hour"
+) -> StreamingQuery:
+    """Write the counts that a micro-batch changed to a folder of its number; windows behind the watermark leave the state.
+
+    A batch that is run again replaces its folder. Read the result with :func:`read_finding_counts`.
+    """
+
+    def changed(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    counts = stream_finding_counts(findings, event_time=event_time, window=window, delay=delay)
+    return counts.writeStream.outputMode("update").foreachBatch(changed).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_finding_counts(spark: SparkSession, path: str) -> DataFrame:
+    """The newest count of every window and severity."""
+    rows = spark.read.schema("window_start timestamp, severity string, n bigint, batch bigint").parquet(path)
+    return rows.groupBy("window_start", "severity").agg(F.max_by("n", "batch").alias("n"))
+
+
 def start_incremental_stream(
     spark: SparkSession, arriving: DataFrame, analyzers: dict[str, Scan], *, findings_path: str, cache_root: str,
     checkpoint: str, available_now: bool = True,
@@ -82,11 +107,10 @@ def start_incremental_stream(
     def one_batch(batch: DataFrame, number: int) -> None:
         previous = read_cache(spark, f"{cache_root}/{number - 1}" if number > 0 else None)
         batch.persist()
-        result = incremental_scan(batch, previous, analyzers, F.current_timestamp())
+        result = incremental_scan(batch, previous, analyzers, F.current_timestamp(), hold=cut_lineage)
         result.findings.write.mode("overwrite").parquet(f"{findings_path}/batch={number}")
         write_cache(result.entries, f"{cache_root}/{number}", previous, mode="overwrite")
         batch.unpersist()
 
     writer = arriving.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
-
