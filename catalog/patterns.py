@@ -74,7 +74,13 @@ def _(s, d):
 _REGEX_SEED = ("x = /a++b/; y = /ok/; z = /(a*)*{id}**/", "p = /x+\\/y**/g")
 
 
-@query("regex_literal_risks")
+_RISKY = r"(?s)([*+?]\\\{.*\\\}|[*+?]{2,}|\\\\?.+\\.*[+*])$"
+
+
+@query("regex_literal_risks", f"""SELECT path, line_no AS line_start, piece AS matched_text, 'JS106' AS rule_id FROM (
+    SELECT path, line_no, replace(unnest(parts[2:len(parts) - 1]), chr(1), '\\/') AS piece FROM (
+      SELECT path, line_no, string_split(replace(line, '\\/', chr(1)), '/') AS parts FROM ({lines_sql(doc_files_sql(_REGEX_SEED))})))
+  WHERE regexp_matches(piece, {lit(_RISKY)})""")
 def _(s, d):
     return P.regex_literal_risks(doc_files(s, d, _REGEX_SEED)).select("path", "line_start", "matched_text", "rule_id")
 
