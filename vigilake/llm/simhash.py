@@ -16,7 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from vigilake.llm.common import components, folded_words, shingle_hashes, shingle_set, texts_of
+from vigilake.llm.common import components, folded_words, shingle_hashes, texts_of
+from vigilake.llm.set_join import shingle_nodes, similar_roots
 from vigilake.session import cut_lineage
 
 FAN = 8
@@ -259,37 +260,16 @@ def _code_components(codes: DataFrame, links: DataFrame) -> DataFrame:
     return rooted.join(least, "root").select("fp", "component_id")
 
 
-def similar_links(links: DataFrame, codes: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The links whose texts share at least ``similarity`` of their different shingles (Jaccard)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for left, right in zip(batch.column("left"), batch.column("right"), strict=True):
-                x, y = shingle_set(left.as_py(), words), shingle_set(right.as_py(), words)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    ends = links.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(codes, "fp")
-    texts = ends.join(docs.select(F.col("doc_id").alias("first"), "text"), "first").dropDuplicates(["fp"])
-    texts = cut_lineage(texts.select("fp", F.col("text").cast("string").alias("text")))
-    side = lambda key, name: texts.select(F.col("fp").alias(key), F.col("text").alias(name))
-    pairs = links.select("a", "b").join(side("a", "left"), "a").join(side("b", "right"), "b")
-    return cut_lineage(pairs.mapInArrow(run, "a long, b long"))
-
-
-def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, distance: int = 10, sure: int = 6) -> DataFrame:
+def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The documents with one left (the smallest doc_id) of each group of near copies, all columns as they were.
 
-    Fingerprints within ``distance`` bits are candidates, which is where shingle sets of similarity 0.8 lie as a rule;
-    a link counts if the texts really share that much. Links up to ``sure`` bits are all looked at; of those beyond, the
-    ones that agree on two of eight bit blocks. Texts without words are copies of each other. Rows that repeat a doc_id
-    stand or fall together.
+    Two texts are linked if they share at least ``similarity`` of their different shingles; all such pairs count, see
+    ``set_join``. Texts without words are copies of each other. Rows that repeat a doc_id stand or fall together: they stay
+    if the doc_id is the smallest of the group of one of their texts.
     """
-    prints = cut_lineage(fingerprints(docs, words))
-    codes = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    links = cut_lineage(fingerprint_links(codes, distance, sure))
-    groups = prints.join(_code_components(codes, similar_links(links, codes, docs, words, similarity)), "fp")
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_llm_id"))
+    nodes = cut_lineage(shingle_nodes(docs, words))
+    roots = similar_roots(nodes, words, similarity)
+    rows = nodes.select("doc_id", "node")
+    rows = rows.withColumn("root", F.col("node")) if roots is None else rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    kept = rows.groupBy("root").agg(F.min("doc_id").alias("_llm_id")).select("_llm_id").distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_llm_id")), "left_semi")
