@@ -55,3 +55,19 @@ def test_planted_pairs_are_all_found(docs, similarity):
     kept, pairs = brute_force(texts)
     assert len(pairs) == 60 and kept == list(range(60))
     assert kept_ids(docs(texts)) == kept
+
+
+def test_links_behind_failing_candidates(docs):
+    """Clusters from one template, most of whose pairs are below 0.8 and closer than some that are over it."""
+    rng = np.random.default_rng(1)
+    texts = []
+    for _ in range(4):
+        template = words_of(rng, 300)
+        for _ in range(25):
+            own = edited(rng, template, float(rng.uniform(0.78, 0.9)))
+            texts += [" ".join(own), *[" ".join(edited(rng, own, float(rng.uniform(0.78, 0.9)))) for _ in range(2)]]
+    order = rng.permutation(len(texts))
+    texts = [texts[i] for i in order]
+    kept, pairs = brute_force(texts)
+    assert 10 < len(kept) < len(texts) - 10
+    assert kept_ids(docs(texts)) == kept
