@@ -71,3 +71,21 @@ def test_links_behind_failing_candidates(docs):
     kept, pairs = brute_force(texts)
     assert 10 < len(kept) < len(texts) - 10
     assert kept_ids(docs(texts)) == kept
+
+
+def test_equal_fingerprints_are_no_proof(docs):
+    """One shingle makes most of each text, so it is the fingerprint; the texts differ otherwise."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(["pad"] * 400 + words_of(rng, 100)) for _ in range(5)]
+    texts += [" ".join(["pad"] * 300 + edited(rng, t.split()[400:], 0.9)) for t in texts[:2]]
+    assert len({simhash.fingerprint(t.encode(), 5) for t in texts}) == 1
+    assert brute_force(texts)[0] == [0, 1, 2, 3, 4]
+    assert kept_ids(docs(texts)) == [0, 1, 2, 3, 4]
+
+
+def test_texts_of_a_repeated_id_are_compared_each(spark):
+    rng = np.random.default_rng(4)
+    one, two = words_of(rng, 200), words_of(rng, 200)
+    rows = [(7, one), (7, two), (8, edited(rng, two, 0.9)), (9, edited(rng, one, 0.9))]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")
+    assert kept_ids(df) == [7, 7]
