@@ -89,3 +89,12 @@ def test_texts_of_a_repeated_id_are_compared_each(spark):
     rows = [(7, one), (7, two), (8, edited(rng, two, 0.9)), (9, edited(rng, one, 0.9))]
     df = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")
     assert kept_ids(df) == [7, 7]
+
+
+def test_groups_over_a_block_lose_nothing(docs, monkeypatch):
+    monkeypatch.setattr(set_join, "BLOCK", 8)
+    rng = np.random.default_rng(6)
+    template = words_of(rng, 150)
+    texts = [" ".join(edited(rng, template, float(rng.uniform(0.8, 0.9)))) for _ in range(60)]
+    kept, _ = brute_force(texts)
+    assert kept_ids(docs(texts)) == kept
