@@ -1,4 +1,4 @@
-"""The ten operators over the given tables with production parameters, and the same questions in SQL where it can say them."""
+"""The operators over the given tables with production parameters, and the same questions in SQL where it can say them."""
 
 from __future__ import annotations
 
@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from vigilake.llm import exact_dedup, line_dedup, mixing, nearest, pii, quality, sentencepiece_wfst, sharding, simhash, url_filter
+from vigilake.llm import (
+    exact_dedup, hard_negatives, itq_dedup, line_dedup, merkle, mixing, nearest, pii, quality, sentencepiece_wfst, sharding, simhash, url_filter,
+)
 from vigilake.llm.common import LOWER, UPPER, WORD, word_count
 from vigilake.session import read_table
 
@@ -271,3 +273,109 @@ def remainder() -> Column:
 def op10(s: SparkSession, d: str) -> DataFrame:
     found = quality.quality_scores(documents(s, d), read_table(s, d, "labels"), may_learn=remainder().isin(*MAY_LEARN_REMAINDERS))
     return found.select("doc_id", (remainder() == 2).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
+# --- 11 near duplicates among embeddings --------------------------------------------------------------------------------
+
+_FINITE_SQL = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+@query("op11_embedding_near_dedup", f"""
+WITH RECURSIVE rows_ AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+usable AS (SELECT vec_id, v FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE {_FINITE_SQL}) WHERE len(list_filter(v, lambda x: x <> 0)) > 0),
+links AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.9),
+reach AS (SELECT vec_id AS node, vec_id AS seen FROM rows_ UNION SELECT r.node, l.b FROM reach r JOIN links l ON r.seen = l.a),
+least AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM rows_ JOIN least ON vec_id = node LEFT JOIN counts ON vec_id = a
+""")
+def op11(s: SparkSession, d: str) -> DataFrame:
+    return itq_dedup.near_copies(read_table(s, d, "embeddings"), cosine=0.9)
+
+
+# --- 12 hard negatives --------------------------------------------------------------------------------------------------
+
+@query("op12_hard_negatives", f"""
+WITH rows_ AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x FROM embeddings WHERE label IS NOT NULL AND {_FINITE_SQL}),
+scored AS MATERIALIZED (SELECT a.vec_id AS anchor_id, a.label = c.label AS alike, c.vec_id, CAST(list_inner_product(a.x, c.x) AS BIGINT) AS score
+  FROM rows_ a JOIN rows_ c ON a.vec_id <> c.vec_id WHERE a.vec_id % 50 = 0),
+positives AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+ranked AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM positives p JOIN scored s ON p.anchor_id = s.anchor_id AND NOT s.alike AND 100 * s.score BETWEEN 50 * positive_score AND 95 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 3
+""")
+def op12(s: SparkSession, d: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(read_table(s, d, "embeddings"), label, every=50, positives=5, negatives=3, low=50, high=95)
+
+
+# --- 13 Merkle manifest -------------------------------------------------------------------------------------------------
+
+LEAF_COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+def leaf_digest(**instead: Column) -> Column:
+    """Digest of a record: each column as byte count, colon and value, or a dash if null."""
+    values = [instead.get(c, F.col(c)).cast("string") for c in LEAF_COLUMNS]
+    return F.sha2(F.concat(*[F.coalesce(F.concat(F.octet_length(v).cast("string"), F.lit(":"), v), F.lit("-")) for v in values]), 256)
+
+
+def _leaf_sql(text: str) -> str:
+    values = [f"CAST({c} AS VARCHAR)" for c in LEAF_COLUMNS[:-1]] + [text]
+    return "sha256(" + " || ".join(f"coalesce(strlen({v}) || ':' || {v}, '-')" for v in values) + ")"
+
+
+def _tree_sql(name: str, leaves: str, tree: str, levels: int) -> str:
+    """Levels ``name``0... of the trees over ``leaves`` (tree, pos, h), each node with its siblings left and right of it."""
+    out, before = [], leaves
+    for i in range(levels + 1):
+        out.append(f"""{name}{i} AS MATERIALIZED (SELECT *, total > 1 AS live, coalesce(string_agg(h, '') OVER (run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS pre,
+  coalesce(string_agg(h, '') OVER (run ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS post
+  FROM (SELECT {tree} AS tree, pos, h, count(*) OVER (PARTITION BY {tree}) AS total FROM {before}) WINDOW run AS (PARTITION BY tree, pos // 3 ORDER BY pos))""")
+        out.append(f"""{name}{i}up AS MATERIALIZED (SELECT tree, pos // 3 AS pos, CASE WHEN max(total) > 1 THEN sha256(string_agg(h, '' ORDER BY pos)) ELSE max(h) END AS h
+  FROM {name}{i} GROUP BY tree, pos // 3)""")
+        before, tree = f"{name}{i}up", "tree"
+    return ",\n".join(out)
+
+
+def _climb_sql(name: str, rows: str, tree: str, levels: int) -> str:
+    """``name``0... : rows with (digest, proof) carried up over the levels of the trees."""
+    out, before = [], rows
+    for i in range(levels):
+        out.append(f"""{name}{i} AS MATERIALIZED (SELECT r.* REPLACE (CASE WHEN live THEN sha256(pre || r.digest || post) ELSE r.digest END AS digest,
+  CASE WHEN live THEN r.proof || pre || post ELSE r.proof END AS proof, r.spot // 3 AS spot) FROM {before} r JOIN {tree}{i} t ON r.tree IS NOT DISTINCT FROM t.tree AND r.spot = t.pos)""")
+        before = f"{name}{i}"
+    return ",\n".join(out)
+
+
+#: CRC32 of the decimal doc_id, a byte and a bit at a time.
+_CRC_SQL = (
+    "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))), "
+    "lambda a, b: list_reduce(list_prepend(xor(a, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda c, i: xor(c >> 1, (c & 1) * 3988292384::BIGINT))), 4294967295::BIGINT)"
+)
+_DEEP, _WIDE = 14, 6  # levels that the SQL has: 3^14 documents of a source, 3^6 sources
+
+
+@query("op13_merkle_manifest", f"""
+WITH leaves AS MATERIALIZED (SELECT doc_id, source, {_leaf_sql("text")} AS h,
+    CASE WHEN {_CRC_SQL} % 2 = 0 THEN {_leaf_sql("replace(text, chr(10), '')")} END AS tampered FROM documents),
+placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, h) - 1 AS pos FROM leaves),
+{_tree_sql("t", "placed", "source", _DEEP)},
+subroots AS MATERIALIZED (SELECT tree AS source, h AS subroot, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS pos, h FROM t{_DEEP}),
+{_tree_sql("u", "subroots", "0", _WIDE)},
+start AS (SELECT doc_id, source AS tree, h AS leaf, coalesce(tampered, h) AS digest, '' AS proof, pos AS spot FROM placed),
+{_climb_sql("c", "start", "t", _DEEP)},
+moved AS (SELECT c.doc_id, 0 AS tree, c.leaf, c.digest, c.proof, s.pos AS spot, s.subroot FROM c{_DEEP - 1} c JOIN subroots s ON c.tree IS NOT DISTINCT FROM s.source),
+{_climb_sql("d", "moved", "u", _WIDE)}
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, digest AS folded_root, digest = root AS verified
+FROM d{_WIDE - 1}, (SELECT h AS root FROM u{_WIDE})
+""")
+def op13(s: SparkSession, d: str) -> DataFrame:
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, leaf_digest(text=F.replace("text", F.lit("\n"), F.lit(""))))
+    found, _, _ = merkle.manifest(documents(s, d), F.col("source"), F.col("doc_id"), leaf_digest(), tampered)
+    return found.withColumnRenamed("key", "doc_id")
