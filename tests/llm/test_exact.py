@@ -32,6 +32,26 @@ def test_exact_groups_with_and_without_collisions(docs, bits):
     assert {r.doc_id: r.text_sha256 for r in rows} == {i: hashlib.sha256((t or "").encode()).hexdigest() for i, t in enumerate(texts)}
 
 
+def test_dropping_copies_keeps_columns_of_any_name(spark):
+    rows = [(1, "a", "s1", 1, 7), (2, "a", "s2", 2, 7), (3, None, "s3", 3, 7), (None, "", "s4", 4, 7), (None, "b", "s5", 5, 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _sha string, _id int, sha_ int")
+    out = exact_dedup.drop_exact_copies(df)
+    assert out.columns == df.columns
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted([rows[1], rows[2], rows[4]], key=repr)
+    assert exact_dedup.drop_exact_copies(df.limit(0)).count() == 0
+
+
+def test_slices_are_bounded_by_bytes(monkeypatch):
+    import pyarrow as pa
+
+    from vigilake.llm import common
+
+    monkeypatch.setattr(common, "SLICE_BYTES", 10)
+    batch = pa.RecordBatch.from_arrays([pa.array(["aaaa", None, "bbbb", "c" * 30, "d", "", "e"])], names=["text"])
+    parts = [p.column("text").to_pylist() for p in common.byte_slices(batch, "text")]
+    assert parts == [["aaaa", None, "bbbb"], ["c" * 30], ["d", "", "e"]]
+
+
 def test_repeated_rows_keep_one(spark):
     df = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (None, "a"), (None, "c")], DOCS)
     rows = exact_dedup.exact_groups(df).collect()
@@ -76,6 +96,25 @@ def test_line_dedup_odd_rows(spark):
     assert line_dedup.drop_frequent_lines(df.limit(0)).count() == 0
 
 
+def test_line_dedup_of_repeated_ids_is_what_the_sql_says(spark, tmp_path):
+    import duckdb
+
+    rows = [(1, "a\nb")] * 12 + [(2, "b"), (2, None), (None, "a\nc"), (None, "a\nc"), (3, "c"), (4, "A ")]
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(queries.ORACLES["op3_line_dedup"]).fetchall()
+    got = [tuple(r) for r in queries.op3(spark, str(tmp_path)).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and len(got) == len(rows)
+
+
+def test_many_frequent_lines_are_salted(docs, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BROADCAST_LINES", 0)
+    texts = [*ODD_TEXTS, *["same\none"] * 5, " one \ntwo"]
+    rows = line_dedup.drop_frequent_lines(docs(texts), min_docs=3).collect()
+    assert {r.doc_id: (r.kept_text, r.n_lines, r.n_dropped) for r in rows} == kept_lines(texts, 3)
+
+
 def check_shards(rows, texts_by_id):
     loads, slots = Counter(), defaultdict(list)
     for r in rows:
@@ -110,6 +149,26 @@ def test_shards_of_one_hot_text(spark, docs):
     assert {r.version for r in versions.select("version").distinct().collect()} == {0, 1}
 
 
+def test_texts_in_a_hot_slot_stay_together(spark):
+    """One slot for all: the text with half of all bytes is dealt out, the copies of other texts are not."""
+    texts = ["hot" * 20] * 400 + [f"light {i % 50}" for i in range(400)] + ["w " * 3000]
+    df = spark.createDataFrame([(i if i % 7 else None, t) for i, t in enumerate(texts)], DOCS)
+    records, _ = sharding.shard_records(df, F.col("text"), F.octet_length("text") + 1, 16, 1, F.col("text"))
+    homes, loads = defaultdict(set), Counter()
+    for r in records.collect():
+        homes[r._c0].add(r.shard)
+        loads[r.shard] += r.size
+    assert len(homes["hot" * 20]) > 4 and all(len(h) == 1 for t, h in homes.items() if t.startswith("light"))
+    assert len(homes) == 52 and sum(loads.values()) == sum(len(t) + 1 for t in texts)
+
+
+def test_null_ids_of_a_hot_text_are_spread(spark):
+    df = spark.createDataFrame([(None, "same")] * 4000 + [(i, f"t{i}") for i in range(2000)], DOCS).repartition(4)
+    records, _ = sharding.shard_records(df, F.col("text"), F.octet_length("text") + 1)
+    counts = Counter(r.shard for r in records.where("doc_id is null").collect())
+    assert len(counts) == 16 and max(counts.values()) < 500
+
+
 def test_shards_of_odd_rows_and_growth(spark):
     df = spark.createDataFrame([(1, None), (1, None), (None, "a"), (2, "")], DOCS)
     records, versions = sharding.shard_records(df, F.col("text"), F.octet_length("text") + 1)

@@ -53,6 +53,22 @@ def test_ties_and_odd_vectors(spark):
     assert [(r.query_id, r.rank, r.vec_id, r.score) for r in nearest.nearest(few).collect()] == [(0, 1, 1, 1.0)]
 
 
+def test_rows_that_repeat_the_query_take_no_neighbours_place(spark):
+    rng = np.random.default_rng(7)
+    rows = [(0, [1.0, 0.0, 0.0])] * 40 + [(i, rng.normal(size=3).tolist()) for i in range(1, 31)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = nearest.nearest(df, k=10, lists=2, probes=2, doubt=None).orderBy("rank").collect()
+    assert [r.vec_id for r in out] == exact_nearest({i: np.array(v) for i, v in rows}, 0, 10)
+
+
+def test_all_lists_without_doubt_are_exact(spark):
+    rng = np.random.default_rng(8)
+    vectors = {i: rng.normal(size=48) for i in range(400)}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in vectors.items()], "vec_id long, embedding array<double>")
+    rows = nearest.nearest(df, every=20, k=10, lists=8, probes=8, doubt=None).orderBy("query_id", "rank").collect()
+    assert [r.vec_id for r in rows] == [i for q in range(0, 400, 20) for i in exact_nearest(vectors, q, 10)]
+
+
 def test_large_lists_are_dealt_to_cells(spark, monkeypatch):
     monkeypatch.setattr(nearest, "CELL_VECTORS", 50)
     monkeypatch.setattr(nearest, "CELL_SEARCHES", 3)

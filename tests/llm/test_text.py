@@ -171,6 +171,45 @@ def test_quality_on_held_out_rows(spark, tables):
     assert np.mean([(s >= 0.7) == bool(q) for s, q in labels]) > 0.93
 
 
+def test_quality_is_the_plain_fit(spark, tables):
+    """The query against one matrix: same features, a direct solve, the same isotonic levels."""
+    import zlib
+
+    docs = tables("documents").select("doc_id", "text", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(4)).alias("fold")).collect()
+    labels = {r.doc_id: r.quality for r in tables("labels").collect() if zlib.crc32(str(r.doc_id).encode()) % 4 != 2}
+    x = np.array([quality.text_statistics((d.text or "").encode()) for d in docs], dtype=np.float32).astype(float)
+    known = np.array([d.doc_id in labels for d in docs])
+    y = np.array([labels.get(d.doc_id, 0) for d in docs], dtype=float)
+    fold = np.array([d.fold for d in docs])
+    mean, scale = x[known].mean(axis=0), x[known].std(axis=0)
+    rng = np.random.default_rng(quality.SEED)
+    waves = rng.normal(size=(quality.FEATURES, quality.RANDOM_FEATURES)) / np.sqrt(quality.FEATURES)
+    phase = rng.uniform(0, 2 * np.pi, quality.RANDOM_FEATURES)
+    z = np.clip((x - mean) / np.where(scale > 1e-9, scale, 1.0), -8, 8)
+    f = np.hstack([np.ones((len(z), 1)), z, np.sqrt(2 / quality.RANDOM_FEATURES) * np.cos(z @ waves + phase)])
+    learn, check = known & (fold != 3), known & (fold == 3)
+    penalty = np.full(f.shape[1], quality.RIDGE * learn.sum() / 100)
+    penalty[0] = 1e-9
+    raw = f @ np.linalg.solve(f[learn].T @ f[learn] + np.diag(penalty), f[learn].T @ y[learn])
+    bins = np.clip((raw[check] + 0.5) / 2 * quality.BINS, 0, quality.BINS - 1).astype(int)
+    used, at = np.unique(bins, return_inverse=True)
+    count = np.bincount(at)
+    rate = np.bincount(at, y[check]) / count
+    levels = np.empty(len(used))  # the isotonic fit as the largest of the least means
+    for i in range(len(used)):
+        levels[i] = max(min(np.average(rate[a : b + 1], weights=count[a : b + 1]) for b in range(i, len(used))) for a in range(i + 1))
+    edges, values = [], []
+    for level in np.unique(np.round(levels, 12)):
+        own = np.abs(levels - level) < 1e-9
+        weight = count[own].sum()
+        edges.append(((used[own] + 0.5) / quality.BINS * 2 - 0.5) @ count[own] / weight)
+        values.append((level * weight + 0.5) / (weight + 1))
+    want = np.clip(np.interp(raw, edges, np.maximum.accumulate(values)), 0, 1)
+    got = {r.doc_id: r for r in queries.op10(spark, DIR).collect()}
+    assert np.abs(np.array([got[d.doc_id].score for d in docs]) - want).max() < 1e-6
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) and r.predicted == int(r.score >= 0.7) for i, r in got.items())
+
+
 def test_quality_of_odd_rows(spark, docs):
     df = docs(ODD_TEXTS)
     labels = spark.createDataFrame([(0, 1), (5, 0), (5, 1), (7, None), (None, 1)], "doc_id long, quality int")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -45,6 +46,16 @@ def shingle_hashes(words: list[bytes], size: int) -> Iterator[np.ndarray]:
         yield np.array([digest(b" ".join(words[i : i + size]), 42) for i in range(start, stop)], dtype=np.uint64)
 
 
+def majority(blocks: Iterable[np.ndarray]) -> int:
+    """SimHash of hashes: 64 bits, each set where over half of the hashes have it set; none give zero. As a signed long."""
+    ones, total = np.zeros(64, dtype=np.int64), 0
+    for hashes in blocks:
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones += bits.sum(axis=0, dtype=np.int64)
+        total += len(hashes)
+    return int.from_bytes(np.packbits(2 * ones > total, bitorder="little").tobytes(), "little", signed=True) if total else 0
+
+
 def shingle_set(text: str | None, size: int) -> np.ndarray:
     """Sorted distinct shingle hashes of a whole text."""
     blocks = list(shingle_hashes(folded_words((text or "").encode()), size))
@@ -58,18 +69,77 @@ def texts_of(column: pa.Array) -> Iterator[bytes]:
         yield value.as_py() or b""
 
 
+#: Bytes of text, and rows, in a slice of a batch.
+SLICE_BYTES, SLICE_ROWS = 1 << 28, 1000
+
+
+def byte_slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with a bounded sum of text, so that offsets of 32 bits hold; one text may be over the bound."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    low, total = 0, 0
+    for i, size in enumerate(sizes.tolist()):
+        if i > low and (total + size > SLICE_BYTES or i - low >= SLICE_ROWS):
+            yield batch.slice(low, i - low)
+            low, total = i, 0
+        total += size
+    if low < len(sizes):
+        yield batch.slice(low)
+
+
+#: Links that a task joins at a time.
+TOGETHER = 1 << 21
+
+
+def local_stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same components by fewer links: each node of a component with its smallest node."""
+    nodes, index = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = index[: len(u)], index[len(u) :]
+    label = np.arange(len(nodes))
+    while True:
+        x, y = label[a], label[b]
+        low, before = np.minimum(x, y), label.copy()
+        np.minimum.at(label, x, low)
+        np.minimum.at(label, y, low)
+        label = label[label]
+        if (label == before).all():
+            break
+    far = label != np.arange(len(nodes))
+    return nodes[label[far]], nodes[far]
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links of a task, joined in bounded lots."""
+
+    def out(held):
+        u, v = local_stars(*(np.concatenate(c) for c in zip(*held)))
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    held, count = [], 0
+    for batch in batches:
+        held.append([batch.column(c).to_numpy() for c in ("u", "v")])
+        count += batch.num_rows
+        if count > TOGETHER:
+            yield out(held)
+            held, count = [], 0
+    if count:
+        yield out(held)
+
+
 def components(edges: DataFrame, left: str, right: str) -> DataFrame:
-    """Connected components of any number of links: one row (node, root) per node that has a link.
+    """Connected components of any number of links between longs: one row (node, root) per node that has a link.
 
-    Each round every node joins the neighbour with the smallest hash, the hash differing by round, and the graph is
-    contracted; on average a fixed share of the nodes goes each round, so long chains take few rounds too. Minima are
-    partial aggregates, so a node with very many links is no burden, and each round is a written table.
+    Each task first joins the links it has. Then, in rounds, every node joins its smallest neighbour, or in every other round
+    the one with the smallest hash, and the graph is contracted; on average a fixed share of the nodes goes in two rounds, so
+    long chains take few rounds too. Minima are partial aggregates, so a node with very many links is no burden, and each round is a
+    written table.
     """
     spark = edges.sparkSession
-    live = cut_lineage(edges.select(F.col(left).alias("u"), F.col(right).alias("v")).where("u <> v").distinct())
+    ends = edges.select(F.col(left).cast("long").alias("u"), F.col(right).cast("long").alias("v")).where("u <> v")
+    live = cut_lineage(ends.mapInArrow(_stars, "u long, v long"))
     steps = []
     while not live.isEmpty():
-        rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(len(steps))).alias("h"), F.col(c).alias("n"))
+        turn = len(steps)  # the centres of the tasks' stars are their smallest nodes
+        rank = lambda c: F.struct((F.xxhash64(F.col(c), F.lit(turn)) if turn % 2 else F.col(c)).alias("h"), F.col(c).alias("n"))
         ends = F.explode(F.array(
             F.struct(F.col("u").alias("node"), F.least(rank("u"), rank("v")).alias("best")),
             F.struct(F.col("v").alias("node"), F.least(rank("u"), rank("v")).alias("best")),
@@ -79,15 +149,13 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
             .select("node", F.col("best.n").alias("root"))
         )
         to = lambda a, b: step.select(F.col("node").alias(a), F.col("root").alias(b))
-        live = cut_lineage(
-            live.join(to("u", "a"), "u").join(to("v", "b"), "v").where("a <> b")
-            .select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
-        )
+        met = live.join(to("u", "a"), "u").join(to("v", "b"), "v").where("a <> b")
+        live = cut_lineage(met.select(F.col("a").alias("u"), F.col("b").alias("v")).mapInArrow(_stars, "u long, v long"))
         steps.append(step)
     if not steps:
-        return spark.createDataFrame([], f"node {dict(edges.dtypes)[left]}, root {dict(edges.dtypes)[left]}")
+        return spark.createDataFrame([], "node long, root long")
     out = steps[-1]
     for step in reversed(steps[:-1]):
         later = out.select(F.col("node").alias("root"), F.col("root").alias("_top"))
         out = step.join(later, "root", "left").select("node", F.coalesce("_top", "root").alias("root"))
-    return out
+    return cut_lineage(out) if len(steps) > 1 else out

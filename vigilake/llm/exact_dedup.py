@@ -18,6 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
+from vigilake.llm.common import byte_slices
 from vigilake.session import cut_lineage
 
 REACH = 32
@@ -85,8 +86,7 @@ def _chunker(mode: str, bits: int, least: int, most: int, fingerprint_bits: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, batch.num_rows, 1000):
-                part = batch.slice(low, 1000)
+            for part in byte_slices(batch, "text"):
                 data, starts = _buffer(part.column("text"))
                 ends = chunk_ends(data, starts, bits, least, most)
                 view = memoryview(data)
@@ -166,14 +166,19 @@ def exact_groups(docs: DataFrame, **chunking) -> DataFrame:
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """The documents with one row left of each group of equal texts, all columns as they were.
+    """The documents with one row left of each group of equal texts, all columns as they were, whatever their names.
 
-    Of rows that repeat a doc_id and text one is left, whatever their other columns say.
+    The largest doc_id stays; a null one only where the group has no other. Of rows that repeat a doc_id and text one is
+    left, whatever their other columns say.
     """
-    kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    named = docs.withColumn("_sha", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
-    once = named.dropDuplicates(["doc_id", "_sha"]) if _repeats(docs) else named
-    return once.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (once["_sha"] == kept["_sha"]), "left_semi").drop("_sha")
+    kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("id_"), F.col("text_sha256").alias("sha_"))
+    places = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    own = docs.toDF(*places.values())
+    sha = F.sha2(F.coalesce(F.col(places["text"]).cast("string"), F.lit("")), 256)
+    named = own.withColumn("sha", sha)
+    once = named.dropDuplicates([places["doc_id"], "sha"]) if _repeats(docs) else named
+    met = once.join(kept, F.col(places["doc_id"]).eqNullSafe(F.col("id_")) & (F.col("sha") == F.col("sha_")), "left_semi")
+    return met.select(*[F.col(c).alias(name) for name, c in places.items()])
 
 
 def _repeats(docs: DataFrame) -> bool:

@@ -59,17 +59,22 @@ def scaled_rows(vectors: DataFrame, label: Column, vector: str = "embedding") ->
     return rows.where(F.size("v") == width).select(F.monotonically_increasing_id().alias("row"), "vec_id", "label", whole.alias("x")), width
 
 
-def in_cells(rows: DataFrame, anchors: DataFrame, by: str) -> tuple[DataFrame, DataFrame]:
-    """Rows and anchors of one ``by`` dealt to cells (by, block, turn), so that each row meets each anchor once.
+def in_cells(rows: DataFrame, anchors: DataFrame, by: str | None) -> tuple[DataFrame, DataFrame]:
+    """Rows and anchors of one ``by`` (None: all) dealt to cells (by, block, turn), so that each row meets each anchor once.
 
     A row is in one block of about ``CELL_ROWS`` and goes to every turn of anchors; an anchor is in one turn.
     """
-    count = lambda df, most, name: df.groupBy(by).agg(F.ceil(F.count("*") / most).alias(name))
-    sizes = cut_lineage(count(rows, CELL_ROWS, "blocks").join(count(anchors, CELL_ANCHORS, "turns"), by))
+    if by is None:
+        sizes = {"blocks": ceil(rows.count() / CELL_ROWS), "turns": ceil(anchors.count() / CELL_ANCHORS)}
+        known = lambda df: df.withColumns({c: F.lit(n).cast("long") for c, n in sizes.items()})
+    else:
+        count = lambda df, most, name: df.groupBy(by).agg(F.ceil(F.count("*") / most).alias(name))
+        by_key = cut_lineage(count(rows, CELL_ROWS, "blocks").join(count(anchors, CELL_ANCHORS, "turns"), by))
+        known = lambda df: df.join(by_key, by)
     part = lambda c: F.pmod(F.xxhash64("row"), F.col(c))
-    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
-    left = rows.join(sizes, by).withColumn("block", part("blocks")).withColumn("turn", every("turns"))
-    right = anchors.join(sizes, by).withColumn("turn", part("turns")).withColumn("block", every("blocks"))
+    every = lambda c: F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.col(c)), lambda i: i < F.col(c)))
+    left = known(rows).withColumn("block", part("blocks")).withColumn("turn", every("turns"))
+    right = known(anchors).withColumn("turn", part("turns")).withColumn("block", every("blocks"))
     return left.drop("blocks", "turns"), right.drop("blocks", "turns")
 
 
@@ -142,16 +147,16 @@ def hard_negatives(vectors: DataFrame, label: Column, every: int = 50, positives
         order = Window.partitionBy("anchor", "place").orderBy(F.desc("score"), "vec_id", "row")
         return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
-    def meet(r: DataFrame, a: DataFrame, by: str, pick: Callable) -> DataFrame:
-        left, right = in_cells(r, a, by)
-        cell = [by, "block", "turn"]
+    def meet(a: DataFrame, by: str | None, pick: Callable) -> DataFrame:
+        left, right = in_cells(rows, a, by)
+        cell = [c for c in (by, "block", "turn") if c]
         return right.groupBy(*cell).cogroup(left.groupBy(*cell)).applyInArrow(_cell(width, pick), _FOUND)
 
-    alike = cut_lineage(best(meet(rows, anchors, "label", same_label), positives).select(
+    alike = cut_lineage(best(meet(anchors, "label", same_label), positives).select(
         "anchor", F.col("rank").alias("place"), F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score")))
     goals = alike.groupBy("anchor").agg(F.sort_array(F.collect_list(F.struct("place", "positive_score"))).alias("g"))  # a few per anchor
-    asked = anchors.join(goals.select(F.col("anchor").alias("row"), F.col("g.place").alias("places"), F.col("g.positive_score").alias("goals")), "row")
-    apart = best(meet(rows.withColumn("whole", F.lit(0)), asked.withColumn("whole", F.lit(0)), "whole", in_range), negatives)
+    asked = cut_lineage(anchors.join(goals.select(F.col("anchor").alias("row"), F.col("g.place").alias("places"), F.col("g.positive_score").alias("goals")), "row"))
+    apart = best(meet(asked, None, in_range), negatives)
     return (
         apart.select("anchor", "place", "rank", F.col("vec_id").alias("negative_id"), F.col("score").alias("negative_score"))
         .join(alike, ["anchor", "place"]).join(anchors.select(F.col("row").alias("anchor"), F.col("vec_id").alias("anchor_id")), "anchor")

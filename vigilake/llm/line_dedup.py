@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from vigilake.llm.common import BLANKS, LOWER, UPPER
-from vigilake.session import cut_lineage
+from vigilake.session import cut_lineage, salted_join
 
+#: Frequent lines (16 bytes each) that are sent to all tasks at most.
+BROADCAST_LINES = 200_000
 _WS = "' \\t\\n\\u000B\\f\\r'"
 _LINES = "split(coalesce(text, ''), '\\n', -1)"
 _KEYS = f"transform(split(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '\\n', -1), x -> trim(BOTH {_WS} FROM x))"
@@ -40,10 +42,14 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1)
     """
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     frequent = cut_lineage(frequent_lines(docs, min_docs, min_chars)).select("h1", "h2")
+    few = frequent.count() <= BROADCAST_LINES
     marked = docs.withColumn("row_key", F.xxhash64("text"))
     lines = _hashed(marked.select("doc_id", "row_key", F.posexplode(F.expr(_KEYS)).alias("place", "line")), "line")
+    lines = lines.select("doc_id", "row_key", "place", "h1", "h2")
+    # a line of a third of all documents is one key: few frequent lines go to all tasks, of many each hot one is salted
+    hit = lines.join(F.broadcast(frequent), ["h1", "h2"], "left_semi") if few else salted_join(lines, frequent, ["h1", "h2"], ["row_key", "place"], "left_semi")
     places = (
-        lines.select("doc_id", "row_key", "place", "h1", "h2").join(frequent, ["h1", "h2"], "left_semi")
+        hit
         .groupBy("doc_id", "row_key").agg(F.collect_set("place").alias("drop"))
         .withColumnsRenamed({"doc_id": "_id", "row_key": "_key"})
     )

@@ -93,8 +93,11 @@ def _listed(rows: DataFrame, centroids: np.ndarray, probes: int) -> DataFrame:
     return rows.mapInArrow(run, f"vec_id {dict(rows.dtypes)['vec_id']}, v array<double>, lists array<int>")
 
 
-def adaptive_scan(query: np.ndarray, columns: np.ndarray, k: int) -> np.ndarray:
-    """Candidates (columns of the rotated matrix) that may be among the ``k`` nearest to a rotated query."""
+def adaptive_scan(query: np.ndarray, columns: np.ndarray, k: int, doubt: float | None = DOUBT) -> np.ndarray:
+    """Candidates (columns of the rotated matrix) that may be among the ``k`` nearest to a rotated query.
+
+    Without ``doubt`` only those are given up whose partial distance is over the bound already, so none is lost.
+    """
     width, count = columns.shape
     if count <= k:
         return np.arange(count)
@@ -105,14 +108,15 @@ def adaptive_scan(query: np.ndarray, columns: np.ndarray, k: int) -> np.ndarray:
     whole = ((columns[:, seeds] - query[:, None]) ** 2).sum(0)
     bound = np.partition(whole, k - 1)[k - 1]
     for done in range(first, width, DIMENSIONS):
-        keep = partial <= bound * (done / width) * (1 + DOUBT / np.sqrt(done)) ** 2 + 1e-12
+        share = 1.0 if doubt is None else (done / width) * (1 + doubt / np.sqrt(done)) ** 2
+        keep = partial <= bound * share + 1e-12
         alive, partial = alive[keep], partial[keep]
         stop = min(width, done + DIMENSIONS)
         partial = partial + ((columns[done:stop, alive] - query[done:stop, None]) ** 2).sum(0)
     return np.union1d(alive[partial <= bound * (1 + 1e-9) + 1e-12], seeds)
 
 
-def _cell_search(k: int, width: int):
+def _cell_search(k: int, width: int, doubt: float | None):
     """Searches and vectors of one cell to the nearest of each search, by exact distance on the vectors as given."""
     rotation = np.linalg.qr(np.random.default_rng(SEED).normal(size=(width, width)))[0]
 
@@ -124,8 +128,8 @@ def _cell_search(k: int, width: int):
             x, q = _matrix(right.column("v"), width), _matrix(left.column("v"), width)
             columns, turned = np.ascontiguousarray((x @ rotation).T), q @ rotation
             for i, name in enumerate(names):
-                near = adaptive_scan(turned[i], columns, k + 1)  # one more: the query may be among them
-                near = near[ids[near] != name]
+                own = ids == name  # rows that repeat its vec_id are no candidates of a query
+                near = np.flatnonzero(~own)[adaptive_scan(turned[i], columns[:, ~own], k, doubt)] if own.any() else adaptive_scan(turned[i], columns, k, doubt)
                 distance = np.sqrt(((x[near] - q[i]) ** 2).sum(axis=1))
                 best = np.lexsort((ids[near], distance))[:k]
                 out[0] += [name] * len(best)
@@ -136,7 +140,7 @@ def _cell_search(k: int, width: int):
     return run
 
 
-def nearest(vectors: DataFrame, every: int = 100, k: int = 10, lists: int | None = None, probes: int | None = None) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 100, k: int = 10, lists: int | None = None, probes: int | None = None, doubt: float | None = DOUBT) -> DataFrame:
     """The ``k`` nearest found of every row whose vec_id is divisible by ``every``: query_id, rank, vec_id, score.
 
     Score is the Euclidean distance in double precision on the vectors as given; nearest first, ties to the smaller
@@ -145,7 +149,8 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, lists: int | None
     query; repeated candidates each count. An empty table gives no rows.
 
     Lists follow the table (about the square root of its rows, ``MOST_LISTS`` at most); a list of any size is dealt to
-    cells of bounded size. How many lists are probed is measured on the sample that the lists are fitted on.
+    cells of bounded size. How many lists are probed is measured on the sample that the lists are fitted on. With as many
+    ``probes`` as lists and no ``doubt`` the search is exact.
     """
     rows = cut_lineage(usable(vectors.withColumn("vec_id", F.col("vec_id").cast("long"))))
     spark, n = rows.sparkSession, rows.count()
@@ -168,6 +173,6 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, lists: int | None
     v = placed.join(sizes, "list").select("vec_id", "v", "list", part("blocks").alias("block"), every_of("turns").alias("turn"))
     q = asked.join(sizes, "list").select("vec_id", "v", "list", every_of("blocks").alias("block"), part("turns").alias("turn"))
     cell = ["list", "block", "turn"]
-    found = q.groupBy(*cell).cogroup(v.groupBy(*cell)).applyInArrow(_cell_search(k, width), "query_id long, vec_id long, score double")
+    found = q.groupBy(*cell).cogroup(v.groupBy(*cell)).applyInArrow(_cell_search(k, width, doubt), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

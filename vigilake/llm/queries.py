@@ -131,12 +131,12 @@ _WS_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 
 @query("op3_line_dedup", f"""
-WITH lines AS (SELECT doc_id, i, parts[i] AS line, translate(trim(parts[i], {_WS_SQL}), '{UPPER}', '{LOWER}') AS key
-  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents), unnest(range(1, len(parts) + 1)) AS t(i)),
-often AS (SELECT key FROM lines WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+WITH lines AS (SELECT doc_id, nr, i, parts[i] AS line, translate(trim(parts[i], {_WS_SQL}), '{UPPER}', '{LOWER}') AS key
+  FROM (SELECT doc_id, row_number() OVER () AS nr, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents), unnest(range(1, len(parts) + 1)) AS t(i)),
+often AS (SELECT key FROM lines WHERE key <> '' GROUP BY key HAVING count(DISTINCT nr) >= 10)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE o.key IS NOT NULL) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE o.key IS NULL), '')) AS kept_sha256
-FROM lines l LEFT JOIN often o ON l.key = o.key GROUP BY doc_id
+FROM lines l LEFT JOIN often o ON l.key = o.key GROUP BY nr, doc_id
 """)
 def op3(s: SparkSession, d: str) -> DataFrame:
     kept = line_dedup.drop_frequent_lines(documents(s, d), min_docs=10, min_chars=1)
@@ -272,7 +272,7 @@ def remainder() -> Column:
 @query("op10_quality")
 def op10(s: SparkSession, d: str) -> DataFrame:
     found = quality.quality_scores(documents(s, d), read_table(s, d, "labels"), may_learn=remainder().isin(*MAY_LEARN_REMAINDERS))
-    return found.select("doc_id", (remainder() == 2).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+    return found.select("doc_id", F.coalesce(remainder() == 2, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
 
 
 # --- 11 near duplicates among embeddings --------------------------------------------------------------------------------

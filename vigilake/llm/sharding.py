@@ -12,7 +12,7 @@ from vigilake.functions.arrays import let_sql
 from vigilake.session import cut_lineage
 
 SLOTS = 4096
-#: A slot heavier than a shard's even share divided by this is dealt to several cells.
+#: A slot or key heavier than a shard's even share divided by this is dealt to several cells.
 SPLIT = 2
 #: Stretches in which the rows of a shard are numbered.
 STRETCHES = 1024
@@ -24,17 +24,24 @@ def slot_of(key: Column, n_slots: int = SLOTS) -> Column:
 
 
 def _cells(records: DataFrame, n_shards: int) -> DataFrame:
-    """Records with their cell: slots, and parts of the slots that hold more than a small share of all bytes.
+    """Records with their cell (slot, part). Slots that hold more than a small share of all bytes have several parts.
 
-    One text in a third of all rows makes such a slot. Its records are dealt by doc_id; no other slot is split.
+    In such a slot the records of one key stay in one part, chosen by the key, unless the key alone is over that share, as a
+    text in a third of all rows is: then its records have parts of their own, and are dealt to them by doc_id.
     """
+    everything = Window.partitionBy()  # over at most as many rows as there are slots, or heavy keys
     loads = records.groupBy("_slot").agg(F.sum("_size").alias("_bytes"))
-    all_slots = F.sum("_bytes").over(Window.partitionBy())  # at most as many rows as there are slots
-    parts = loads.withColumn("_limit", F.greatest(all_slots / (n_shards * SPLIT), F.lit(1)))
-    parts = parts.select("_slot", F.greatest(F.ceil(F.col("_bytes") / F.col("_limit")), F.lit(1)).alias("_parts"))
-    return records.join(F.broadcast(parts), "_slot").withColumn(
-        "_part", F.pmod(F.xxhash64(F.col("_id"), F.lit("part")), F.col("_parts")).cast("int")
-    ).drop("_parts")
+    loads = loads.withColumn("_limit", F.greatest(F.sum("_bytes").over(everything) / (n_shards * SPLIT), F.lit(1)))
+    heavy = loads.where(F.col("_bytes") > F.col("_limit")).select("_slot", "_limit", F.ceil(F.col("_bytes") / F.col("_limit")).alias("_parts"))
+    heavy = cut_lineage(heavy)  # fewer rows than shards times SPLIT, as are the heavy keys
+    keys = records.join(F.broadcast(heavy), "_slot").groupBy("_slot", "_key", "_limit", "_parts").agg(F.sum("_size").alias("_bytes"))
+    keys = keys.where(F.col("_bytes") > F.col("_limit")).withColumn("_own", F.ceil(F.col("_bytes") / F.col("_limit")))
+    before = Window.partitionBy("_slot").orderBy("_key").rowsBetween(Window.unboundedPreceding, -1)
+    keys = cut_lineage(keys.select("_slot", "_key", "_own", (F.col("_parts") + F.coalesce(F.sum("_own").over(before), F.lit(0))).alias("_first")))
+    dealt = F.pmod(F.xxhash64(F.col("_id"), F.when(F.col("_id").isNull(), F.col("_row")), F.lit("part")), F.col("_own")) + F.col("_first")
+    by_key = F.pmod(F.xxhash64(F.col("_key"), F.lit("part")), F.col("_parts"))
+    met = records.join(F.broadcast(heavy.drop("_limit")), "_slot", "left").join(F.broadcast(keys), ["_slot", "_key"], "left")
+    return met.withColumn("_part", F.coalesce(dealt, by_key, F.lit(0)).cast("int")).drop("_parts", "_own", "_first")
 
 
 def first_map(loads: DataFrame, n_shards: int) -> DataFrame:
@@ -77,11 +84,14 @@ def shard_records(docs: DataFrame, key: Column, size: Column, n_shards: int = 16
     """Deal records to shards of nearly equal bytes. Returns the records and the map with all its versions.
 
     Records: doc_id, size, the ``carry`` columns, virtual_slot, shard, position (gapless from 0 in each shard). Records
-    with equal ``key`` share a slot unless the slot is too heavy for one shard. A null size counts as 0; null keys and
+    with equal ``key`` share a slot, and a shard unless they outweigh half of one. A null size counts as 0; null keys and
     null doc_ids are ordinary values. Rows that repeat a doc_id each get a position. An empty table gives no rows.
     Only these narrow columns are shuffled, never a text.
     """
-    narrow = docs.select(F.col("doc_id").alias("_id"), F.coalesce(size, F.lit(0)).cast("long").alias("_size"), slot_of(key, n_slots).alias("_slot"), *[c.alias(f"_c{i}") for i, c in enumerate(carry)])
+    narrow = docs.select(
+        F.col("doc_id").alias("_id"), F.coalesce(size, F.lit(0)).cast("long").alias("_size"), slot_of(key, n_slots).alias("_slot"),
+        F.xxhash64(F.lit("key"), key).alias("_key"), F.monotonically_increasing_id().alias("_row"), *[c.alias(f"_c{i}") for i, c in enumerate(carry)],
+    )
     cells = cut_lineage(_cells(cut_lineage(narrow), n_shards))
     loads = cells.groupBy("_slot", "_part").agg(F.sum("_size").alias("_bytes"))
     first = cut_lineage(first_map(loads, n_shards))
@@ -92,12 +102,12 @@ def shard_records(docs: DataFrame, key: Column, size: Column, n_shards: int = 16
     shards = newest.select(F.col("slot").alias("_slot"), F.col("part").alias("_part"), "shard")
     dealt = cells.join(F.broadcast(shards), ["_slot", "_part"])
     # numbers: rows are dealt to stretches by doc_id, numbered inside, and shifted by the stretches before
-    stretch = F.pmod(F.xxhash64(F.col("_id"), F.lit("stretch")), F.lit(STRETCHES)).cast("int")
+    stretch = F.pmod(F.xxhash64(F.col("_id"), F.when(F.col("_id").isNull(), F.col("_row")), F.lit("stretch")), F.lit(STRETCHES)).cast("int")
     dealt = dealt.withColumn("_stretch", stretch)
     counts = dealt.groupBy("shard", "_stretch").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("shard").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1))
     shifts = counts.select("shard", "_stretch", F.coalesce(before, F.lit(0)).alias("_shift"))
-    inside = Window.partitionBy("shard", "_stretch").orderBy("_id", "_slot", "_size")
+    inside = Window.partitionBy("shard", "_stretch").orderBy("_id", "_slot", "_size", "_row")
     numbered = dealt.withColumn("_n", F.row_number().over(inside) - 1).join(F.broadcast(shifts), ["shard", "_stretch"])
     return numbered.select(
         F.col("_id").alias("doc_id"), F.col("_size").alias("size"), *[F.col(f"_c{i}") for i in range(len(carry))],
