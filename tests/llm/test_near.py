@@ -98,3 +98,26 @@ def test_groups_over_a_block_lose_nothing(docs, monkeypatch):
     texts = [" ".join(edited(rng, template, float(rng.uniform(0.8, 0.9)))) for _ in range(60)]
     kept, _ = brute_force(texts)
     assert kept_ids(docs(texts)) == kept
+
+
+def test_jobs_stay_few(spark, docs):
+    """A group of copies takes few jobs, since plans and jobs are what the driver's memory is spent on."""
+    rng = np.random.default_rng(8)
+    template = words_of(rng, 300)
+    texts = [" ".join(edited(rng, template, float(rng.uniform(0.85, 0.97)))) for _ in range(300)]
+    frame = docs(texts)
+    spark.sparkContext.setJobGroup("near", "near")
+    assert kept_ids(frame) == [0]
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("near"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs < 100
+
+
+def test_null_and_repeated_ids(spark):
+    rng = np.random.default_rng(9)
+    one, two = words_of(rng, 100), words_of(rng, 100)
+    rows = [(None, one, 1), (None, one, 2), (None, two, 3), (4, two, 4), (4, two, 5), (6, None, 6), (5, "", 7), (None, " ", 8)]
+    df = spark.createDataFrame([(i, t if t is None else t if isinstance(t, str) else " ".join(t), n) for i, t, n in rows], "doc_id long, text string, node int")
+    out = sorted((r.doc_id or 0, r.node) for r in simhash.drop_near_copies(df).collect())
+    assert [i for i, _ in out] == [0, 4, 5] and out[2] == (5, 7)
+    assert simhash.drop_near_copies(df).columns == df.columns and simhash.drop_near_copies(df.limit(0)).count() == 0

@@ -28,7 +28,7 @@ SAMPLE_VALUES, FIT_ROUNDS, SEED = 1 << 20, 30, 20240601
 #: Tables are added until this share of partners planted at exactly the threshold meets in one; tables at most.
 FOUND, MOST_TABLES = 0.98, 24
 #: Partners that are planted at least. This share of them lies within the distance of whole codes that is looked at.
-TRIALS, WITHIN = 8192, 0.9995
+TRIALS, WITHIN = 8192, 0.995
 #: Bits by which each side of a pair may be off in a table.
 BALL = 1
 #: Vectors that are searched for leaders at a time, and members of a block.

@@ -3,8 +3,8 @@
 A node is a distinct shingle set. Two sets of similarity t share at least t times the larger size, so in any common order of
 all shingles they meet in the first ``n - ceil(t n) + 1`` of each (the prefix). Shingles often seen in a sample come last in
 that order, which keeps common passages out of the prefixes; the sample bears on the cost only. The nodes with one prefix
-shingle are a group. In a group sorted by size, neighbours are compared first and far pairs last; pairs whose nodes are
-joined already are left out, all others are looked at: by size, by a lower bound of their difference, and then by their sets.
+shingle are a group. Pairs of a group whose nodes are joined already are left out, all others are looked at: by size, by a
+lower bound of their difference, and then by their sets.
 """
 
 from __future__ import annotations
@@ -17,15 +17,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from vigilake.llm.common import components, shingle_set
+from vigilake.llm.common import folded_words, majority, shingle_hashes, shingle_set
 from vigilake.session import cut_lineage
 
 #: Sets in the sample that orders the shingles, and how many of its shingles come last.
 SAMPLE, COMMON = 10_000, 100_000
 #: Rows of a group that are compared at a time.
 BLOCK = 1024
-#: Distances in the sorted group that the rounds look at: up to and with each, then all.
-REACH = (1, 32, None)
 #: For sums of floats that stand for whole numbers.
 TINY = 1e-9
 
@@ -38,20 +36,27 @@ def signature(shingles: np.ndarray) -> bytes:
 
 
 def shingle_nodes(docs: DataFrame, words: int) -> DataFrame:
-    """Rows (doc_id, node, n, sig, text): the node stands for the shingle set, n is its size. No words are node 0."""
+    """The rows of docs, columns renamed c0, c1, ..., with (rid, node, n, sig, fp, text).
+
+    The node stands for the shingle set, n is its size, fp its SimHash with repeats. No words are node 0.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(text, words) for text in batch.column("text").to_pylist()]
-            nodes = [xxhash.xxh3_64_intdigest(s.tobytes()) if len(s) else 0 for s in sets]
-            columns = [np.array(nodes, dtype=np.uint64).view(np.int64), np.array([len(s) for s in sets], dtype=np.int32)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *map(pa.array, columns), pa.array([signature(s) for s in sets], pa.binary()), batch.column("text")],
-                names=["doc_id", "node", "n", "sig", "text"],
-            )
+            found = []
+            for text in batch.column("text").to_pylist():
+                blocks = list(shingle_hashes(folded_words((text or "").encode()), words))
+                s = np.unique(np.concatenate(blocks)) if blocks else np.empty(0, dtype=np.uint64)
+                found.append((xxhash.xxh3_64_intdigest(s.tobytes()) if len(s) else 0, len(s), signature(s), majority(blocks)))
+            node, n, sig, fp = zip(*found) if found else [()] * 4
+            columns = [pa.array(np.array(node, dtype=np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(sig, pa.binary()), pa.array(fp, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, "node", "n", "sig", "fp"])
 
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, node long, n int, sig binary, text string")
+    at = docs.columns.index("text")
+    rows = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    rows = rows.select("*", F.monotonically_increasing_id().alias("rid"), F.col(f"c{at}").cast("string").alias("text")).drop(f"c{at}")
+    kinds = ", ".join(f"{c} {t}" for c, t in rows.dtypes)
+    return rows.mapInArrow(run, f"{kinds}, node long, n int, sig binary, fp long")
 
 
 def common_shingles(nodes: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,9 +85,9 @@ def in_order(shingles: np.ndarray, common: np.ndarray, often: np.ndarray) -> np.
     return np.r_[shingles[~hit], shingles[hit][np.argsort(often[at[hit]], kind="stable")]]
 
 
-def prefix_groups(nodes: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Rows (g, node, n, r): groups of nodes with a prefix shingle in common, r is the place by size. Equal groups are one."""
-    shared = nodes.sparkSession.sparkContext.broadcast(common_shingles(nodes, words))
+def prefix_groups(nodes: DataFrame, roots: DataFrame, words: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """Rows (g, node, n, r): groups of nodes of several roots with a prefix shingle in common, r is the place by size. Equal groups are one."""
+    shared = nodes.sparkSession.sparkContext.broadcast(common)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, often = shared.value
@@ -92,35 +97,36 @@ def prefix_groups(nodes: DataFrame, words: int, similarity: float) -> DataFrame:
                 out.append(in_order(shingle_set(text, words), common, often)[: size - math.ceil(similarity * size - TINY) + 1])
             many = [len(p) for p in out]
             h = np.concatenate(out).view(np.int64) if out else np.empty(0, dtype=np.int64)
-            rest = [np.repeat(batch.column(c).to_numpy(zero_copy_only=False), many) for c in ("node", "n")]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (h, *rest)], names=["h", "node", "n"])
+            rest = [np.repeat(batch.column(c).to_numpy(zero_copy_only=False), many) for c in ("node", "n", "root")]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (h, *rest)], names=["h", "node", "n", "root"])
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         held: list[list[np.ndarray]] = []  # a group that may go on in the next batch
         for batch in batches:
-            new = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("h", "node", "n")]
+            new = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("h", "node", "n", "root")]
             if not len(new[0]):
                 continue
             held.append(new)
             if held[0][0][0] == new[0][-1]:
                 continue
-            h, node, n = (np.concatenate(c) for c in zip(*held))
-            tail = int(np.argmax(h == h[-1]))
-            yield from found(h[:tail], node[:tail], n[:tail], seen)
-            held = [[h[tail:], node[tail:], n[tail:]]]
+            whole = [np.concatenate(c) for c in zip(*held)]
+            tail = int(np.argmax(whole[0] == whole[0][-1]))
+            yield from found(*(c[:tail] for c in whole), seen)
+            held = [[c[tail:] for c in whole]]
         if held:
             yield from found(*(np.concatenate(c) for c in zip(*held)), seen)
 
-    def found(h, node, n, seen):
+    def found(h, node, n, root, seen):
         new = np.r_[True, (h[1:] != h[:-1]) | (node[1:] != node[:-1])]  # a set may have several rows
-        h, node, n = h[new], node[new], n[new]
+        h, node, n, root = h[new], node[new], n[new], root[new]
         first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
         sizes = np.diff(np.r_[first, len(h)])
         mixed = node.view(np.uint64) ^ (node.view(np.uint64) >> np.uint64(31))
         mixed = mixed * np.uint64(0x9E3779B97F4A7C15)
         group = np.add.reduceat((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9), first).view(np.int64)
-        pick = [k for k in np.flatnonzero(sizes > 1) if group[k] not in seen and not seen.add(group[k])]
+        several = np.minimum.reduceat(root, first) != np.maximum.reduceat(root, first)
+        pick = [k for k in np.flatnonzero(several) if group[k] not in seen and not seen.add(group[k])]
         if len(seen) > 1 << 20:
             seen.clear()
         if pick:
@@ -131,7 +137,8 @@ def prefix_groups(nodes: DataFrame, words: int, similarity: float) -> DataFrame:
             columns = (np.repeat(group, sizes)[rows], node[rows], n[rows], place[rows])
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["g", "node", "n", "r"])
 
-    rows = nodes.where("n > 0").select("node", "n", "text").mapInArrow(prefixes, "h long, node long, n int")
+    rows = nodes.where("n > 0").select("node", "n", "text").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = rows.select("node", "n", "root", "text").mapInArrow(prefixes, "h long, node long, n int, root long")
     dealt = rows.repartition("h").sortWithinPartitions("h", "n", "node")
     return cut_lineage(dealt.mapInArrow(groups, "g long, node long, n int, r long").distinct())
 
@@ -168,21 +175,17 @@ def fold_to(sig: bytes, width: int) -> np.ndarray:
     return out
 
 
-def candidates(groups: DataFrame, sigs: DataFrame, roots: DataFrame | None, low: int, high: int | None, similarity: float) -> DataFrame | None:
+def candidates(groups: DataFrame, sigs: DataFrame, roots: DataFrame, low: int, high: int | None, similarity: float) -> DataFrame:
     """Different pairs (a, b) of nodes that are not joined yet, with places more than ``low`` and at most ``high`` apart."""
-    live = groups.withColumn("blk", F.floor(F.col("r") / BLOCK))
-    live = live.withColumn("root", F.col("node")) if roots is None else live.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    blocks = cut_lineage(live.groupBy("g", "blk").agg(
-        F.min("n").alias("least"), F.max("n").alias("most"), F.min("root").alias("from"), F.max("root").alias("to"), F.max("r").alias("last")))
+    live = groups.withColumn("blk", F.floor(F.col("r") / BLOCK)).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    blocks = live.groupBy("g", "blk").agg(
+        F.min("n").alias("least"), F.max("n").alias("most"), F.min("root").alias("from"), F.max("root").alias("to"), F.max("r").alias("last"))
     side = lambda p: blocks.select("g", *[F.col(c).alias(p + c) for c in blocks.columns if c != "g"])
     reach = F.lit(True) if high is None else (F.col("jblk") - F.col("iblk") - 1) * BLOCK < high
     work = side("i").join(side("j"), "g").where(
         (F.col("iblk") <= F.col("jblk")) & reach & (F.lit(similarity) * F.col("jleast") <= F.col("imost") + TINY)
         & (F.least("ifrom", "jfrom") != F.greatest("ito", "jto")) & (F.col("jlast") - F.col("iblk") * BLOCK > low)
     ).select("g", F.col("iblk").alias("i"), F.col("jblk").alias("j"))
-    work = cut_lineage(work)
-    if work.isEmpty():
-        return None
     ends = work.select("g", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("blk"))
     rows = live.join(ends, ["g", "blk"]).join(sigs, "node").select("g", "i", "j", "blk", "r", "n", "node", "root", "sig")
 
@@ -230,29 +233,3 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, words: int, similarity: float)
     texts = cut_lineage(nodes.select("node", "text").join(ends, "node").dropDuplicates(["node"]))  # all texts of a node have its set
     side = lambda key, name: texts.select(F.col("node").alias(key), F.col("text").alias(name))
     return cut_lineage(pairs.join(side("a", "left"), "a").join(side("b", "right"), "b").mapInArrow(run, "a long, b long"))
-
-
-def joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
-    """The roots after further links, which mostly lie between nodes of different roots."""
-    if roots is None:
-        return components(links, "a", "b")
-    of = lambda key: roots.select(F.col("node").alias(key), F.col("root").alias(f"{key}_root"))
-    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    more = components(ends.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")), "a", "b")
-    later = more.select(F.col("node").alias("root"), F.col("root").alias("top"))
-    moved = roots.join(later, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-    return cut_lineage(moved.unionByName(more.join(roots, "node", "left_anti")))
-
-
-def similar_roots(nodes: DataFrame, words: int, similarity: float) -> DataFrame | None:
-    """(node, root) of the nodes that have a partner, or None if none has; nodes of one root are joined by similar pairs."""
-    groups = prefix_groups(nodes, words, similarity)
-    sigs = nodes.select("node", "sig").dropDuplicates(["node"])
-    roots = None
-    low = 0
-    for high in REACH:
-        pairs = candidates(groups, sigs, roots, low, high, similarity)
-        if pairs is not None and not pairs.isEmpty():
-            roots = joined(roots, confirmed(pairs, nodes, words, similarity))
-        low = high
-    return roots

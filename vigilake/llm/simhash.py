@@ -16,8 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from vigilake.llm.common import components, folded_words, shingle_hashes, texts_of
-from vigilake.llm.set_join import shingle_nodes, similar_roots
+from vigilake.llm.common import components, folded_words, majority, shingle_hashes, texts_of
+from vigilake.llm.set_join import candidates, common_shingles, confirmed, prefix_groups, shingle_nodes
 from vigilake.session import cut_lineage
 
 FAN = 8
@@ -26,16 +26,15 @@ BUCKET = 4096
 #: Pairs of a search and a fingerprint that may be open at a time, which bounds memory.
 OPEN_PAIRS = 1 << 20
 ROUNDS = 3
+#: Bits by which candidates of the index may differ in the search for similar sets.
+INDEX_BITS = 3
+#: Distances, in groups of sets sorted by size, that the rounds after the index look at: up to the first, then all.
+REACH = (8, None)
 
 
 def fingerprint(text: bytes, words: int) -> int:
     """64 bits, each set where over half of the shingle hashes have it set; no words give zero."""
-    ones, total = np.zeros(64, dtype=np.int64), 0
-    for hashes in shingle_hashes(folded_words(text), words):
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int64)
-        total += len(hashes)
-    return int.from_bytes(np.packbits(2 * ones > total, bitorder="little").tobytes(), "little", signed=True) if total else 0
+    return majority(shingle_hashes(folded_words(text), words))
 
 
 def fingerprints(docs: DataFrame, words: int) -> DataFrame:
@@ -205,19 +204,17 @@ def _searcher(distance: int, limit: int | None):
     return run
 
 
-def fingerprint_links(codes: DataFrame, distance: int, sure: int | None = None, bucket: int = BUCKET) -> DataFrame:
+def fingerprint_links(codes: DataFrame, distance: int, bucket: int = BUCKET) -> DataFrame:
     """Links (a, b, d) that join all distinct fingerprints (column ``fp``) within ``distance`` into their groups.
 
-    All links up to ``sure`` bits (all of them by default) are found; those beyond are found where they share enough
-    blocks. Not every pair is returned: a bucket gives a spanning forest of its closest links, which loses no group.
+    Not every pair is returned: a bucket gives a spanning forest of its closest links, which loses no group.
     A bucket over ``bucket`` rows is not searched; its fingerprints are dealt anew with one more block to agree on, which
     splits it and still lets all its pairs meet. The last of three rounds takes buckets of any size.
     """
-    sure = distance if sure is None else sure
-    agree = max(1, round(16 * sure / (64 - 16)))  # keys of about 16 bits in the first round
+    agree = max(1, round(16 * distance / (64 - 16)))  # keys of about 16 bits in the first round
     live, found = codes.select("fp"), []
     for step in range(ROUNDS):
-        masks = block_masks(sure + agree + step, agree + step)
+        masks = block_masks(distance + agree + step, agree + step)
         keys = F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(masks)]))
         routed = live.select("fp", keys.alias("_")).select("_.t", "_.k", "fp").withColumn("rank", gray_rank())
         dealt = routed.repartition("t", "k").sortWithinPartitions("t", "k", "rank").select("t", "k", "fp")
@@ -260,16 +257,60 @@ def _code_components(codes: DataFrame, links: DataFrame) -> DataFrame:
     return rooted.join(least, "root").select("fp", "component_id")
 
 
+def index_pairs(nodes: DataFrame, distance: int) -> DataFrame:
+    """Pairs (a, b) of nodes that the Gray index puts together: a forest of fingerprints, and the nodes of one fingerprint."""
+    codes = cut_lineage(nodes.groupBy("fp").agg(F.min("node").alias("least")))
+    links = fingerprint_links(codes, distance)
+    of = lambda c: codes.select(F.col("fp").alias(c), F.col("least").alias(f"{c}_node"))
+    ends = links.join(of("a"), "a").join(of("b"), "b").select("a_node", "b_node")
+    alike = nodes.join(codes, "fp").select("node", "least").where("node <> least").distinct()
+    pairs = ends.unionByName(alike.toDF("a_node", "b_node"))
+    return cut_lineage(pairs.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct())
+
+
+def joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The roots after further links, which mostly lie between nodes of different roots."""
+    if roots is None:
+        return components(links, "a", "b")
+    of = lambda key: roots.select(F.col("node").alias(key), F.col("root").alias(f"{key}_root"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    more = components(ends.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")), "a", "b")
+    later = more.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    moved = roots.join(later, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return cut_lineage(moved.unionByName(more.join(roots, "node", "left_anti")))
+
+
+def similar_roots(nodes: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(node, root) of the nodes that have a partner; nodes of one root are joined by similar pairs.
+
+    The Gray index gives the first candidates. It cannot give all, as texts that share 0.8 of their shingles differ in ten
+    bits as a rule; what is not joined yet meets in the prefixes of the shingle sets, near neighbours by size first.
+    """
+    roots = components(confirmed(index_pairs(nodes, INDEX_BITS), nodes, words, similarity), "a", "b")
+    groups = prefix_groups(nodes, roots, words, similarity, common_shingles(nodes, words))
+    sigs = nodes.select("node", "sig").dropDuplicates(["node"])
+    low = 0
+    for high in REACH:
+        pairs = candidates(groups, sigs, roots, low, high, similarity)
+        if not pairs.isEmpty():
+            roots = joined(roots, confirmed(pairs, nodes, words, similarity))
+        low = high
+    return roots
+
+
 def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The documents with one left (the smallest doc_id) of each group of near copies, all columns as they were.
 
     Two texts are linked if they share at least ``similarity`` of their different shingles; all such pairs count, see
-    ``set_join``. Texts without words are copies of each other. Rows that repeat a doc_id stand or fall together: they stay
-    if the doc_id is the smallest of the group of one of their texts.
+    ``set_join``. Texts without words are copies of each other. One row of each group stays, also where rows repeat a doc_id
+    or where it is null; a null doc_id stays only if the group has no other. An empty table gives no rows.
     """
     nodes = cut_lineage(shingle_nodes(docs, words))
     roots = similar_roots(nodes, words, similarity)
-    rows = nodes.select("doc_id", "node")
-    rows = rows.withColumn("root", F.col("node")) if roots is None else rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    kept = rows.groupBy("root").agg(F.min("doc_id").alias("_llm_id")).select("_llm_id").distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_llm_id")), "left_semi")
+    own = docs.columns.index("doc_id")
+    rows = nodes.select("rid", F.col(f"c{own}").alias("id"), "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid")).alias("first")
+    kept = rows.groupBy("root").agg(first).select(F.col("first.rid").alias("rid"))
+    text = docs.columns.index("text")
+    columns = [F.col("text" if i == text else f"c{i}").cast(kind).alias(c) for i, (c, kind) in enumerate(docs.dtypes)]
+    return nodes.join(kept, "rid", "left_semi").select(*columns)
