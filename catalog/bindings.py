@@ -174,7 +174,7 @@ AS_OF = "2024-06-01 00:00:00"
 
 def doc_findings(s: SparkSession, d: str) -> DataFrame:
     """Findings of five user rules over all documents."""
-    found = match_content(doc_files(s, d), [*pack_entries(CORPUS), *pack_entries(WORDING)])
+    found = match_content(doc_files(s, d), [*pack_entries(CORPUS), *pack_entries(WORDING)], keys=("repo", "path"))
     return as_findings(found, [CORPUS, WORDING], created_at=F.to_timestamp(F.lit(AS_OF)))
 
 
@@ -187,8 +187,8 @@ RULE_CTE = (
     f"rules(rule_id, title, severity, severity_rank, type, analyzer, confidence, pack, cwe_id, remediation) AS (VALUES {_RULE_ROWS})"
 )
 FINDINGS_CTE = f"""{RULE_CTE}, hits AS ({content_matches_sql(doc_files_sql(), [*CORPUS.rules, *WORDING.rules])}),
-findings AS (SELECT upper(left(r.analyzer, 3)) || '-' || left(sha256(r.analyzer || ':' || path || ':' || line_start || ':'
-  || rule_id || '@' || column_start), 12) AS id, rule_id, r.title, r.severity, r.severity_rank, r.type, r.analyzer,
+findings AS (SELECT upper(left(r.analyzer, 3)) || '-' || sha256(r.analyzer || ':' || string_split(path, '/')[1] || ':' || path || ':'
+  || line_start || ':' || rule_id || '@' || column_start) AS id, string_split(path, '/')[1] AS repo, rule_id, r.title, r.severity, r.severity_rank, r.type, r.analyzer,
   r.confidence, r.pack, r.cwe_id, r.remediation, path, line_start, column_start, matched_text,
   [r.pack, 'rule:' || rule_id] AS tags FROM hits JOIN rules r USING (rule_id))"""
 

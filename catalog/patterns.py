@@ -167,7 +167,7 @@ _TRIGGERS = ", ".join(f"({lit(t)})" for t in prompts.JAILBREAK_TRIGGERS)
   hit AS (SELECT path, lower(text) AS low, trigger FROM f JOIN t ON contains(lower(text), lower(trigger))),
   pos AS (SELECT path, low, trigger, i FROM hit, unnest(range(1, length(low) + 1)) AS r(i) WHERE substr(low, i, length(trigger)) = lower(trigger))
   SELECT path, 'JAILBREAK' AS rule_id, CAST(length(left(low, i - 1)) - length(replace(left(low, i - 1), {NL}, '')) + 1 AS INTEGER) AS line_start,
-  trigger AS matched_text FROM pos""")
+  CAST(length(regexp_extract(left(low, i - 1), '[^\n]*$')) AS INTEGER) AS column_start, trigger AS matched_text FROM pos""")
 def _(s, d):
     return P.pack_jailbreak(chat_files(s, d, F.lit("Dan enables Developer Mode"), F.col("role"), F.lit("this is a testhis is a test")))
 

@@ -254,25 +254,25 @@ _PAGE_HITS = f"SELECT path, count(*) AS n FROM (SELECT path, unnest(regexp_extra
 
 
 @query("directory_rollup", f"""WITH h AS ({_PAGE_HITS}), a AS (SELECT array_to_string(string_split(path, '/')[1:i], '/') AS dir_path, n FROM h, unnest(range(0, len(string_split(path, '/')))) AS t(i))
-  SELECT dir_path, CASE WHEN dir_path = '' THEN 0 ELSE len(string_split(dir_path, '/')) END AS depth, CASE WHEN dir_path = '' THEN NULL WHEN contains(dir_path, '/')
+  SELECT 'web' AS repo, dir_path, CASE WHEN dir_path = '' THEN 0 ELSE len(string_split(dir_path, '/')) END AS depth, CASE WHEN dir_path = '' THEN NULL WHEN contains(dir_path, '/')
   THEN regexp_replace(dir_path, '/[^/]*$', '') ELSE '' END AS parent, sum(n) AS issues, 'medium' AS worst_severity FROM a GROUP BY dir_path""")
 def _(s, d):
     from vigilake.operators.findings import as_findings
     from vigilake.operators.matching import match_content, pack_entries
 
     rule = [e for e in pack_entries(WORDING) if e[0].rule_id == "DOC-SHELL"]
-    found = as_findings(match_content(page_files(s, d), rule, keys=("path", "page_id")), WORDING)
+    found = as_findings(match_content(page_files(s, d), rule, keys=("repo", "path", "page_id")), WORDING)
     return R.directory_rollup(found)
 
 
-@query("findings_by_file", on_findings("""SELECT regexp_replace(path, '^src1/', '') AS path, count(*) AS n, count(*) FILTER (severity = 'low') AS n_low,
+@query("findings_by_file", on_findings("""SELECT repo, regexp_replace(path, '^src1/', '') AS path, count(*) AS n, count(*) FILTER (severity = 'low') AS n_low,
   count(*) FILTER (severity = 'medium') AS n_medium, count(*) FILTER (severity = 'high') AS n_high, count(*) FILTER (severity = 'critical') AS n_critical,
-  arg_max(severity, severity_rank) AS worst_severity FROM findings GROUP BY 1"""))
+  arg_max(severity, severity_rank) AS worst_severity FROM findings GROUP BY 1, 2"""))
 def _(s, d):
     return R.findings_by_file(doc_findings(s, d), "src1")
 
 
-@query("worst_severity", on_findings("SELECT path, arg_max(severity, severity_rank) AS worst_severity FROM findings GROUP BY path"))
+@query("worst_severity", on_findings("SELECT repo, path, arg_max(severity, severity_rank) AS worst_severity FROM findings GROUP BY ALL"))
 def _(s, d):
     return R.worst_severity(doc_findings(s, d))
 
@@ -298,7 +298,7 @@ def _(s, d):
     return R.top_types(doc_findings(s, d))
 
 
-@query("top_files", on_findings("SELECT path, count(*) AS n FROM findings GROUP BY path ORDER BY n DESC, path LIMIT 2"))
+@query("top_files", on_findings("SELECT repo, path, count(*) AS n FROM findings GROUP BY ALL ORDER BY n DESC, repo, path LIMIT 2"))
 def _(s, d):
     return R.top_files(doc_findings(s, d))
 

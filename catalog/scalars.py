@@ -12,6 +12,7 @@ from vigilake.functions import scalars as Sc, text as Tx, versions as Ve
 from vigilake.operators.characters import unicode_script
 from vigilake.operators.findings import as_findings
 from vigilake.operators.matching import match_content, match_counts, pack_entries
+from vigilake.operators.sets import file_keys
 from vigilake.rules.model import Rule
 from vigilake.session import read_table, scratch_folder
 from vigilake.sources.files import content_hash, files_from_table
@@ -92,7 +93,7 @@ def _(s, d):
     return part(s, d).select("p_partkey", Sc.clean_npm_version(F.concat(F.lit("^~>="), _version())).alias("v"))
 
 
-@query("finding_id", """SELECT doc_id, 'TES-' || left(sha256('test:' || source || ':' || CASE WHEN lang = 'en' THEN 'N/A' ELSE doc_id::VARCHAR END || ':secret'), 12) AS id FROM documents""")
+@query("finding_id", """SELECT doc_id, 'TES-' || sha256('test:' || source || ':' || CASE WHEN lang = 'en' THEN 'N/A' ELSE doc_id::VARCHAR END || ':secret') AS id FROM documents""")
 def _(s, d):
     line = F.when(F.col("lang") != "en", F.col("doc_id"))
     return documents(s, d).select("doc_id", Sc.finding_id(F.lit("test"), F.col("source"), line, F.lit("secret")).alias("id"))
@@ -207,17 +208,17 @@ def _(s, d):
 # --- streaming and re-scans ------------------------------------------------------------------------------------------
 
 def _analyze(files):
-    found = match_content(files, [*pack_entries(CORPUS), *pack_entries(WORDING)])
+    found = match_content(files, [*pack_entries(CORPUS), *pack_entries(WORDING)], keys=file_keys(files))
     return as_findings(found, [CORPUS, WORDING], created_at=F.to_timestamp(F.lit(AS_OF)))
 
 
-@query("incremental_scan", f"""SELECT path, rule_id, count(*) AS n FROM ({content_matches_sql(f"SELECT * FROM ({doc_files_sql()}) WHERE lang NOT IN ('en', 'de')", [*CORPUS.rules, *WORDING.rules])})
+@query("incremental_scan", f"""SELECT string_split(path, '/')[1] AS repo, path, rule_id, count(*) AS n FROM ({content_matches_sql(f"SELECT * FROM ({doc_files_sql()}) WHERE lang NOT IN ('en', 'de')", [*CORPUS.rules, *WORDING.rules])})
   GROUP BY ALL""")
 def _(s, d):
     files = content_hash(doc_files(s, d), "sha256", "text").withColumn("mtime", F.to_timestamp(F.lit(AS_OF)))
     seen = cache_entries(s, d, "corpus").where(F.col("path").contains("/en/") | F.col("path").contains("/de/"))
     result = incremental_scan(files, seen, {"corpus": _analyze}, F.to_timestamp(F.lit(AS_OF)))
-    return result.findings.groupBy(F.col("location.path").alias("path"), "rule_id").agg(F.count("*").alias("n"))
+    return result.findings.groupBy("repo", F.col("location.path").alias("path"), "rule_id").agg(F.count("*").alias("n"))
 
 
 def _stream(s, d, table):
@@ -264,23 +265,24 @@ def _(s, d):
 _OWN = (Rule("OWN1", "Doubled word", "low", "other", r"(?:^| )(?:the the|de de|la la)(?: |$)", "i"), Rule("OWN2", "Long digits", "medium", "other", r"\d{7,}", "", scope="content"))
 
 
-@query("register_rule_pack", f"""SELECT path, 'OWN1' AS rule_id, count(*) AS n FROM (SELECT path, unnest(regexp_extract_all(line, {lit(re2(_OWN[0]))})) FROM ({lines_sql(doc_files_sql())})) GROUP BY path
-  UNION ALL SELECT path, 'OWN2', count(*) FROM (SELECT path, unnest(regexp_extract_all(text, {lit(re2(_OWN[1]))})) FROM ({doc_files_sql()})) GROUP BY path""")
+@query("register_rule_pack", f"""SELECT string_split(path, '/')[1] AS repo, path, 'OWN1' AS rule_id, count(*) AS n FROM (SELECT path, unnest(regexp_extract_all(line, {lit(re2(_OWN[0]))})) FROM ({lines_sql(doc_files_sql())})) GROUP BY path
+  UNION ALL SELECT string_split(path, '/')[1], path, 'OWN2', count(*) FROM (SELECT path, unnest(regexp_extract_all(text, {lit(re2(_OWN[1]))})) FROM ({doc_files_sql()})) GROUP BY path""")
 def _(s, d):
     register_rule_pack(_OWN, "catalog-own")
     found = run_registered(doc_files(s, d), ["catalog-own"])
-    return found.groupBy(F.col("location.path").alias("path"), "rule_id").agg(F.count("*").alias("n"))
+    return found.groupBy("repo", F.col("location.path").alias("path"), "rule_id").agg(F.count("*").alias("n"))
 
 
 def _shouting(path, text):
     return [{"rule_id": "SHOUT", "line_start": i, "severity": "low"} for i, line in enumerate(text.split("\n"), 1) if "!" in line or "%%%" in line]
 
 
-@query("analyzer_udtf", f"""SELECT path, 'SHOUT' AS rule_id, line_start FROM (SELECT path, CAST(i AS INTEGER) AS line_start, p[i] AS line FROM (SELECT path, string_split(text, {NL}) AS p FROM ({doc_files_sql()})),
+@query("analyzer_udtf", f"""SELECT 'SHO-' || sha256('shout:' || string_split(path, '/')[1] || ':' || path || ':' || line_start || ':SHOUT') AS id,
+  string_split(path, '/')[1] AS repo, path, 'SHOUT' AS rule_id, line_start FROM (SELECT path, CAST(i AS INTEGER) AS line_start, p[i] AS line FROM (SELECT path, string_split(text, {NL}) AS p FROM ({doc_files_sql()})),
   unnest(range(1, len(p) + 1)) AS t(i)) WHERE contains(line, '!') OR contains(line, '%%%')""")
 def _(s, d):
     found = analyzer_from_function("shout", _shouting)(doc_files(s, d))
-    return found.select(F.col("location.path").alias("path"), "rule_id", F.col("location.line_start").alias("line_start"))
+    return found.select("id", "repo", F.col("location.path").alias("path"), "rule_id", F.col("location.line_start").alias("line_start"))
 
 
 def _fragile(path, text):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vigilake.functions.patterns import needed_literals, rarest_literals, rule_pattern, stays_on_line
 from vigilake.operators import packs as P
+from vigilake.operators.findings import as_findings
 from vigilake.operators.matching import match_content, match_lines, pack_entries
 from vigilake.rules import PACKS, all_rules
 from vigilake.rules.model import Rule
@@ -147,6 +148,10 @@ def test_large_text(spark, files):
 
 def test_overlapping_triggers(spark, files):
     rows = P.pack_jailbreak(files({"a": "this is a testhis is a test\nDan"})).collect()
+    assert sorted((r.line_start, r.column_start) for r in rows) == [(1, 0), (1, 13), (2, 0)]
+    two = P.pack_jailbreak(files({"a": "Evil Mode and\n\n again Evil Mode, evil mode"}))
+    assert sorted((r.line_start, r.column_start) for r in two.collect()) == [(1, 0), (3, 7), (3, 18)]
+    assert len({r.id for r in as_findings(two, PACKS.values()).collect()}) == 3
     assert sorted((r.matched_text, r.line_start) for r in rows) == [("DAN", 2), ("This is a test", 1), ("This is a test", 1)]
 
 

@@ -49,7 +49,8 @@ def test_cvss(spark, score, text, expected):
 def test_finding_id(spark):
     make = lambda line: one(spark, Sc.finding_id(F.lit("test_analyzer"), F.lit("file.py"), F.lit(line), F.lit("vulnerability")))
     assert make(10) == make(10) != make(11)
-    assert make(10).startswith("TES-") and len(make(10)) == 16
+    assert make(10).startswith("TES-") and len(make(10)) == 68
+    assert one(spark, Sc.short_id(F.lit(make(10)))) == make(10)[:16]
 
 
 def test_snippet_and_offsets(spark):
@@ -115,6 +116,23 @@ MANIFESTS = {
     "Cargo.toml": "[dependencies]\nserde = '1.0'\ntokio = {version = '1.2'}\n",
     "bad/Cargo.toml": "[dependencies",
 }
+TOML = {
+    "a/pyproject.toml": "# [project]\ndependencies = ['no==1']\n[project]\nname = 'x' # ]\ndependencies = [  # [all]\n  \"Six==1.0\", 'b[x]>=2', # 'no==1'\n"
+                        "  'c ~= 3.1',\n]\noptional = ['no==2']\n[project.optional-dependencies]\ndev = ['no==3']\n",
+    "b/pyproject.toml": "[project]\r\ndependencies = ['d==1']\r\nother = ['no==1']\r\n[tool]\r\ndependencies = ['no==4']\r\n",
+    "Pipfile": "[[source]]\nurl = 'u'\n[packages] # here\nA = '==1.2'\nb = {extras = ['x'], version = \"~=2.0\"}\nc = '*'\nd = {path = '.'}\ne = 3\n[dev-packages]\nno = '1'\n",
+    "Cargo.toml": "[package]\nversion = '9'\n[ dependencies ]\n'quoted' = \"1\"\nx.version = '2'\nx.features = ['a']\n[dependencies.sub]\nversion = '3'\npath = 'p'\n[build-dependencies]\nno = '1'\n",
+}
+
+
+def test_toml_tables(spark, files):
+    got = sorted((r.file_path, r.name, r.version) for r in Pk.extract_packages(files(TOML)).collect())
+    assert got == sorted([
+        ("a/pyproject.toml", "six", "1.0"), ("a/pyproject.toml", "c", "3.1"), ("b/pyproject.toml", "d", "1"),
+        ("Pipfile", "a", "1.2"), ("Pipfile", "b", "2.0"), ("Cargo.toml", "quoted", "1"), ("Cargo.toml", "x", "2"), ("Cargo.toml", "sub", "3"),
+    ])
+    long = "[project]\ndependencies = [" + ", ".join(f"'p{i}==1'" for i in range(20000)) + "]\n" + "# x\n" * 20000
+    assert Pk.packages_pyproject(files({"pyproject.toml": long})).count() == 20000
 
 
 def test_packages(spark, files):

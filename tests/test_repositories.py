@@ -6,14 +6,18 @@ import json
 from pyspark.sql import functions as F
 
 from vigilake.functions.scalars import issue_label
-from vigilake.operators import advisories as A, packs as P, sets, structured as St
+from vigilake.operators import advisories as A, packs as P, rollups, sets, structured as St
 from vigilake.operators.binary import is_binary
 from vigilake.operators.filters import ScanConfig
 from vigilake.operators.matching import match_content
+from vigilake.operators.packages import extract_packages
 from vigilake.plans.scan import scan
 from vigilake.rules import threats
-from vigilake.sources.files import decode_text, files_from_table
-from vigilake.sources.stores import cache_latest, expire_cache
+from vigilake.rules.model import Rule
+from vigilake.sources.files import content_hash, decode_text, files_from_table
+from vigilake.sources.stores import cache_latest, expire_cache, read_cache, write_cache
+from vigilake.streaming.incremental import incremental_scan
+from vigilake.udf import analyzer_from_function, register_rule_pack, run_registered
 
 
 def repo_files(spark, rows):
@@ -147,3 +151,54 @@ def test_line_windows_from_tables_and_from_texts_agree(spark):
     assert rows(O.text_windows(files, 2, hit=hit).select("path", "line_no", "snippet")) == rows(O.snippet_context(hits, lines, 2))
     assert rows(O.text_lines_near(files, hit, 2)) == rows(O.lines_of_interest(hits, lines, 2))
     assert "Exchange" not in O.text_windows(files, 2)._jdf.queryExecution().executedPlan().toString()
+
+
+def two_repos(spark):
+    """One path in two repositories, with one hit and with two."""
+    return repo_files(spark, [("r1", "a/x.txt", "needle\n"), ("r2", "a/x.txt", "needle\nneedle\n"), (None, "a/x.txt", "no\n")])
+
+
+NEEDLE = (Rule("NEEDLE", "Needle", "high", "other", "needle"), Rule("BOTH", "Both", "low", "other", r"needle\nneedle", "", scope="content"))
+
+
+def test_own_rules_and_analyzers_know_the_repository(spark):
+    register_rule_pack(NEEDLE, "two-repos")
+    found = run_registered(two_repos(spark), ["two-repos"]).cache()
+    assert sorted((r.repo, r.rule_id) for r in found.collect()) == [("r1", "NEEDLE"), ("r2", "BOTH"), ("r2", "NEEDLE"), ("r2", "NEEDLE")]
+    assert found.select("id").distinct().count() == 4 == sets.dedupe_findings(found).count()
+    own = analyzer_from_function("own", lambda path, text: [{"rule_id": "X", "line_start": 1}])(two_repos(spark)).collect()
+    assert {r.repo for r in own} == {"r1", "r2", None} and len({r.id for r in own}) == 3
+
+
+def test_roll_ups_keep_repositories_apart(spark):
+    register_rule_pack(NEEDLE, "two-repos")
+    found = run_registered(two_repos(spark), ["two-repos"]).cache()
+    assert sorted((r.repo, r.path, r.n) for r in rollups.findings_by_file(found).collect()) == [("r1", "a/x.txt", 1), ("r2", "a/x.txt", 3)]
+    assert sorted((r.repo, r.dir_path, r.issues) for r in rollups.directory_rollup(found).collect()) == [("r1", "", 1), ("r1", "a", 1), ("r2", "", 3), ("r2", "a", 3)]
+    assert sorted(tuple(r) for r in rollups.worst_severity(found).collect()) == [("r1", "a/x.txt", "high"), ("r2", "a/x.txt", "high")]
+    assert [tuple(r) for r in rollups.top_files(found, 1).collect()] == [("r2", "a/x.txt", 3)]
+    assert rollups.file_issues(found, "a/x.txt", "r1").count() == 1
+
+
+def test_an_unchanged_table_is_not_scanned_again(spark, tmp_path):
+    pack = register_rule_pack(NEEDLE, "two-repos")
+    run = {"two": lambda f: run_registered(f, [pack.name])}
+    files = content_hash(two_repos(spark), "sha256", "text").withColumn("mtime", F.to_timestamp(F.lit("2024-01-01 00:00:00")))
+    now = F.to_timestamp(F.lit("2024-02-01 00:00:00"))
+    first = incremental_scan(files, read_cache(spark, None), run, now)
+    assert {(r.repo, r.n_findings) for r in first.entries.collect()} == {("r1", 1), ("r2", 3), (None, 0)}
+    write_cache(first.entries, f"{tmp_path}/c")
+    again = incremental_scan(files, read_cache(spark, f"{tmp_path}/c"), run, now)
+    assert again.scanned.count() == 0 and again.findings.count() == 0
+    changed = files.withColumn("content_hash", F.when(F.col("repo") == "r2", F.lit("new")).otherwise(F.col("content_hash")))
+    assert [(r.repo, r.path) for r in incremental_scan(changed, read_cache(spark, f"{tmp_path}/c"), run, now).scanned.collect()] == [("r2", "a/x.txt")]
+
+
+def test_packages_and_dependencies_know_the_repository(spark):
+    files = repo_files(spark, [("r1", "requirements.txt", "requests==1.0\n"), ("r2", "requirements.txt", "requests==1.0\n"), ("r2", "Cargo.toml", "[dependencies]\nx = '1'\n")])
+    packages = extract_packages(files)
+    assert sorted((r.repo, r.file_path, r.name) for r in packages.collect()) == [("r1", "requirements.txt", "requests"), ("r2", "Cargo.toml", "x"), ("r2", "requirements.txt", "requests")]
+    hits = packages.where("name = 'requests'").select("*", F.lit("A1").alias("advisory_id"), F.lit("s").alias("summary"), F.lit(7.5).alias("cvss_score"),
+                                                     F.lit("x").alias("severity"), F.lit("2.0").alias("fixed_version"), F.array().cast("array<string>").alias("references"))
+    found = A.dependency_findings(hits).collect()
+    assert {r.repo for r in found} == {"r1", "r2"} and len({r.id for r in found}) == 2

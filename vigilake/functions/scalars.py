@@ -60,13 +60,18 @@ def strip_range_signs(version: Column) -> Column:
 
 
 def finding_id(analyzer: Column, path: Column, line: Column, finding_type: Column, repo: Column | None = None) -> Column:
-    """Stable id: three letters of the analyzer and twelve digits of a hash of where and what.
+    """Stable id: three letters of the analyzer and a hash of where and what, at full length, as scans are compared by it.
 
-    A repository that is known is part of the place; a null one counts as not known.
+    A repository that is known is part of the place; a null one counts as not known. :func:`short_id` is for display.
     """
     place = F.coalesce(line.cast("string"), F.lit("N/A"))
     digest = F.sha2(F.concat_ws(":", analyzer, *([] if repo is None else [repo]), path, place, finding_type), 256)
-    return F.concat(F.upper(F.substring(analyzer, 1, 3)), F.lit("-"), F.substring(digest, 1, 12))
+    return F.concat(F.upper(F.substring(analyzer, 1, 3)), F.lit("-"), digest)
+
+
+def short_id(full: Column, digits: int = 12) -> Column:
+    """The first digits of an id, for reports. Not a key: in large tables several findings share them."""
+    return F.substring(full, 1, 4 + digits)
 
 
 def location_string(path: Column, line_start: Column, line_end: Column) -> Column:

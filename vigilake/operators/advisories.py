@@ -140,9 +140,10 @@ def first_bound_per_package(hits: DataFrame) -> DataFrame:
 def dependency_findings(hits: DataFrame, created_at: Column | None = None) -> DataFrame:
     """Findings of the dependency join."""
     level = cvss_to_severity(F.col("cvss_score"), F.col("severity"))
+    repo = (F.col("repo") if "repo" in hits.columns else F.lit(None)).cast("string")
     rows = hits.select(
         finding_id(F.lit("vulnerability"), F.col("file_path"), F.col("line_number"),
-                   F.concat_ws("@", "advisory_id", "name", "version")).alias("id"),
+                   F.concat_ws("@", "advisory_id", "name", "version"), repo).alias("id"),
         F.lit("VULNERABLE-DEPENDENCY").alias("rule_id"),
         F.format_string("Vulnerable dependency: %s %s", "name", "version").alias("title"),
         vulnerability_description(
@@ -163,7 +164,7 @@ def dependency_findings(hits: DataFrame, created_at: Column | None = None) -> Da
             F.lit("ecosystem"), F.col("ecosystem"), F.lit("vulnerability_id"), F.col("advisory_id"),
             F.lit("fixed_version"), F.col("fixed_version"),
         ).alias("metadata"),
-        "cvss_score",
+        "cvss_score", repo.alias("repo"),
     )
     return with_finding_defaults(rows)
 

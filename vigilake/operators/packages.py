@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-import re
-import tomllib
-from collections.abc import Callable, Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from vigilake.functions.arrays import running_sql
 from vigilake.functions.scalars import clean_npm_version, lookup
 from vigilake.functions.text import split_lines
 from vigilake.functions.versions import version_key
@@ -27,7 +23,6 @@ QUOTED_REQUIREMENT = r"""["']([a-zA-Z0-9_.-]+)\s*([><=!~]+)\s*([0-9][0-9a-zA-Z._
 INSTALL_REQUIRES = r"(?s)install_requires\s*=\s*\[(.*?)\]"
 GO_REQUIRE = r"^([a-zA-Z0-9./\-_]+)\s+v([0-9][0-9a-zA-Z._+-]*)"
 NPM_SECTIONS = ("dependencies", "devDependencies", "peerDependencies")
-RANGE_SIGNS = "\"'*>=~!"
 
 PACKAGE_COLUMNS = ("name", "version", "version_key", "ecosystem", "file_path", "line_number")
 
@@ -109,59 +104,79 @@ def packages_go_mod(files: DataFrame, path: str = "path", text: str = "text") ->
     return _packages(rows, "go", lower=False)
 
 
-def _toml_rows(files: DataFrame, path: str, text: str, read: Callable[[dict], list[tuple[str, str]]]) -> DataFrame:
-    """Entries of TOML files; a file that does not parse gives none. Spark has no TOML reader, so files go through
-    Arrow batches and the standard parser, one file at a time."""
+# What a TOML line can be, as far as declared dependencies go.
+TOML_HEADER = r"^\s*\[{1,2}\s*([^\[\]]+?)\s*\]{1,2}\s*(?:#.*)?$"
+TOML_ENTRY = r"""^\s*("[^"]*"|'[^']*'|[A-Za-z0-9_-]+)\s*(?:\.\s*(version))?\s*=\s*(.*)$"""
+TOML_STRING = r"""^("[^"]*"|'[^']*')"""
+TOML_VERSION = r"""[{,\s]version\s*=\s*("[^"]*"|'[^']*')"""
+TOML_STRINGS = r"""("[^"]*"|'[^']*')"""
+#: Strings, and the comment that ends a line.
+TOML_PARTS = r"""("[^"]*"|'[^']*'|#.*)"""
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for file_path, value in zip(batch["file_path"], batch["text"]):
-                try:
-                    rows += [(name, version, file_path) for name, version in read(tomllib.loads(value))]
-                except (tomllib.TOMLDecodeError, TypeError, AttributeError):
-                    continue
-            yield pd.DataFrame(rows, columns=["name", "version", "file_path"])
 
-    return files.select(F.col(path).alias("file_path"), F.col(text).alias("text")).mapInPandas(
-        parse, "name string, version string, file_path string"
-    ).withColumn("line_number", F.lit(None).cast("int"))
+def _unquoted(value: Column) -> Column:
+    return F.substring(value, F.lit(2), F.length(value) - 2)
 
 
-def _version_of(spec) -> str | None:
-    if isinstance(spec, str):
-        return spec
-    return spec.get("version", "") if isinstance(spec, dict) else None
+def _toml_lines(files: DataFrame, path: str, text: str) -> DataFrame:
+    """Lines of TOML files with the table they stand in: file_path, line_number, section (blanks and quotes off), line.
 
+    The header of each line is the last one at or before it, a running maximum inside the file's own array of lines.
+    """
+    lines = F.split(F.regexp_replace(F.col(text), r"\r\n?", "\n"), "\n", -1)
+    header = "'" + TOML_HEADER.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    heads = F.expr(running_sql(f"transform(_l, (x, i) -> if(x rlike {header}, i + 1, 0))", "max"))
+    rows = files.select(F.col(path).alias("file_path"), lines.alias("_l")).where("_l is not null").withColumn("_h", heads)
+    placed = rows.select("file_path", "_l", F.posexplode("_h").alias("_i", "_head"))
+    section = F.regexp_replace(F.regexp_extract(F.get("_l", F.col("_head") - 1), TOML_HEADER, 1), r"""["'\s]""", "")
+    return placed.select("file_path", (F.col("_i") + 1).alias("line_number"), F.when(F.col("_head") > 0, section).alias("section"), F.get("_l", F.col("_i")).alias("line"))
 
-def packages_pyproject(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
-    """Entries of ``[project].dependencies``."""
 
-    def read(data):
-        hits = (re.match(REQUIREMENT, d) for d in data.get("project", {}).get("dependencies", []))
-        return [(m.group(1), m.group(3)) for m in hits if m]
+def _toml_table(files: DataFrame, path: str, text: str, table: str) -> DataFrame:
+    """Versions declared in a table: ``name = "1"``, ``name = {version = "1"}``, ``name.version = "1"`` and ``[table.name]``."""
+    lines = _toml_lines(files, path, text).where((F.col("section") == table) | F.col("section").startswith(table + "."))
+    entry = lambda n: F.regexp_extract("line", TOML_ENTRY, n)
+    own, key, value = F.col("section") == table, entry(1), entry(3)
+    bare = F.when(F.rlike(key, F.lit(r"""^["']""")), _unquoted(key)).otherwise(key)
+    direct = F.regexp_extract(value, TOML_STRING, 1)
+    inside = F.when(F.startswith(value, F.lit("{")), F.regexp_extract(value, TOML_VERSION, 1)).otherwise("")
+    found = F.when(own & (entry(2) == ""), F.when(direct != "", direct).otherwise(inside)).when(own | (key == "version"), direct).otherwise("")
+    name = F.when(own, bare).otherwise(F.substring("section", F.lit(len(table) + 2), F.length("section")))
+    rows = lines.where(F.rlike("line", F.lit(TOML_ENTRY))).select("file_path", name.alias("name"), found.alias("_v")).where("_v <> ''")
+    return rows.select("name", _unquoted(F.col("_v")).alias("version"), "file_path", F.lit(None).cast("int").alias("line_number")).where("version <> ''")
+
 
-    return _packages(_toml_rows(files, path, text, read), "pypi")
+def packages_pyproject(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
+    """Entries of ``[project].dependencies``, on one line or on many, read line by line inside Spark."""
+    lines = _toml_lines(files, path, text).where("section = 'project'")
+    begins = F.rlike("line", F.lit(r"^\s*dependencies\s*=\s*\["))
+    plain = F.regexp_replace(F.regexp_replace("line", TOML_STRINGS, ""), "#.*$", "")
+    marked = lines.select(
+        "file_path", F.struct("line_number", F.when(begins, 1).otherwise(0).alias("begins"), F.contains(plain, F.lit("]")).cast("int").alias("ends"), "line").alias("_x")
+    ).groupBy("file_path").agg(F.sort_array(F.collect_list("_x")).alias("_x"))  # the lines of one table of one file
+    opened = F.expr(running_sql("transform(_x, (x, i) -> x.begins * (i + 1))", "max"))
+    closed = F.expr(running_sql("transform(_x, (x, i) -> x.ends * (i + 1))", "max"))
+    states = marked.withColumns({"_o": opened, "_c": closed})
+    inside = F.expr("filter(_x, (x, i) -> _o[i] > 0 and (i = 0 or coalesce(get(_c, i - 1), 0) < _o[i]))")
+    listed = states.select("file_path", F.explode(inside).alias("_x"))
+    parts = F.filter(F.regexp_extract_all("_x.line", F.lit(TOML_PARTS), F.lit(1)), lambda t: ~F.startswith(t, F.lit("#")))
+    specs = listed.select("file_path", F.explode(parts).alias("_s")).select("file_path", _unquoted(F.col("_s")).alias("spec"))
+    rows = specs.where(F.rlike("spec", F.lit(REQUIREMENT))).select(
+        F.regexp_extract("spec", REQUIREMENT, 1).alias("name"), F.regexp_extract("spec", REQUIREMENT, 3).alias("version"), "file_path", F.lit(None).cast("int").alias("line_number"),
+    )
+    return _packages(rows, "pypi")
 
 
 def packages_pipfile(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     """Entries of ``[packages]``."""
-
-    def read(data):
-        specs = ((n, _version_of(s)) for n, s in data.get("packages", {}).items())
-        return [(n, v.strip(RANGE_SIGNS)) for n, v in specs if v is not None and v.strip(RANGE_SIGNS)]
-
-    return _packages(_toml_rows(files, path, text, read), "pypi")
+    rows = _toml_table(files, path, text, "packages")
+    bare = F.regexp_replace("version", r"""^["'*>=~!]+|["'*>=~!]+$""", "")
+    return _packages(rows.withColumn("version", bare).where("version <> ''"), "pypi")
 
 
 def packages_cargo(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     """Entries of ``[dependencies]``."""
-
-    def read(data):
-        specs = ((n, _version_of(s)) for n, s in data.get("dependencies", {}).items())
-        return [(n, v) for n, v in specs if v]
-
-    return _packages(_toml_rows(files, path, text, read), "rust", lower=False)
+    return _packages(_toml_table(files, path, text, "dependencies"), "rust", lower=False)
 
 
 # Readers by manifest name.
@@ -173,12 +188,15 @@ READERS = {
 
 
 def extract_packages(files: DataFrame, path: str = "path", name: str = "name", text: str = "text") -> DataFrame:
-    """Packages of all manifests known by name."""
-    parts = [reader(files.where(F.lower(name) == manifest), path, text) for manifest, reader in READERS.items()]
+    """Packages of all manifests known by name, with their repository where files have one."""
+    has_repo = "repo" in files.columns
+    placed = files.withColumn("_place", F.struct(*(["repo"] if has_repo else []), F.col(path).alias("path")))
+    parts = [reader(placed.where(F.lower(name) == manifest), "_place", text) for manifest, reader in READERS.items()]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out
+    own = {"repo": F.col("file_path.repo")} if has_repo else {}
+    return out.withColumns({**own, "file_path": F.col("file_path.path")})
 
 
 def distinct_packages(packages: DataFrame) -> DataFrame:

@@ -198,23 +198,26 @@ def pack_indirect_injection(files: DataFrame, keys: Sequence[str] = KEYS, name:
 
 
 def pack_jailbreak(files: DataFrame, keys: Sequence[str] = KEYS, text: str = "text") -> DataFrame:
-    """Every occurrence of a trigger phrase, overlapping ones too, with its line.
+    """Every occurrence of a trigger phrase, overlapping ones too, with its line and column (from 0).
 
     The text is cut in front of each occurrence. A blank put before it keeps the first piece from being empty, which
-    a split at a lookahead would drop.
+    a split at a lookahead would drop. Where lines begin is added up once per text.
     """
     triggers = F.array_compact(F.array(*[
         F.when(F.col("_low").contains(t.lower()), F.lit(t)) for t in prompts.JAILBREAK_TRIGGERS
     ]))
-    hits = files.select(*keys, F.concat(F.lit(" "), F.lower(text)).alias("_low")).select(
-        *keys, "_low", F.explode(triggers).alias("trigger")
-    )
+    some = files.select(*keys, F.concat(F.lit(" "), F.lower(text)).alias("_low")).withColumn("_t", triggers).where(F.size("_t") > 0)
+    begins = running_totals("transform(split(_low, '\\n', -1), x -> length(x) + 1)")
+    hits = some.withColumn("_ends", begins).select(*keys, "_low", "_ends", F.explode("_t").alias("trigger"))
     pieces = F.split("_low", F.concat(F.lit("(?=\\Q"), F.lower("trigger"), F.lit("\\E)")), -1)
-    breaks = "transform(slice(_pieces, 1, size(_pieces) - 1), p -> regexp_count(p, '\\n'))"
-    return hits.select(*keys, "trigger", pieces.alias("_pieces")).select(
-        *keys, F.lit("JAILBREAK").alias("rule_id"), F.col("trigger").alias("matched_text"),
-        F.explode(running_totals(breaks)).alias("_n"),
-    ).select(*keys, "rule_id", (F.col("_n") + 1).alias("line_start"), "matched_text")
+    before = "transform(slice(_pieces, 1, size(_pieces) - 1), p -> {})"
+    lines, stops = running_totals(before.format("regexp_count(p, '\\n')")), running_totals(before.format("length(p)"))
+    placed = hits.select(*keys, "trigger", "_ends", pieces.alias("_pieces")).select(
+        *keys, "_ends", F.lit("JAILBREAK").alias("rule_id"), F.col("trigger").alias("matched_text"),
+        F.explode(F.arrays_zip(lines.alias("line"), stops.alias("stop"))).alias("_n"),
+    )
+    column = F.col("_n.stop") - F.when(F.col("_n.line") > 0, F.get("_ends", F.col("_n.line") - 1)).otherwise(1)
+    return placed.select(*keys, "rule_id", (F.col("_n.line") + 1).alias("line_start"), column.cast("int").alias("column_start"), "matched_text")
 
 
 def hidden_base64_instructions(files: DataFrame, keys: Sequence[str] = KEYS, text: str = "text") -> DataFrame:
@@ -274,7 +277,3 @@ def rules_table(spark: SparkSession) -> DataFrame:
         "type string, pattern string, flags string, confidence double, cwe_id string, cvss_score double, "
         "tags array<string>, remediation string",
     )
-
-
-def ad_hoc_patterns(patterns: Sequence[str], flags: str = "") -> list[str]:
-    return [java_pattern(p, flags) for p in patterns]

@@ -59,10 +59,15 @@ def top_types(findings: DataFrame, n: int = 2) -> DataFrame:
     return counts.select("type", issue_label(F.col("type")).alias("label"), "n")
 
 
+def _repo(findings: DataFrame) -> list[str]:
+    """Equal paths of different repositories are different files."""
+    return ["repo"] if "repo" in findings.columns else []
+
+
 def top_files(findings: DataFrame, n: int = 2) -> DataFrame:
     """Files with most findings."""
-    counts = findings.groupBy(F.col(PATH).alias("path")).agg(F.count("*").alias("n"))
-    return counts.orderBy(F.desc("n"), "path").limit(n)
+    counts = findings.groupBy(*_repo(findings), F.col(PATH).alias("path")).agg(F.count("*").alias("n"))
+    return counts.orderBy(F.desc("n"), *_repo(findings), "path").limit(n)
 
 
 def findings_per_file(files: DataFrame, findings: DataFrame) -> DataFrame:
@@ -94,21 +99,22 @@ def ancestors(path: Column) -> Column:
 
 
 def directory_rollup(findings: DataFrame, path: str = PATH) -> DataFrame:
-    """Findings below every folder, with depth, parent and worst severity.
+    """Findings below every folder of a repository, with depth, parent and worst severity.
 
     Findings are counted per file first, so a folder tree is only unfolded once per file.
     """
-    per_file = findings.groupBy(F.col(path).alias("path")).agg(
+    repo = _repo(findings)
+    per_file = findings.groupBy(*repo, F.col(path).alias("path")).agg(
         F.count("*").alias("n"), F.max("severity_rank").alias("rank")
     )
-    folders = per_file.select(F.explode(ancestors(F.col("path"))).alias("dir_path"), "n", "rank")
-    total = folders.groupBy("dir_path").agg(F.sum("n").alias("issues"), F.max("rank").alias("_rank"))
+    folders = per_file.select(*repo, F.explode(ancestors(F.col("path"))).alias("dir_path"), "n", "rank")
+    total = folders.groupBy(*repo, "dir_path").agg(F.sum("n").alias("issues"), F.max("rank").alias("_rank"))
     depth = F.when(F.col("dir_path") == "", 0).otherwise(F.size(F.split("dir_path", "/")))
     parent = F.when(F.col("dir_path") == "", F.lit(None)).otherwise(
         F.when(F.contains("dir_path", F.lit("/")), F.regexp_replace("dir_path", r"/[^/]*$", "")).otherwise("")
     )
     return total.select(
-        "dir_path", depth.alias("depth"), parent.alias("parent"), "issues",
+        *repo, "dir_path", depth.alias("depth"), parent.alias("parent"), "issues",
         F.element_at(F.array(*[F.lit(s) for s in SEVERITIES]), F.col("_rank") + 1).alias("worst_severity"),
     )
 
@@ -121,22 +127,23 @@ def findings_by_file(findings: DataFrame, root: str = "") -> DataFrame:
     prefix = root.rstrip("/") + "/" if root else ""
     path = F.col(PATH)
     relative = F.when(path.startswith(prefix), F.substring(path, F.lit(len(prefix) + 1), F.length(path))).otherwise(path)
-    return findings.groupBy(relative.alias("path")).agg(
+    return findings.groupBy(*_repo(findings), relative.alias("path")).agg(
         F.count("*").alias("n"),
         *[F.count_if(F.col("severity") == s).alias(f"n_{s}") for s in SEVERITIES],
         F.max_by("severity", "severity_rank").alias("worst_severity"),
     )
 
 
-def file_issues(findings: DataFrame, path: str) -> DataFrame:
-    """The findings of one file."""
-    return findings.where(F.col(PATH) == path)
+def file_issues(findings: DataFrame, path: str, repo: str | None = None) -> DataFrame:
+    """The findings of one file, of one repository if it is named."""
+    found = findings.where(F.col(PATH) == path)
+    return found if repo is None else found.where(F.col("repo") == repo)
 
 
 def worst_severity(findings: DataFrame, by: Column | None = None, name: str = "path") -> DataFrame:
     """Most severe level per file, or per any other grouping column."""
-    key = F.col(PATH) if by is None else by
-    return findings.groupBy(key.alias(name)).agg(F.max_by("severity", "severity_rank").alias("worst_severity"))
+    keys = [*_repo(findings), F.col(PATH).alias(name)] if by is None else [by.alias(name)]
+    return findings.groupBy(*keys).agg(F.max_by("severity", "severity_rank").alias("worst_severity"))
 
 
 def _totals(findings: DataFrame) -> DataFrame:

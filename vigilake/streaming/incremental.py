@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from vigilake.operators.sets import cache_misses
+from vigilake.operators.sets import cache_misses, file_keys
 from vigilake.session import cut_lineage
 from vigilake.sources.stores import read_cache, write_cache
 
@@ -29,19 +29,22 @@ def incremental_scan(
 ) -> IncrementalResult:
     """Run each analyzer on the files whose content it has not seen, and give the cache entries for them.
 
-    A file without findings gets an entry too, so it is not scanned again. The counts of the entries need the findings a
+    Files, findings and entries are told apart by repository and path where files have a repository; analyzers carry it on
+    to their findings. A file without findings gets an entry too, so it is not scanned again. The counts of the entries need the findings a
     second time; with ``hold`` (such as ``cut_lineage``, which writes them) they are computed once.
     """
     scanned, found, entries = [], [], []
+    keys = file_keys(files)
     for name, run in analyzers.items():
         new = cache_misses(files, cache, name)
         findings = run(new) if hold is None else hold(run(new))
-        counts = findings.groupBy(F.col("location.path").alias("path")).agg(F.count("*").alias("n_findings"))
-        scanned.append(new.select("path", "content_hash", F.lit(name).alias("analyzer")))
+        counts = findings.groupBy(*[F.coalesce("repo", F.lit("")).alias("_repo") for k in keys if k == "repo"], F.col("location.path").alias("_path")).agg(F.count("*").alias("n_findings"))
+        met = [(F.coalesce(new[k], F.lit("")) if k == "repo" else new[k]) == F.col(f"_{k}") for k in keys]
+        scanned.append(new.select(*keys, "content_hash", F.lit(name).alias("analyzer")))
         found.append(findings)
         entries.append(
-            new.select("path", "content_hash", "mtime").join(counts, "path", "left").select(
-                "path", F.lit(name).alias("analyzer"), "content_hash", "mtime",
+            new.select(*keys, "content_hash", "mtime").join(counts, met, "left").select(
+                *keys, F.lit(name).alias("analyzer"), "content_hash", "mtime",
                 F.coalesce("n_findings", F.lit(0)).cast("bigint").alias("n_findings"), as_of.alias("scanned_at"),
             )
         )

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from vigilake.functions.scalars import finding_id
 from vigilake.operators.findings import as_findings, with_finding_defaults
 from vigilake.operators.matching import match_content, match_lines
+from vigilake.operators.sets import file_keys
 from vigilake.rules import code, prompts, threats
 from vigilake.rules.model import Pack, Rule
 from vigilake.schemas import FINDINGS
@@ -83,10 +84,11 @@ def register_rule_pack(rules: Sequence[Rule], name: str, analyzer: str = "custom
         by_line = [r for r in pack.matchable if r.scope == "line"]
         by_text = [r for r in pack.matchable if r.scope != "line"]
         parts = []
+        keys = file_keys(files)
         if by_line:
-            parts.append(match_lines(files, [(r, None) for r in by_line]))
+            parts.append(match_lines(files, [(r, None) for r in by_line], keys=keys))
         if by_text:
-            parts.append(match_content(files, [(r, None) for r in by_text]))
+            parts.append(match_content(files, [(r, None) for r in by_text], keys=keys))
         found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
         return as_findings(found, pack)
 
@@ -99,25 +101,25 @@ def analyzer_from_function(
 ) -> Analyzer:
     """An analyzer from a Python function (path, text) -> findings as dicts.
 
-    Texts go through Arrow batches. If the function fails on one text, the failure becomes a finding of that text and
+    The repository of a file, where files have one, goes on to its findings. Texts go through Arrow batches. If the function fails on one text, the failure becomes a finding of that text and
     the scan goes on.
     """
-    columns = ["path", "rule_id", "title", "description", "severity", "type", "line_start", "confidence", "tags"]
+    columns = ["repo", "path", "rule_id", "title", "description", "severity", "type", "line_start", "confidence", "tags"]
 
     def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = []
-            for where, value in zip(part["path"], part["text"]):
+            for repo, where, value in zip(part["repo"], part["path"], part["text"]):
                 try:
                     for f in analyze(where, value):
                         rows.append((
-                            where, f.get("rule_id", name), f.get("title", name), f.get("description", ""),
+                            repo, where, f.get("rule_id", name), f.get("title", name), f.get("description", ""),
                             f.get("severity", "low"), f.get("type", "other"), f.get("line_start"),
                             float(f.get("confidence", 1.0)), list(f.get("tags", [])),
                         ))
                 except Exception as error:  # noqa: BLE001 - one bad text must not end the scan
                     rows.append((
-                        where, "ANALYZER-ERROR", "Analyzer failed", f"{type(error).__name__}: {error}", "low", "other",
+                        repo, where, "ANALYZER-ERROR", "Analyzer failed", f"{type(error).__name__}: {error}", "low", "other",
                         None, 1.0, ["analyzer-error"],
                     ))
             out = pd.DataFrame(rows, columns=columns)
@@ -125,14 +127,15 @@ def analyzer_from_function(
             yield out
 
     def run(files: DataFrame) -> DataFrame:
-        found = files.select(F.col(path).alias("path"), F.col(text).alias("text")).mapInPandas(
+        repo = F.col("repo").cast("string") if "repo" in files.columns else F.lit(None).cast("string")
+        found = files.select(repo.alias("repo"), F.col(path).alias("path"), F.col(text).alias("text")).mapInPandas(
             batches,
-            "path string, rule_id string, title string, description string, severity string, type string, "
+            "repo string, path string, rule_id string, title string, description string, severity string, type string, "
             "line_start int, confidence double, tags array<string>",
         )
         return with_finding_defaults(found.select(
-            finding_id(F.lit(name), F.col("path"), F.col("line_start"), F.col("rule_id")).alias("id"),
-            "rule_id", "title", "description", "severity", "type", "confidence", "tags",
+            finding_id(F.lit(name), F.col("path"), F.col("line_start"), F.col("rule_id"), F.col("repo")).alias("id"),
+            "repo", "rule_id", "title", "description", "severity", "type", "confidence", "tags",
             F.struct(
                 F.col("path"), F.col("line_start"), F.col("line_start").alias("line_end"),
                 F.lit(None).cast("int").alias("column_start"), F.lit(None).cast("int").alias("column_end"),
