@@ -12,8 +12,10 @@ from catalog.bindings import (
 from catalog.scans import FILES, cache_entries
 from vigilake.operators import advisories as A, commits as Cm, filters as Fi, ordering as O, packages as Pk, rollups as R, sets as S
 from vigilake.operators.packs import rules_table
+from vigilake.plans.history import History, history_findings
 from vigilake.plans.scan import scan
 from vigilake.rules.config import KNOWN_VULNERABLE
+from vigilake.rules.secrets import LARGE_BINARY_BYTES
 from vigilake.session import read_table
 from vigilake.sources.files import content_hash
 from vigilake.sources.stores import cache_latest, expire_cache
@@ -444,6 +446,29 @@ def _(s, d):
     return S.diff_scans(old, new).select("id", "severity", "status")
 
 
+_AT = "TIMESTAMP '2001-01-01'"
+
+
+@query("history_findings", f"""WITH c AS ({ORDER_COMMITS}), f AS ({COMMIT_FILES}), b AS ({_BRANCHES}),
+  m(repo, rule_id, severity, matched_text) AS (
+  SELECT repo, 'COMMIT-BINARY', 'medium', sha || ': ' || path FROM f WHERE NOT deleted AND size * 200 > {LARGE_BINARY_BYTES} AND sha IN (SELECT sha FROM c WHERE n_parents > 0)
+  UNION ALL SELECT repo, 'COMMIT-NIGHT', 'low', CAST(sha AS VARCHAR) FROM c WHERE hour(committed_at) >= 22 OR hour(committed_at) < 6
+  UNION ALL SELECT repo, 'COMMIT-ONE-TIME', 'low', CAST(count(*) AS VARCHAR) FROM (SELECT repo, author FROM c GROUP BY repo, author HAVING count(*) = 1) GROUP BY repo
+  UNION ALL SELECT repo, 'BRANCH-NAME', 'low', count(*) FILTER (regexp_matches(lower(name), 'temp|hidden|hack|exploit|malware|bypass|backdoor')) || ' of ' || count(*) FROM b GROUP BY repo
+    HAVING count(*) FILTER (regexp_matches(lower(name), 'temp|hidden|hack|exploit|malware|bypass|backdoor')) > 0
+  UNION ALL SELECT repo, 'BRANCH-STALE', 'low', CAST(count(*) AS VARCHAR) FROM (SELECT p_brand AS repo, p_name || '-' || p_partkey AS name FROM part
+    WHERE epoch({_AT}) - epoch(TIMESTAMP '2000-01-01' + to_days(CAST(p_partkey % 366 AS INTEGER))) > 180 * 86400) GROUP BY repo)
+  SELECT 'MET-' || sha256('metadata:' || repo || ':' || repo || ':N/A:' || rule_id || '@' || matched_text) AS id, * FROM m""")
+def _(s, d):
+    last = F.to_timestamp(F.lit("2000-01-01 00:00:00")) + F.make_interval(days=(F.col("p_partkey") % 366).cast("int"))
+    branches = read_table(s, d, "part").select(
+        F.col("p_brand").alias("repo"), F.concat_ws("-", "p_name", F.col("p_partkey").cast("string")).alias("name"), last.alias("last_commit_at"))
+    # prices stand for sizes: made larger, so that some are over the limit
+    files = commit_files(s, d).withColumn("size", F.col("size") * 200)
+    found = history_findings(History(order_commits(s, d), files, branches), F.to_timestamp(F.lit("2001-01-01 00:00:00")), "very_high")
+    return found.select("id", "repo", "rule_id", "severity", F.col("metadata")["matched_text"].alias("matched_text"))
+
+
 @query("scan")
 def _(s, d):
     rows = scan(doc_files(s, d), created_at=F.to_timestamp(F.lit(AS_OF)))

@@ -25,9 +25,6 @@ def severity_rank(severity: Column) -> Column:
     return F.coalesce(F.greatest(position.cast("int") - 1, F.lit(0)), F.lit(0))
 
 
-def severity_name(rank: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(s) for s in SEVERITIES]), rank + 1)
-
 
 def cvss_to_severity(score: Column, text: Column) -> Column:
     """Severity from a score, or from the text where there is no score."""

@@ -179,24 +179,3 @@ def sbom_components(packages: DataFrame) -> DataFrame:
         F.lit("library").alias("type"), "name", "version", "ecosystem",
         purl(F.col("ecosystem"), F.col("name"), F.col("version")).alias("purl"), F.lit("required").alias("scope"),
     )
-
-
-def sbom_records(packages: DataFrame, subject: str, created_at: Column | None = None) -> DataFrame:
-    """A CycloneDX document as rows of JSON: one header record, then one record per component.
-
-    Components stay rows, so a bill of any size is written in parallel; a reader puts them under ``components``.
-    """
-    header = packages.sparkSession.range(1).select(
-        F.lit("header").alias("record"),
-        F.to_json(F.struct(
-            F.lit("CycloneDX").alias("bomFormat"), F.lit("1.4").alias("specVersion"), F.lit(1).alias("version"),
-            F.struct(
-                (F.current_timestamp() if created_at is None else created_at).alias("timestamp"),
-                F.struct(F.lit("application").alias("type"), F.lit(subject).alias("name"), F.lit("unknown").alias("version")).alias("component"),
-            ).alias("metadata"),
-        )).alias("json"),
-    )
-    parts = sbom_components(packages).select(
-        F.lit("component").alias("record"), F.to_json(F.struct("type", "name", "version", "purl", "scope")).alias("json")
-    )
-    return header.unionByName(parts)

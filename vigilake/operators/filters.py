@@ -168,7 +168,3 @@ def dispatch_by_extension(files: DataFrame, extensions: dict[str, Sequence[str]]
 def join_files_analyzers(files: DataFrame, extensions: dict[str, Sequence[str]], ext: str = "ext") -> DataFrame:
     """One row per file and accepting analyzer. The analyzer table is code, so it is unfolded in place, not joined."""
     return files.withColumn("analyzer", F.explode(_analyzers_of(F.col(ext), extensions)))
-
-
-def severity_at_least(column: Column, minimum: str) -> Column:
-    return severity_rank(column) >= severity_rank(F.lit(minimum))

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from vigilake.functions.arrays import running_totals
-from vigilake.functions.patterns import java_pattern
 from vigilake.functions.text import match_spans, split_lines
 from vigilake.operators.matching import explode_lines, match_content, match_lines, pack_entries
 from vigilake.rules import PACKS, characters, code, config, prompts, secrets, threats
