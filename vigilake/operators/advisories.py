@@ -68,20 +68,134 @@ def load_advisories(raw: DataFrame, column: str = "value") -> DataFrame:
 
 
 def _at_least(version: Column, bound: Column, key: Column, bound_key: Column) -> Column:
-    """version >= bound, by precomputed keys where both are numeric, else as text."""
+    """version >= bound, by precomputed sort texts where both are numeric, else as text."""
     return F.when(key.isNotNull() & bound_key.isNotNull(), key >= bound_key).otherwise(version >= bound)
 
 
-def in_interval(v: Column, low: Column, high: Column, kv: Column, klow: Column, khigh: Column) -> Column:
-    """low <= version < high, with an open end where a bound is missing or zero; without any bound nothing holds."""
-    above = low.isNull() | (low == "0") | _at_least(v, low, kv, klow)
-    return (low.isNotNull() | high.isNotNull()) & above & (high.isNull() | ~_at_least(v, high, kv, khigh))
+#: The order of the characters that sort texts consist of. Every sort text ends with the first, so none is the start of another.
+_ALPHABET = "!0123456789ABCDEF"
+#: Sort texts are indexed up to this length. What agrees so far is left to the exact test.
+_DEPTH = 64
 
 
-def in_any_bound(v: Column, low: Column, high: Column, kv: Column, klow: Column, khigh: Column) -> Column:
-    """True if either bound holds on its own."""
-    above = low.isNotNull() & _at_least(v, low, kv, klow)
-    return above | (high.isNotNull() & ~_at_least(v, high, kv, khigh))
+def sort_text(version: Column) -> Column:
+    """A text that sorts as the numeric version does: each part as its number of digits and its digits. Null for other versions."""
+    parts = F.transform(ordering_key(version), lambda x: F.concat(
+        F.when(x["n"] < 9, x["n"].cast("string")).otherwise(F.concat(F.lit("9"), F.lpad(x["n"].cast("string"), 10, "0"))),
+        x["digits"],
+    ))
+    return F.concat(F.array_join(parts, ""), F.lit("!"))
+
+
+def _byte_text(version: Column) -> Column:
+    """A text of the same alphabet that sorts as the bytes of the version do."""
+    return F.concat(F.hex(version.cast("binary")), F.lit("!"))
+
+
+def _starts(text: Column, space: str) -> Column:
+    """All prefixes of a sort text, the empty one included, each behind the name of its order."""
+    cut = F.concat(F.lit(space), F.substring(text, 1, _DEPTH))
+    return F.transform(F.sequence(F.lit(1), F.length(cut)), lambda n: F.substr(cut, F.lit(1), n))
+
+
+def _fork(low: Column, high: Column) -> Column:
+    """How many characters two bounds have in common; -1 if one is missing."""
+    same = F.filter(F.sequence(F.lit(1), F.least(F.length(low), F.lit(_DEPTH))), lambda n: F.substr(low, F.lit(1), n) == F.substr(high, F.lit(1), n))
+    return F.when(low.isNull() | high.isNull(), -1).otherwise(F.size(same))
+
+
+def _cover(low: Column, high: Column, fork: Column, space: str) -> Column:
+    """The prefixes that tile low <= text <= high; a missing bound leaves that end open.
+
+    Every text in between starts with exactly one of them. A tile is a prefix of a bound followed by a character on the
+    inner side, so their number follows from the length of the bounds and not from what lies between them.
+    """
+    low, high = F.substring(low, 1, _DEPTH), F.substring(high, 1, _DEPTH)
+
+    def at(text, i):
+        return F.position(F.substr(text, i + 1, F.lit(1)), F.lit(_ALPHABET))
+
+    def tiles(text, i, first, last):
+        # the text up to a place, followed by the characters of a stretch of the alphabet
+        letters = F.split(F.substr(F.lit(_ALPHABET), first, F.greatest(last - first + 1, F.lit(0))), "")
+        return F.transform(F.filter(letters, lambda c: c != ""), lambda c: F.concat(F.substr(text, F.lit(1), i), c))
+
+    def beside(text, stretch):
+        # the tiles that leave the bound at one of its places behind the fork
+        places = F.filter(F.sequence(F.lit(0), F.length(text) - 1), lambda i: i > fork)
+        return F.flatten(F.transform(places, lambda i: tiles(text, i, *stretch(at(text, i)))))
+
+    above = beside(low, lambda x: (x + 1, F.lit(len(_ALPHABET))))
+    below = beside(high, lambda x: (F.lit(1), x - 1))
+    between = tiles(low, fork, at(low, fork) + 1, at(high, fork) - 1)
+    out = (
+        F.when((fork >= 0) & (low > high), F.array().cast("array<string>")).when((fork >= 0) & (low == high), F.array(low))
+        .when(fork >= 0, F.concat(F.array(low, high), above, between, below))
+        .when(low.isNotNull(), F.concat(F.array(low), above)).when(high.isNotNull(), F.concat(F.array(high), below))
+        .otherwise(F.array(F.lit("")))
+    )
+    return F.transform(out, lambda x: F.concat(F.lit(space), x))
+
+
+def _intervals(advisories: DataFrame, mode: str) -> DataFrame:
+    """One row per interval: ``_low`` <= version < ``_high``, up to ``_last``; null is an open end."""
+    rows = advisories.select(
+        F.col("id").alias("advisory_id"), F.col("ecosystem").alias("_eco"), "name", F.explode("affected").alias("_b"),
+    )
+    has_last = "last_affected" in rows.select("_b.*").columns
+    last = (F.col("_b.last_affected") if has_last else F.lit(None)).cast("string").alias("_last")
+    low, high = F.col("_b.introduced"), F.col("_b.fixed")
+    keys = ["advisory_id", "_eco", "name"]
+    if mode == "interval":
+        # zero is below every version; without any bound nothing is affected
+        return rows.where(low.isNotNull() | high.isNotNull()).select(*keys, F.when(low != "0", low).alias("_low"), high.alias("_high"), last)
+    none = F.lit(None).cast("string")
+    return rows.where(low.isNotNull()).select(*keys, low.alias("_low"), none.alias("_high"), last).unionByName(
+        rows.where(high.isNotNull()).select(*keys, none.alias("_low"), high.alias("_high"), last)
+    )
+
+
+def _affected(versions: DataFrame, intervals: DataFrame) -> DataFrame:
+    """Pairs of a version and an advisory with an interval that holds it.
+
+    Versions and intervals meet in the prefixes of their sort texts: an interval is tiled by few prefixes, a version has
+    few, and a pair has one in common just if the version lies inside. So the work is the sum of both sides and the
+    hits, and a package with very many versions is dealt by prefix. There are three orders, and a pair meets in one:
+    ``n`` of numeric versions with bounds of which one is numeric, ``t`` of other versions with such bounds, as texts,
+    and ``x`` of all versions with bounds that are all no numbers, as texts. The exact comparison decides in the end.
+    """
+    bytes_of = _byte_text(F.col("version"))
+    version_sort = F.col("_sort")
+    left = versions.withColumn("_sort", sort_text(F.col("version"))).select(
+        "ecosystem", "version", "_sort", "_eco", "name", F.explode(F.concat(
+            F.when(version_sort.isNotNull(), _starts(version_sort, "n")).otherwise(_starts(bytes_of, "t")), _starts(bytes_of, "x")
+        )).alias("_at"),
+    )
+    sorts = {f"{c}_sort": sort_text(F.col(c)) for c in ("_low", "_high", "_last")}
+    ends = {
+        "_upper": F.coalesce("_high_sort", "_last_sort"), "_low_bytes": _byte_text(F.col("_low")),
+        "_upper_bytes": _byte_text(F.coalesce("_high", "_last")),
+    }
+    forks = {"_fork": _fork(F.col("_low_sort"), F.col("_upper")), "_fork_bytes": _fork(F.col("_low_bytes"), F.col("_upper_bytes"))}
+    texts = F.coalesce("_low", "_high", "_last")
+    numeric = F.coalesce("_low_sort", "_upper").isNotNull() | texts.isNull()
+
+    def by_text(space):
+        return _cover(F.col("_low_bytes"), F.col("_upper_bytes"), F.col("_fork_bytes"), space)
+
+    by_number = _cover(F.col("_low_sort"), F.col("_upper"), F.col("_fork"), "n")
+    right = intervals.withColumns(sorts).withColumns(ends).withColumns(forks).select(
+        "advisory_id", "_eco", "name", "_low", "_high", "_last", *sorts,
+        F.explode(F.when(numeric, F.concat(by_number, by_text("t"))).otherwise(by_text("x"))).alias("_at"),
+    )
+
+    def reaches(bound):
+        return _at_least(F.col("version"), F.col(bound), F.col("_sort"), F.col(f"{bound}_sort"))
+
+    # the last affected version belongs to the interval
+    holds = (F.col("_low").isNull() | reaches("_low")) & (F.col("_high").isNull() | ~reaches("_high"))
+    holds = holds & (F.col("_last").isNull() | (F.col("version") == F.col("_last")) | ~reaches("_last"))
+    return left.join(right, ["_eco", "name", "_at"]).where(holds).select("ecosystem", "_eco", "name", "version", "advisory_id")
 
 
 def join_advisories(packages: DataFrame, advisories: DataFrame, mode: str = "interval", salts: int = 16) -> DataFrame:
@@ -89,28 +203,28 @@ def join_advisories(packages: DataFrame, advisories: DataFrame, mode: str = "int
 
     Versions are matched once per distinct (ecosystem, name, version), so a package that is declared a billion times
     is compared once per version. The hits then go back to the declarations in a salted join. ``mode='any'`` takes the
-    two bounds of an interval as alternatives.
+    two bounds of an interval as alternatives. Versions that an advisory lists by name are affected whatever its ranges
+    say. An advisory that comes in several rows for one package counts once, with the smallest of its descriptions.
     """
-    test = {"interval": in_interval, "any": in_any_bound}[mode]
-    versions = packages.select("ecosystem", "name", "version").distinct().withColumns({
-        "_eco": ecosystem_osv(F.col("ecosystem")), "_key": ordering_key(F.col("version")),
-    })
-    bounds = advisories.select(
-        F.col("id").alias("advisory_id"), F.col("ecosystem").alias("_eco"), "name", "summary", "severity", "cvss_score",
-        "fixed_version", "references", "published", "modified", F.explode_outer("affected").alias("_b"),
-        (F.col("versions") if "versions" in advisories.columns else F.lit(None).cast("array<string>")).alias("_listed"),
-    ).withColumns({"_low": ordering_key(F.col("_b.introduced")), "_high": ordering_key(F.col("_b.fixed"))})
-    holds = test(F.col("version"), F.col("_b.introduced"), F.col("_b.fixed"), F.col("_key"), F.col("_low"), F.col("_high"))
-    if "last_affected" in bounds.select("_b.*").columns:
-        # the last affected version belongs to the interval
-        last = F.col("_b.last_affected")
-        holds = holds & (last.isNull() | (F.col("version") == last) | ~_at_least(F.col("version"), last, F.col("_key"), ordering_key(last)))
-    # versions that an advisory lists by name are affected whatever its ranges say
-    hits = versions.join(bounds, ["_eco", "name"]).where(
-        F.coalesce(holds, F.lit(False)) | F.coalesce(F.array_contains("_listed", F.col("version")), F.lit(False))
+    if mode not in ("interval", "any"):
+        raise ValueError("mode is 'interval' or 'any'")
+    versions = packages.select("ecosystem", "name", "version").where(F.col("version").isNotNull()).distinct().withColumn(
+        "_eco", ecosystem_osv(F.col("ecosystem"))
     )
+    pairs = _affected(versions, _intervals(advisories, mode))
+    if "versions" in advisories.columns:
+        listed = advisories.select(
+            F.col("id").alias("advisory_id"), F.col("ecosystem").alias("_eco"), "name", F.explode("versions").alias("version")
+        )
+        pairs = pairs.unionByName(versions.join(listed, ["_eco", "name", "version"]).select(*pairs.columns))
+    described = ["summary", "severity", "cvss_score", "fixed_version", "references", "published", "modified"]
+    about = advisories.groupBy(F.col("ecosystem").alias("_eco"), "name", F.col("id").alias("advisory_id")).agg(
+        F.min(F.struct(*described)).alias("_about")
+    ).withColumnRenamed("advisory_id", "_id")
     # several intervals of one advisory may hold for a version
-    found = hits.drop("_eco", "_b", "_key", "_low", "_high", "_listed").dropDuplicates(["ecosystem", "name", "version", "advisory_id"])
+    hits = pairs.distinct().alias("h")
+    met = [F.col(f"h.{c}") == F.col(f"a.{c}") for c in ("_eco", "name")] + [F.col("h.advisory_id").eqNullSafe(F.col("a._id"))]
+    found = hits.join(about.alias("a"), met).select("h.ecosystem", "h.name", "h.version", "h.advisory_id", "_about.*")
     return salted_join(packages, found, ["ecosystem", "name", "version"], ["file_path", "line_number"], salts=salts)
 
 
