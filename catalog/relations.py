@@ -128,6 +128,14 @@ def _(s, d):
     return S.cache_misses(_current(s, d), _perturbed(s, d), "secrets").select("path")
 
 
+@query("cache_misses_by_time", f"{FILES} SELECT path FROM files WHERE lang <> 'en'")
+def _(s, d):
+    # English documents have the time of their entry, so their content is not looked at
+    entries = cache_entries(s, d).withColumns({"content_hash": F.lit("old"), "mtime": F.to_timestamp(F.lit("2024-05-05"))})
+    files = doc_files(s, d).withColumn("mtime", F.to_timestamp(F.when(F.col("path").contains("/en/"), "2024-05-05").otherwise("2024-06-06")))
+    return S.cache_misses(files, entries, "secrets", lambda f: content_hash(f, "sha256", "text")).select("path")
+
+
 @query("cache_stats", f"{FILES} SELECT count(*) FILTER (lang = 'en') AS hits, count(*) FILTER (lang <> 'en') AS misses, round(count(*) FILTER (lang = 'en') * 100.0 / count(*), 6) AS hit_rate FROM files")
 def _(s, d):
     stats = R.cache_stats(S.join_cache(_current(s, d), _perturbed(s, d), "secrets"))

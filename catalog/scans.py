@@ -219,6 +219,24 @@ def _cache_roundtrip(s, d):
 query("write_cache", _CACHE_SQL)(_cache_roundtrip)
 query("read_cache", _CACHE_SQL)(_cache_roundtrip)
 
+
+def _cache_log(s, d, upto):
+    """English documents are scanned a second time; then the first ``upto`` generations are merged."""
+    root = scratch_folder(s, "cache-log")
+    stores.append_cache(cache_entries(s, d), root, 0)
+    newer = cache_entries(s, d, when="2024-02-01 00:00:00").where(F.col("path").contains("/en/"))
+    stores.append_cache(newer, root, 1)
+    if upto:
+        stores.compact_cache(s, root, upto - 1)
+    return stores.read_cache_log(s, root).select(
+        "path", "analyzer", "content_hash", "n_findings", F.date_format("scanned_at", "yyyy-MM-dd HH:mm:ss").alias("scanned_at")
+    )
+
+
+_LOG_SQL = _CACHE_SQL.replace("'2024-02-01 00:00:00'", "CASE WHEN lang = 'en' THEN '2024-02-01 00:00:00' ELSE '2024-01-01 00:00:00' END")
+query("append_cache", _LOG_SQL)(lambda s, d: _cache_log(s, d, 0))
+query("compact_cache", _LOG_SQL)(lambda s, d: _cache_log(s, d, 2))
+
 # --- extraction ------------------------------------------------------------------------------------------------------
 
 _V = "p_size || '.' || (p_partkey % 7) || '.0'"

@@ -13,7 +13,7 @@ SOME = (
     "decode_text", "explode_lines", "packages_requirements", "packages_cargo", "flatten_documents", "filter_globs", "filter_findings", "pack_python",
     "pack_shell", "pack_crypto_wallet", "pack_dockerfile", "pack_jailbreak", "invisible_characters", "entropy", "k8s_checks", "join_advisories",
     "snippet_window", "directory_rollup", "number_findings", "large_commits", "dedupe_findings", "version_matches", "incremental_scan",
-    "stream_new_files", "stream_finding_counts", "error_findings",
+    "stream_new_files", "stream_finding_counts", "error_findings", "append_cache", "compact_cache", "cache_misses_by_time",
 )
 NAMES = sorted(entry.oracle_sql()) if os.environ.get("CATALOG") == "all" else SOME
 

@@ -8,7 +8,7 @@ from vigilake.operators.findings import as_findings
 from vigilake.operators.matching import match_content
 from vigilake.operators.sets import join_cache
 from vigilake.rules import PACKS
-from vigilake.sources.stores import cache_latest, expire_cache, read_cache, write_cache
+from vigilake.sources.stores import append_cache, cache_latest, compact_cache, expire_cache, read_cache, read_cache_log, write_cache
 from vigilake.streaming.incremental import incremental_scan, start_incremental_stream, stream_finding_counts
 
 FILE = "path string, text string, content_hash string, mtime timestamp"
@@ -66,7 +66,55 @@ def test_stream_against_growing_cache(spark, tmp_path):
     start_incremental_stream(spark, arriving, {"secrets": find_secrets}, **options).awaitTermination()
     found = spark.read.parquet(str(tmp_path / "f"))
     assert sorted((r.batch, r.location.path) for r in found.collect()) == [(0, "a"), (0, "b"), (1, "d")]
-    assert sorted(r.path for r in read_cache(spark, str(tmp_path / "c" / "1")).collect()) == ["a", "b", "d"]
+    assert sorted(r.path for r in read_cache_log(spark, str(tmp_path / "c")).collect()) == ["a", "b", "d"]
+    # a micro-batch writes its own entries only
+    assert sorted(r.path for r in spark.read.parquet(str(tmp_path / "c" / "kind=log" / "generation=1")).collect()) == ["d"]
+
+
+def test_cache_as_a_log(spark, tmp_path):
+    root, later = str(tmp_path / "c"), NOW + dt.timedelta(days=1)
+    assert read_cache_log(spark, root).count() == 0
+
+    def state(**options):
+        return sorted((r.repo or "", r.path, r.analyzer, r.content_hash) for r in read_cache_log(spark, root, **options).collect())
+
+    append_cache(entries(spark, ("a", "x", "h0", NOW), ("b", "x", "h0", NOW)).withColumn("repo", F.lit("r1")), root, 0)
+    append_cache(entries(spark, ("a", "x", "lost", later)).withColumn("repo", F.lit("r1")), root, 1)
+    append_cache(entries(spark, ("a", "x", "h1", later)).withColumn("repo", F.lit("r1")), root, 1)  # run again
+    append_cache(entries(spark, ("a", "x", "h2", later), ("a", "y", "h2", later)), root, 2)  # no repository
+    first = [("r1", "a", "x", "h1"), ("r1", "b", "x", "h0")]
+    whole = [("", "a", "x", "h2"), ("", "a", "y", "h2"), *first]
+    assert state(before=0) == [] and state(before=2) == first and state() == whole
+    one = spark.createDataFrame([("r1", "b"), ("r2", "a")], "repo string, path string")
+    assert state(only=one) == [("r1", "b", "x", "h0")]
+    # a merge that was not finished is not read
+    entries(spark, ("half", "x", "h", NOW)).write.parquet(f"{root}/kind=whole/generation=1")
+    assert state() == whole
+    compact_cache(spark, root, 1)
+    compact_cache(spark, root, 1)
+    assert state() == whole and state(before=2) == first and state(before=1) == [("r1", "a", "x", "h0"), ("r1", "b", "x", "h0")]
+    read = {r._metadata.file_path.split("/c/")[1].rsplit("/", 1)[0] for r in spark.read.parquet(root).where("kind = 'whole'").select("_metadata").collect()}
+    assert read == {"kind=whole/generation=1"}
+    compact_cache(spark, root, 2, keep=lambda rows: rows.where("path = 'a'"))
+    assert state() == [r for r in whole if r[1] == "a"]
+
+
+def test_equal_times_go_by_generation(spark, tmp_path):
+    for number, seen in enumerate(["h9", "h1"]):
+        append_cache(entries(spark, ("a", "x", seen, NOW)), str(tmp_path / "c"), number)
+    assert [r.content_hash for r in read_cache_log(spark, str(tmp_path / "c")).collect()] == ["h1"]
+
+
+def test_files_of_the_known_time_are_not_hashed(spark):
+    hashed = F.udf(lambda path, text: 1 / 0 if path == "same" else f"hash-{path}-{text}")
+    cache = entries(spark, *((p, "secrets", f"hash-{p}-pwd='abcdefgh1'", NOW) for p in ("same", "touched", "edited")))
+    files = rows(spark, "same", "touched", "edited", "new").drop("content_hash").withColumns({
+        "mtime": F.when(F.col("path") == "same", F.lit(NOW)).when(F.col("path") != "new", F.lit(NOW + dt.timedelta(days=1))),
+        "text": F.when(F.col("path") == "edited", F.lit("changed")).otherwise(F.col("text")),
+    })
+    result = incremental_scan(files, cache, {"secrets": find_secrets}, F.lit(NOW), hash_of=lambda f: f.withColumn("content_hash", hashed("path", "text")))
+    assert sorted(r.path for r in result.scanned.collect()) == ["edited", "new"]
+    assert sorted((r.path, r.content_hash, r.n_findings) for r in result.entries.collect()) == [("edited", "hash-edited-changed", 0), ("new", "hash-new-pwd='abcdefgh1'", 1)]
 
 
 def test_counts_per_window(spark):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -96,9 +96,18 @@ def join_cache(files: DataFrame, cache: DataFrame, analyzer: str) -> DataFrame:
     )
 
 
-def cache_misses(files: DataFrame, cache: DataFrame, analyzer: str) -> DataFrame:
-    """Files whose content the analyzer has not seen."""
-    keys = [*file_keys(files, cache), "content_hash"]
-    known = keyed(cache, keys).where(F.col("analyzer") == analyzer).select(*[F.col(k).alias(f"_{k}") for k in keys])
-    own = {k: F.coalesce(files[k], F.lit("")) if k == "repo" else files[k] for k in keys}
-    return files.join(known, [own[k] == F.col(f"_{k}") for k in keys], "left_anti")
+def cache_misses(files: DataFrame, cache: DataFrame, analyzer: str, hash_of: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Files whose content the analyzer has not seen.
+
+    With ``hash_of``, which adds ``content_hash``, a file that has the time of its entry is taken as unchanged, and only
+    the others are hashed.
+    """
+    keys = file_keys(files, cache)
+    known = keyed(cache, keys).where(F.col("analyzer") == analyzer)
+
+    def unknown(rows, by):
+        seen = known.select(*[F.col(k).alias(f"_{k}") for k in (*keys, by)])
+        own = {k: F.coalesce(rows[k], F.lit("")) if k == "repo" else rows[k] for k in (*keys, by)}
+        return rows.join(seen, [own[k] == F.col(f"_{k}") for k in (*keys, by)], "left_anti")
+
+    return unknown(files if hash_of is None else hash_of(unknown(files, "mtime")), "content_hash")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from vigilake.functions.scalars import location_string
 from vigilake.operators.findings import with_finding_defaults
@@ -63,10 +66,73 @@ def read_cache(spark: SparkSession, path: str | None) -> DataFrame:
     rows = spark.read.parquet(path)
     if "version" not in rows.columns:
         return empty
-    columns = [
+    return _cache_rows(rows.where(F.col("version") == CACHE_VERSION))
+
+
+def append_cache(entries: DataFrame, root: str, generation: int) -> None:
+    """Add the entries of one scan to a cache that is kept as a log; what is there already is neither read nor written.
+
+    A generation that is written again, as by a repeated micro-batch, replaces itself. Read with :func:`read_cache_log`.
+    """
+    rows = _cache_rows(entries).withColumn("version", F.lit(CACHE_VERSION))
+    rows.write.mode("overwrite").parquet(f"{root}/kind=log/generation={generation}")
+
+
+def read_cache_log(spark: SparkSession, root: str, before: int | None = None, only: DataFrame | None = None) -> DataFrame:
+    """The newest entry per file and analyzer of all generations, or of those ``before`` a number; none if there is no log.
+
+    Starts from the last finished compaction. With ``only``, entries of other files are left out before anything is
+    shuffled, so a few files against a large cache cost a scan of it.
+    """
+    rows = _log_rows(spark, root)
+    if rows is None:
+        return spark.createDataFrame([], CACHE)
+    if before is not None:
+        rows = rows.where(F.col("generation") < before)
+    # a mark per finished compaction: a handful of rows
+    base = rows.where(F.col("kind") == "done").agg(F.max("generation")).first()[0]
+    logs = F.col("kind") == "log"
+    if base is not None:
+        logs = (logs & (F.col("generation") > base)) | ((F.col("kind") == "whole") & (F.col("generation") == base))
+    rows = rows.where(logs & (F.col("version") == CACHE_VERSION))
+    if only is not None:
+        keys = file_keys(only)
+        there = keyed(only, keys).select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+        own = {k: F.coalesce(rows[k], F.lit("")) if k == "repo" else rows[k] for k in keys}
+        rows = rows.join(there, [own[k] == F.col(f"_{k}") for k in keys], "left_semi")
+    return latest(rows, ["repo", "path", "analyzer"], ["scanned_at", "generation"]).select(*CACHE.fieldNames())
+
+
+def compact_cache(spark: SparkSession, root: str, upto: int, keep: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    """Merge the generations up to a number into one, as a job of its own beside the scans; ``keep`` may drop entries, such
+    as :func:`expire_cache`. Readers go by the merged one once its mark is written, so a job that fails or is run again does
+    no harm. The merged generations stay until they are deleted by hand, as running scans may read them."""
+    rows = _log_rows(spark, root)
+    if rows is None or not rows.where((F.col("kind") == "done") & (F.col("generation") == upto)).isEmpty():
+        return
+    entries = read_cache_log(spark, root, before=upto + 1)
+    merged = (entries if keep is None else keep(entries)).withColumn("version", F.lit(CACHE_VERSION))
+    merged.write.mode("overwrite").parquet(f"{root}/kind=whole/generation={upto}")
+    mark = spark.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in CACHE.fields], F.lit(CACHE_VERSION).alias("version"))
+    mark.coalesce(1).write.mode("overwrite").parquet(f"{root}/kind=done/generation={upto}")
+
+
+def _cache_rows(rows: DataFrame) -> DataFrame:
+    return rows.select(*[
         (F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in CACHE.fields
-    ]
-    return rows.where(F.col("version") == CACHE_VERSION).select(*columns)
+    ])
+
+
+def _log_rows(spark: SparkSession, root: str) -> DataFrame | None:
+    schema = T.StructType([*CACHE.fields, *(T.StructField(n, t) for n, t in (
+        ("version", T.StringType()), ("kind", T.StringType()), ("generation", T.LongType())
+    ))])
+    try:
+        return spark.read.schema(schema).parquet(root)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
 def expire_cache(entries: DataFrame, current: DataFrame, as_of: Column, max_age_days: int = 30) -> DataFrame:

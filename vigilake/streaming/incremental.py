@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from vigilake.operators.sets import cache_misses, file_keys
 from vigilake.session import cut_lineage
-from vigilake.sources.stores import read_cache, write_cache
+from vigilake.sources.stores import append_cache, compact_cache, read_cache_log
 
 Scan = Callable[[DataFrame], DataFrame]
 
@@ -25,18 +25,20 @@ class IncrementalResult:
 
 
 def incremental_scan(
-    files: DataFrame, cache: DataFrame, analyzers: dict[str, Scan], as_of: Column, hold: Callable[[DataFrame], DataFrame] | None = None
+    files: DataFrame, cache: DataFrame, analyzers: dict[str, Scan], as_of: Column, hold: Callable[[DataFrame], DataFrame] | None = None,
+    hash_of: Callable[[DataFrame], DataFrame] | None = None,
 ) -> IncrementalResult:
     """Run each analyzer on the files whose content it has not seen, and give the cache entries for them.
 
     Files, findings and entries are told apart by repository and path where files have a repository; analyzers carry it on
     to their findings. A file without findings gets an entry too, so it is not scanned again. The counts of the entries need the findings a
     second time; with ``hold`` (such as ``cut_lineage``, which writes them) they are computed once.
+    With ``hash_of`` the files need no hash yet: those with the time of their entry are unchanged, the others are hashed.
     """
     scanned, found, entries = [], [], []
     keys = file_keys(files)
     for name, run in analyzers.items():
-        new = cache_misses(files, cache, name)
+        new = cache_misses(files, cache, name, hash_of)
         findings = run(new) if hold is None else hold(run(new))
         counts = findings.groupBy(*[F.coalesce("repo", F.lit("")).alias("_repo") for k in keys if k == "repo"], F.col("location.path").alias("_path")).agg(F.count("*").alias("n_findings"))
         met = [(F.coalesce(new[k], F.lit("")) if k == "repo" else new[k]) == F.col(f"_{k}") for k in keys]
@@ -99,20 +101,23 @@ def read_finding_counts(spark: SparkSession, path: str) -> DataFrame:
 
 def start_incremental_stream(
     spark: SparkSession, arriving: DataFrame, analyzers: dict[str, Scan], *, findings_path: str, cache_root: str,
-    checkpoint: str, available_now: bool = True,
+    checkpoint: str, available_now: bool = True, compact_every: int | None = None,
 ) -> StreamingQuery:
     """Scan arriving files against a cache that grows with each micro-batch.
 
-    Every micro-batch writes to folders named by its number. A batch that is run again after a failure replaces its
-    own output and reads the cache of the batch before, so results are exactly once.
+    The cache is a log to which every micro-batch adds its own entries only, under its number; of the older ones it
+    shuffles those of its files. A batch that is run again after a failure replaces its own output and reads the cache as
+    of the batch before, so results are exactly once. With ``compact_every`` the log is merged after so many batches.
     """
 
     def one_batch(batch: DataFrame, number: int) -> None:
-        previous = read_cache(spark, f"{cache_root}/{number - 1}" if number > 0 else None)
         batch.persist()
+        previous = read_cache_log(spark, cache_root, before=number, only=batch)
         result = incremental_scan(batch, previous, analyzers, F.current_timestamp(), hold=cut_lineage)
         result.findings.write.mode("overwrite").parquet(f"{findings_path}/batch={number}")
-        write_cache(result.entries, f"{cache_root}/{number}", previous, mode="overwrite")
+        append_cache(result.entries, cache_root, number)
+        if compact_every and number % compact_every == compact_every - 1:
+            compact_cache(spark, cache_root, number)
         batch.unpersist()
 
     writer = arriving.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint)
