@@ -6,14 +6,15 @@ Rules are written in the common part of the Python and Java dialects. What diffe
 
 from __future__ import annotations
 
+import json
 import re
-from functools import lru_cache, reduce
-from operator import and_, or_
+from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import Column, functions as F
 
-from vigilake.functions.arrays import constant_array, empty_array, let, let_sql
-from vigilake.functions.text import split_lines
+from vigilake.functions.arrays import let_sql, sql_literal
+from vigilake.functions.text import split_lines_sql
 from vigilake.rules.model import Rule
 
 try:
@@ -173,65 +174,51 @@ def rarest_literals(need: Need) -> list[str]:
     return min(parts, key=lambda part: (len(part), -min(map(len, part))))
 
 
-def folded(text: Column) -> Column:
-    """The text as literals are looked for in it: lower case, and the letters that fold to i and s as these."""
-    return F.lower(F.translate(text, "".join(_FOLDED_LETTERS), "iis"))
-
-
 def places_to_try(
-    text: str, lines: str, rules: list[Rule], by_line: list[bool], unicode: bool, mode: str, admitted: str | None = None
+    text: str, rules: list[Rule], by_line: list[bool], unicode: bool, mode: str, admitted: str | None = None
 ) -> Column:
     """Where rules have to be tried: an array of (line, rule), line 0 for the whole text.
 
-    ``text``, ``lines`` and ``admitted`` (numbers of the rules for this file) are column names. First the whole folded
+    Texts are folded as literals are looked for in them: lower case, and the letters that fold to i and s as these.
+
+    ``text`` and ``admitted`` (numbers of the rules for this file) are column names. First the whole folded
     text must hold the literals of a rule; of rules for lines, only lines go on that hold one of its rarest literals.
     Both steps are the same for any number of rules and stay in the JVM. Rules without literals are tried on the whole
     text first, with ``^`` and ``$`` at line ends: a match inside a line is a match there too.
     """
     needs = [_lower(need) if need else None for need in (needed_literals(rule.pattern, rule.flags) for rule in rules)]
 
-    def holds(need: Need, column: Column) -> Column:
+    def holds(need: Need) -> str:
         if isinstance(need, str):
-            return column.contains(need)
-        return reduce(and_ if need[0] == "and" else or_, [holds(part, column) for part in need[1]])
-
-    def numbers(v: Column) -> Column:
-        out = []
-        for number, (rule, need) in enumerate(zip(rules, needs), 1):
-            tests = [] if admitted is None else [F.array_contains(admitted, F.lit(number))]
-            if need is not None:
-                tests.append(holds(need, v))
-            elif by_line[number - 1]:
-                tests.append(F.rlike(text, F.lit("(?m)" + rule_pattern(rule, unicode))))
-            out.append(F.when(reduce(and_, tests), F.lit(number)) if tests else F.lit(number))
-        return F.array_compact(F.array(*out)) if out else F.array().cast("array<int>")
-
-    line_rules = constant_array([n for n, flag in enumerate(by_line, 1) if flag], "int")
-    marks = constant_array([rarest_literals(need) for need in needs], "array<string>")
-
-    def places(w: Column) -> Column:
-        """Of the rules found in a text, ``w.found``, with its folded lines."""
-
-        def of_rule(n: Column) -> Column:
-            own = lambda i: F.exists(F.element_at(marks, n), lambda x: F.get(w["lines"], i - 1).contains(x))
-            numbered = F.when(F.size(w["lines"]) > 0, F.sequence(F.lit(1), F.size(w["lines"])))
-            hit = F.transform(F.filter(numbered, own), lambda i: F.struct(i.cast("int").alias("line"), n.cast("int").alias("rule")))
-            whole = F.array(F.struct(F.lit(0).alias("line"), n.cast("int").alias("rule")))
-            return F.when(F.array_contains(line_rules, n), F.coalesce(hit, empty_array("struct<line:int,rule:int>"))).otherwise(whole)
-
-        return F.flatten(F.transform(w["found"], of_rule))
-
-    def searched(v: Column) -> Column:
-        return let(numbers(v), lambda found: F.when(
-            F.size(found) > 0, let(F.struct(split_lines(v, mode).alias("lines"), found.alias("found")), places)
-        ).otherwise(empty_array("struct<line:int,rule:int>")))
-
-    return let(folded(F.col(text)), searched)
-
-
-def sql_literal(value: str) -> str:
-    """A text as SQL string literal."""
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+            return f"contains(v, {sql_literal(need)})"
+        return "(" + f" {need[0].upper()} ".join(holds(part) for part in need[1]) + ")"
+
+    numbers = []
+    for number, (rule, need) in enumerate(zip(rules, needs), 1):
+        tests = [] if admitted is None else [f"array_contains({admitted}, {number})"]
+        if need is not None:
+            tests.append(holds(need))
+        elif by_line[number - 1]:
+            tests.append(f"{text} rlike {sql_literal('(?m)' + rule_pattern(rule, unicode))}")
+        numbers.append(f"if({' AND '.join(tests)}, {number}, cast(null as int))" if tests else str(number))
+    line_rules = f"from_json('{json.dumps([n for n, flag in enumerate(by_line, 1) if flag])}', 'array<int>')"
+    marks = f"from_json({sql_literal(json.dumps([rarest_literals(need) for need in needs]))}, 'array<array<string>>')"
+
+    # of the rules found in a text, w.found, with its folded lines
+    none = "cast(array() as array<struct<line:int,rule:int>>)"
+    numbered = "if(size(w.lines) > 0, sequence(1, size(w.lines)), null)"
+    hits = (
+        f"transform(filter({numbered}, i -> exists(w.marks[n - 1], x -> contains(get(w.lines, i - 1), x))), "
+        "i -> named_struct('line', cast(i as int), 'rule', cast(n as int)))"
+    )
+    whole = "array(named_struct('line', 0, 'rule', cast(n as int)))"
+    places = f"flatten(transform(w.found, n -> if(array_contains(w.line_rules, n), coalesce({hits}, {none}), {whole})))"
+    cut = split_lines_sql("v") if mode == "universal" else "split(v, '\\n', -1)"
+    file = f"named_struct('lines', {cut}, 'found', found, 'marks', {marks}, 'line_rules', {line_rules})"
+    searched = let_sql("found", f"array_compact(array({', '.join(numbers)}))" if numbers else "cast(array() as array<int>)",
+                       f"if(size(found) > 0, {let_sql('w', file, places)}, {none})")
+    letters = sql_literal("".join(_FOLDED_LETTERS))
+    return F.expr(let_sql("v", f"lower(translate({text}, {letters}, 'iis'))", searched))
 
 
 def extracted(subject: str, rule_number: str, rules: list[Rule], unicode: bool = True) -> Column:
@@ -240,9 +227,11 @@ def extracted(subject: str, rule_number: str, rules: list[Rule], unicode: bool =
     The choice stands in a lambda: the code of many patterns in one method is more than the JVM compiles, and then the
     whole stage would run interpreted instead of this one expression.
     """
-    branches = " ".join(
-        f"WHEN {number} THEN regexp_extract_all(tried.subject, {sql_literal(rule_pattern(rule, unicode))}, 0)"
-        for number, rule in enumerate(rules, 1)
-    )
     pair = f"named_struct('subject', {subject}, 'rule', {rule_number})"
-    return F.expr(let_sql("tried", pair, f"CASE tried.rule {branches} END"))
+    return F.expr(let_sql("tried", pair, by_rule_sql("tried.rule", rules, unicode, lambda p: f"regexp_extract_all(tried.subject, {p}, 0)")))
+
+
+def by_rule_sql(rule_number: str, rules: list[Rule], unicode: bool, body: Callable[[str], str]) -> str:
+    """A choice by rule number; ``body`` gets the pattern of a rule as SQL literal."""
+    branches = (f"WHEN {n} THEN {body(sql_literal(rule_pattern(rule, unicode)))}" for n, rule in enumerate(rules, 1))
+    return f"CASE {rule_number} {' '.join(branches)} END"

@@ -7,7 +7,7 @@ from operator import or_
 
 from pyspark.sql import Column, functions as F
 
-from vigilake.functions.arrays import let, let_sql, running_sql
+from vigilake.functions.arrays import let, let_sql, running_sql, sql_literal
 
 # Line ends of str.splitlines(); \r\n counts once.
 UNIVERSAL_LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
@@ -29,6 +29,13 @@ def split_lines(text: Column, mode: str = "lf") -> Column:
     return let(let(text, parts), lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, 1, F.size(p) - 1)).otherwise(p))
 
 
+def split_lines_sql(text: str) -> str:
+    """Universal lines as SQL text; ``text`` is SQL."""
+    rare = " OR ".join(f"contains(whole, {sql_literal(end)})" for end in _RARE_LINE_ENDS)
+    parts = f"if({rare}, split(whole, {sql_literal(UNIVERSAL_LINE_END)}, -1), split(whole, '\\n', -1))"
+    return let_sql("whole", text, let_sql("cut", parts, "if(element_at(cut, -1) = '', slice(cut, 1, size(cut) - 1), cut)"))
+
+
 def match_spans(text: str, pattern: str, found: str | None = None) -> Column:
     """Every match of a regular expression with where it lies. Arguments are column names.
 
@@ -39,7 +46,11 @@ def match_spans(text: str, pattern: str, found: str | None = None) -> Column:
     without leaving the JVM. The pattern must not match the empty string.
     """
     hits = found or f"regexp_extract_all({text}, {pattern}, 0)"
-    pieces = f"named_struct('found', {hits}, 'gaps', split({text}, {pattern}, -1))"
+    return F.expr(spans_sql(f"named_struct('found', {hits}, 'gaps', split({text}, {pattern}, -1))"))
+
+
+def spans_sql(pieces: str) -> str:
+    """SQL of :func:`match_spans` for a struct of the matches, ``found``, and the pieces between them, ``gaps``."""
     # sizes and line breaks of each gap and the match behind it
     parts = """zip_with(slice(p.gaps, 1, size(p.found)), p.found, (gap, hit) -> named_struct(
         'matched', hit, 'size', length(hit), 'step', length(gap) + length(hit),
@@ -57,7 +68,7 @@ def match_spans(text: str, pattern: str, found: str | None = None) -> Column:
     earlier = f"concat(array(0), {running_sql('transform(spans, z -> z.last)', 'max')})"
     placed = f"""zip_with(spans, slice({earlier}, 1, size(spans)), (z, before) -> named_struct(
         'start', z.start, 'stop', z.stop, 'line', z.line, 'col', z.start - greatest(z.own, before) + 1, 'matched', z.matched))"""
-    return F.expr(let_sql("p", pieces, let_sql("parts", parts, let_sql("spans", spans, placed))))
+    return let_sql("p", pieces, let_sql("parts", parts, let_sql("spans", spans, placed)))
 
 
 def line_of_offset(text: Column, offset: Column) -> Column:

@@ -40,7 +40,7 @@ def _guarded(files: DataFrame, entries: Entries) -> DataFrame:
     return files
 
 
-def _admitted(entries: Entries) -> Column | None:
+def admitted_rules(entries: Entries) -> Column | None:
     """Numbers of the rules whose guard holds for a file; null if no rule has a guard."""
     if all(guard is None for _, guard in entries):
         return None
@@ -60,7 +60,7 @@ def _tried(
     Columns: keys, ``_text``, ``_lines``, ``_line`` (0 for the whole text), ``_subject``, ``_rule``, ``_found`` (may be empty).
     """
     rules = [rule for rule, _ in entries]
-    admitted = _admitted(entries)
+    admitted = admitted_rules(entries)
     base = _guarded(files, entries).select(
         *keys, F.col(text).alias("_text"), *([] if admitted is None else [admitted.alias("_admitted")])
     )
@@ -73,7 +73,7 @@ def _tried(
         extra.append("_ends")
     placed = base.select(
         *held, *extra, F.explode_outer(  # a plain explode is evaluated a second time, in a filter that the optimizer adds
-            places_to_try("_text", "_lines", rules, by_line, unicode, mode, None if admitted is None else "_admitted")
+            places_to_try("_text", rules, by_line, unicode, mode, None if admitted is None else "_admitted")
         ).alias("_p")
     ).where(F.col("_p").isNotNull())
     subject = F.when(F.col("_p.line") == 0, F.col("_text")).otherwise(F.get("_lines", F.col("_p.line") - 1))

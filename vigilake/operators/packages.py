@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vigilake.functions.arrays import running_sql
-from vigilake.functions.scalars import clean_npm_version, lookup
+from vigilake.functions.arrays import let, running_sql
+from vigilake.functions.hits import hit
+from vigilake.functions.scalars import clean_npm_version, lookup, strip_range_signs
 from vigilake.functions.text import split_lines
-from vigilake.functions.versions import version_key
+from vigilake.functions.versions import version_key, version_lt
+from vigilake.rules.config import KNOWN_VULNERABLE
 
 # Manifest names by ecosystem.
 MANIFEST_ECOSYSTEMS = {
@@ -68,6 +72,40 @@ def packages_pinned(files: DataFrame, path: str = "path", text: str = "text") ->
     return _packages(rows, "pypi")
 
 
+def known_vulnerable_hits(name: Column, text: Column) -> Column:
+    """Entries of package.json and pins of requirements.txt below a lowest safe version of the built-in list, as matches.
+
+    The list is a constant of a few entries, so it is looked up in the row: no join and no shuffle.
+    """
+    bounds = F.from_json(F.lit(json.dumps(KNOWN_VULNERABLE)), "map<string,map<string,array<string>>>")
+
+    def checked(rule: str, ecosystem: str, package: Column, version: Column, line: Column | None) -> Column:
+        known = F.try_element_at(F.element_at(bounds, F.lit(ecosystem)), package)
+        below = F.filter(known, lambda b: version_lt(strip_range_signs(version), b))
+        return F.transform(F.slice(below, 1, 1), lambda b: hit(
+            rule, line_start=line, matched_text=F.format_string("%s %s < %s", package, version, b)
+        ))
+
+    def npm_entry(e: Column) -> Column:
+        return let(clean_npm_version(e["value"]), lambda v: F.when(v != "", checked("NPM001", "npm", e["key"], v, None)))
+
+    def pin(raw: Column, i: Column) -> Column:
+        def of_line(line: Column) -> Column:
+            parts = F.split(line, "==", -1)
+            version = F.split_part(F.split_part(F.trim(F.get(parts, F.lit(1))), F.lit(";"), F.lit(1)), F.lit(" "), F.lit(1))
+            pair = F.struct(F.lower(F.trim(F.get(parts, F.lit(0)))).alias("name"), version.alias("version"))
+            return F.when(~line.startswith("#"), let(pair, lambda p: checked("PIP002", "pypi", p["name"], p["version"], i + 1)))
+
+        return F.when(raw.contains("=="), let(F.regexp_replace(raw, r"^\s+|\s+$", ""), of_line))
+
+    parsed = F.from_json(text, ", ".join(f"{s} map<string,string>" for s in NPM_SECTIONS))
+    entries = let(parsed, lambda p: F.flatten(F.array_compact(F.array(*[F.map_entries(p[s]) for s in NPM_SECTIONS]))))
+    return F.flatten(F.array_compact(
+        F.when(F.lower(name) == "package.json", F.transform(entries, npm_entry))
+        .when(F.lower(name) == "requirements.txt", F.transform(split_lines(text), pin))
+    ))
+
+
 def packages_setup_py(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     """Entries of ``install_requires=[...]``."""
     block = F.regexp_extract(F.col(text), INSTALL_REQUIRES, 1)

@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from vigilake.functions.arrays import running_totals
+from vigilake.functions.arrays import let, let_sql, running_sql, sql_literal
+from vigilake.functions.hits import NO_HITS_SQL, hit, hit_sql, no_hits, unfold
 from vigilake.functions.text import match_spans, split_lines
 from vigilake.operators.matching import explode_lines, match_content, match_lines, pack_entries
 from vigilake.rules import PACKS, characters, code, config, prompts, secrets, threats
@@ -43,19 +44,25 @@ def pack_shell(files: DataFrame, keys: Sequence[str] = KEYS, by_extension: bool
 
 
 def regex_literal_risks(files: DataFrame, keys: Sequence[str] = KEYS, text: str = "text") -> DataFrame:
-    """JS106: regular-expression literals with stacked quantifiers or an open quantified group.
+    """JS106: regular-expression literals with stacked quantifiers or an open quantified group."""
+    return unfold(files, keys, regex_literal_hits(F.col(text)))
 
-    A line is cut at slashes that are not escaped; what lies between two cuts is a literal. This takes linear time,
-    whereas the usual nested expression backtracks without bound on long lines.
+
+def regex_literal_hits(text: Column) -> Column:
+    """A line is cut at slashes that are not escaped; what lies between two cuts is a literal.
+
+    This takes linear time, whereas the usual nested expression backtracks without bound on long lines.
     """
     risky = F.lit(r"(?s)([*+?]\\\{.*\\\}|[*+?]{2,}|\\\\?.+\\.*[+*])$")
-    segments = F.split("line", r"(?<!\\)/", -1)
-    inner = F.slice(segments, F.lit(2), F.greatest(F.size(segments) - 2, F.lit(0)))
-    lines = explode_lines(files.where(F.col(text).contains("/")), keys, text, "universal").where(F.col("line").contains("/"))
-    hits = F.filter(inner, lambda s: F.rlike(s, risky))
-    return lines.select(*keys, F.col("line_no").alias("line_start"), F.explode(hits).alias("matched_text")).withColumn(
-        "rule_id", F.lit("JS106")
-    )
+
+    def of_line(line: Column, i: Column) -> Column:
+        def of_pieces(p: Column) -> Column:
+            inner = F.slice(p, F.lit(2), F.greatest(F.size(p) - 2, F.lit(0)))
+            return F.transform(F.filter(inner, lambda x: F.rlike(x, risky)), lambda x: hit("JS106", line_start=i + 1, matched_text=x))
+
+        return F.when(line.contains("/"), let(F.split(line, r"(?<!\\)/", -1), of_pieces)).otherwise(no_hits())
+
+    return F.when(text.contains("/"), F.flatten(F.transform(split_lines(text, "universal"), of_line)))
 
 
 def latest_tag_only() -> Column:
@@ -65,6 +72,12 @@ def latest_tag_only() -> Column:
     ).contains(":")
 
 
+#: The same test on the matches of one_pass.
+LATEST_TAG_ONLY = (
+    "q.info.id <> 'DOCKER001' OR NOT contains(regexp_extract(s.matched, '^FROM\\\\s+([^: ]+)(:latest)?($|\\\\s)', 1), ':')"
+)
+
+
 def pack_dockerfile(files: DataFrame, keys: Sequence[str] = KEYS, text: str = "text", **options) -> DataFrame:
     """All Dockerfile rules: patterns, missing USER and HEALTHCHECK, old base images, sensitive copies."""
     entries = [*pack_entries(config.DOCKERFILE), *pack_entries(config.CONTAINER)]
@@ -74,30 +87,30 @@ def pack_dockerfile(files: DataFrame, keys: Sequence[str] = KEYS, text: str = "t
 
 def dockerfile_checks(files: DataFrame, keys: Sequence[str] = KEYS, text: str = "text") -> DataFrame:
     """The Dockerfile checks that are no single pattern, in one pass over the instructions of a file."""
-    def hit(rule, line, column, matched):
-        return F.struct(
-            F.lit(rule).alias("rule_id"), line.cast("int").alias("line_start"), line.cast("int").alias("line_end"),
-            F.lit(column).cast("int").alias("column_start"), matched.cast("string").alias("matched_text"),
-        )
+    return unfold(files, keys, dockerfile_hits(F.col(text)))
+
+
+def dockerfile_hits(text: Column) -> Column:
+    def placed(rule, line, column, matched):
+        return hit(rule, line_start=line, line_end=line, column_start=column, matched_text=matched)
 
     def absent(pattern, rule):
-        return F.when(~F.rlike(F.col(text), F.lit(pattern)), hit(rule, F.lit(1), None, F.lit(None)))
+        return F.when(~F.rlike(text, F.lit(pattern)), placed(rule, F.lit(1), None, None))
 
     def of_line(raw, i):
         line = F.regexp_replace(raw, r"^\s+|\s+$", "")
         return F.array_compact(F.array(
-            F.when(_copies_sensitive(line), hit("DOCKERFILE_COPYING_SENSITIVE_FILES", i + 1, 1, line)),
+            F.when(_copies_sensitive(line), placed("DOCKERFILE_COPYING_SENSITIVE_FILES", i + 1, F.lit(1), line)),
             F.when(
                 line.startswith("FROM ") & base_image(line).isin(*config.OUTDATED_BASE_IMAGES),
-                hit("DOCKERFILE_VULNERABLE_BASE_IMAGE", i + 1, 1, base_image(line)),
+                placed("DOCKERFILE_VULNERABLE_BASE_IMAGE", i + 1, F.lit(1), base_image(line)),
             ),
         ))
 
     missing = F.array_compact(F.array(
         absent(r"(?m)^USER\s", "DOCKER003"), absent(r"(?i)HEALTHCHECK", "DOCKERFILE_NO_HEALTHCHECK")
     ))
-    lines = F.flatten(F.transform(split_lines(F.col(text), "universal"), of_line))
-    return files.select(*keys, F.explode(F.concat(missing, lines)).alias("_h")).select(*keys, "_h.*")
+    return F.concat(missing, F.flatten(F.transform(split_lines(text, "universal"), of_line)))
 
 
 def missing_directive(files: DataFrame, pattern: str, rule_id: str, keys: Sequence[str] = KEYS, text: str = "text") -> DataFrame:
@@ -197,47 +210,51 @@ def pack_indirect_injection(files: DataFrame, keys: Sequence[str] = KEYS, name:
 
 
 def pack_jailbreak(files: DataFrame, keys: Sequence[str] = KEYS, text: str = "text") -> DataFrame:
-    """Every occurrence of a trigger phrase, overlapping ones too, with its line and column (from 0).
+    """Every occurrence of a trigger phrase, overlapping ones too, with its line and column (from 0)."""
+    return unfold(files, keys, jailbreak_hits(text)).select(*keys, "rule_id", "line_start", "column_start", "matched_text")
 
-    The text is cut in front of each occurrence. A blank put before it keeps the first piece from being empty, which
+
+def jailbreak_hits(text: str = "text") -> Column:
+    """The text is cut in front of each occurrence. A blank put before it keeps the first piece from being empty, which
     a split at a lookahead would drop. Where lines begin is added up once per text.
     """
-    triggers = F.array_compact(F.array(*[
-        F.when(F.col("_low").contains(t.lower()), F.lit(t)) for t in prompts.JAILBREAK_TRIGGERS
-    ]))
-    some = files.select(*keys, F.concat(F.lit(" "), F.lower(text)).alias("_low")).withColumn("_t", triggers).where(F.size("_t") > 0)
-    begins = running_totals("transform(split(_low, '\\n', -1), x -> length(x) + 1)")
-    hits = some.withColumn("_ends", begins).select(*keys, "_low", "_ends", F.explode("_t").alias("trigger"))
-    pieces = F.split("_low", F.concat(F.lit("(?=\\Q"), F.lower("trigger"), F.lit("\\E)")), -1)
-    before = "transform(slice(_pieces, 1, size(_pieces) - 1), p -> {})"
-    lines, stops = running_totals(before.format("regexp_count(p, '\\n')")), running_totals(before.format("length(p)"))
-    placed = hits.select(*keys, "trigger", "_ends", pieces.alias("_pieces")).select(
-        *keys, "_ends", F.lit("JAILBREAK").alias("rule_id"), F.col("trigger").alias("matched_text"),
-        F.explode(F.arrays_zip(lines.alias("line"), stops.alias("stop"))).alias("_n"),
+    triggers = ", ".join(f"if(contains(low, {sql_literal(t.lower())}), {sql_literal(t)}, null)" for t in prompts.JAILBREAK_TRIGGERS)
+    begins = running_sql("transform(split(low, '\\n', -1), x -> length(x) + 1)", "sum")
+    before = "transform(slice(pieces, 1, size(pieces) - 1), p -> {})"
+    lines, stops = (running_sql(before.format(f), "sum") for f in ("regexp_count(p, '\\n')", "length(p)"))
+    column = "stop - if(line > 0, get(begins, line - 1), 1)"
+    one = hit_sql(rule_id="'JAILBREAK'", line_start="line + 1", column_start=column, matched_text="trigger")
+    of_trigger = let_sql(
+        "pieces", "split(low, concat('(?=\\\\Q', lower(trigger), '\\\\E)'), -1)", f"zip_with({lines}, {stops}, (line, stop) -> {one})"
     )
-    column = F.col("_n.stop") - F.when(F.col("_n.line") > 0, F.get("_ends", F.col("_n.line") - 1)).otherwise(1)
-    return placed.select(*keys, "rule_id", (F.col("_n.line") + 1).alias("line_start"), column.cast("int").alias("column_start"), "matched_text")
+    every = let_sql("begins", begins, f"flatten(transform(triggers, trigger -> {of_trigger}))")
+    some = let_sql("triggers", f"array_compact(array({triggers}))", f"if(size(triggers) > 0, {every}, {NO_HITS_SQL})")
+    return F.expr(let_sql("low", f"concat(' ', lower({text}))", some))
 
 
 def hidden_base64_instructions(files: DataFrame, keys: Sequence[str] = KEYS, text: str = "text") -> DataFrame:
     """Base64 runs that decode to text with an instruction word."""
-    run = F.col("encoded")
-    decoded = F.replace(F.make_valid_utf8(F.try_to_binary("encoded", F.lit("base64")).cast("string")), F.lit("�"), F.lit(""))
-    words = any_of([F.lower("decoded").contains(w) for w in prompts.HIDDEN_KEYWORDS])
-    return (
-        files.select(*keys, F.col(text).alias("_t"), F.lit(prompts.BASE64_RUN).alias("_p"))
-        .select(*keys, F.explode(match_spans("_t", "_p")).alias("_s"))
-        .select(*keys, F.col("_s.line").alias("line_start"), F.col("_s.matched").alias("encoded"))
-        # a run of another length has no valid padding
-        .where(F.length(run) % 4 == 0)
-        .select(*keys, "line_start", "encoded", decoded.alias("decoded"))
-        .where(words)
-        .select(
-            *keys, F.lit("HIDDEN_BASE64").alias("rule_id"), "line_start", F.col("encoded").alias("matched_text"), "decoded",
-        )
+    rows = files.select(*keys, F.explode_outer(_hidden_runs(text)).alias("_s")).where(F.col("_s").isNotNull())
+    return rows.select(
+        *keys, F.lit("HIDDEN_BASE64").alias("rule_id"), F.col("_s.line").alias("line_start"),
+        F.col("_s.matched").alias("matched_text"), F.col("_s.decoded").alias("decoded"),
     )
 
 
+def hidden_base64_hits(text: str = "text") -> Column:
+    return F.transform(_hidden_runs(text), lambda s: hit("HIDDEN_BASE64", line_start=s["line"], matched_text=s["matched"]))
+
+
+def _hidden_runs(text: str) -> Column:
+    def decoded(run: Column) -> Column:
+        return F.replace(F.make_valid_utf8(F.try_to_binary(run, F.lit("base64")).cast("string")), F.lit("�"), F.lit(""))
+
+    # a run of another length has no valid padding
+    runs = F.filter(match_spans(text, sql_literal(prompts.BASE64_RUN)), lambda s: F.length(s["matched"]) % 4 == 0)
+    told = F.transform(runs, lambda s: F.struct(s["line"].alias("line"), s["matched"].alias("matched"), decoded(s["matched"]).alias("decoded")))
+    return F.filter(told, lambda s: any_of([F.lower(s["decoded"]).contains(w) for w in prompts.HIDDEN_KEYWORDS]))
+
+
 def encoded_payloads(files: DataFrame, language: str = "python", keys: Sequence[str] = KEYS, by_extension: bool = False, **options) -> DataFrame:
     """Quoted base64 and hex runs per line."""
     return _lines(code.encoded_pack(language), files, keys, by_extension, skip_comments=language == "shell", **options)
