@@ -74,13 +74,13 @@ def _(s, d):
 _REGEX_SEED = ("x = /a++b/; y = /ok/; z = /(a*)*{id}**/", "p = /x+\\/y**/g")
 
 
-_RISKY = r"(?s)([*+?]\\\{.*\\\}|[*+?]{2,}|\\\\?.+\\.*[+*])$"
+RISKY = r"(?s)([*+?]\\\{.*\\\}|[*+?]{2,}|\\\\?.+\\.*[+*])$"
 
 
 @query("regex_literal_risks", f"""SELECT path, line_no AS line_start, piece AS matched_text, 'JS106' AS rule_id FROM (
     SELECT path, line_no, replace(unnest(parts[2:len(parts) - 1]), chr(1), '\\/') AS piece FROM (
       SELECT path, line_no, string_split(replace(line, '\\/', chr(1)), '/') AS parts FROM ({lines_sql(doc_files_sql(_REGEX_SEED))})))
-  WHERE regexp_matches(piece, {lit(_RISKY)})""")
+  WHERE regexp_matches(piece, {lit(RISKY)})""")
 def _(s, d):
     return P.regex_literal_risks(doc_files(s, d, _REGEX_SEED)).select("path", "line_start", "matched_text", "rule_id")
 
@@ -108,15 +108,16 @@ def _(s, d):
     return P.pack_dockerfile(doc_files(s, d, DOCKER_SEED)).select(*MATCH)
 
 
-content_query("pack_npm", P.pack_npm, config.NPM_RULES, (
-    '{{"dependencies": {{"coa": "^2", "b{id}": "latest"}}, "scripts": {{"x": "curl {src}"}}, "api_key": "{src}"}}'.replace("{{", "{").replace("}}", "}"),
-))
-content_query("pack_pip", P.pack_pip, config.PIP_RULES, ("flask>=1.{id}", "#six>=1", "paramiko==2", "git+https://x/{src}", "django *"), {
-    # the same rules without lookahead, which the SQL engine does not have
+# The same rules without lookahead, which the SQL engine does not have.
+PIP_PATTERNS = {
     "PIP001": r"(?m)^([\p{L}\p{M}\p{Nd}_][\p{L}\p{M}\p{Nd}\-_.]+)(?:\s*[><=]=[^,\s]+|\s*\*)",
     "PIP003": r"(?m)^(cryptography|pycrypto|paramiko|fabric|ansible|subprocess32|os-sys|sh|fabric|invoke)",
     "PIP004": r"(?m)^(?:[^#\n].*)?(?:git\+|https?://|git://|svn\+|hg\+)",
-})
+}
+content_query("pack_npm", P.pack_npm, config.NPM_RULES, (
+    '{{"dependencies": {{"coa": "^2", "b{id}": "latest"}}, "scripts": {{"x": "curl {src}"}}, "api_key": "{src}"}}'.replace("{{", "{").replace("}}", "}"),
+))
+content_query("pack_pip", P.pack_pip, config.PIP_RULES, ("flask>=1.{id}", "#six>=1", "paramiko==2", "git+https://x/{src}", "django *"), PIP_PATTERNS)
 content_query("pack_yaml", lambda f: P.pack_yaml(f, by_extension=False), config.YAML_RULES, (
     "securityContext:", "  runAsUser: 0", "  name: {src}", "  privileged: true", "token: 'abcdefgh{id}'", "permissions:", "  contents: write",
     "uses: actions/checkout@v{id}",

@@ -13,7 +13,6 @@ from catalog.scans import FILES, cache_entries
 from vigilake.operators import advisories as A, commits as Cm, filters as Fi, ordering as O, packages as Pk, rollups as R, sets as S
 from vigilake.operators.packs import rules_table
 from vigilake.plans.history import History, history_findings
-from vigilake.plans.scan import scan
 from vigilake.rules.config import KNOWN_VULNERABLE
 from vigilake.rules.secrets import LARGE_BINARY_BYTES
 from vigilake.session import read_table
@@ -477,10 +476,4 @@ def _(s, d):
     return found.select("id", "repo", "rule_id", "severity", F.col("metadata")["matched_text"].alias("matched_text"))
 
 
-@query("scan")
-def _(s, d):
-    rows = scan(doc_files(s, d), created_at=F.to_timestamp(F.lit(AS_OF)))
-    return rows.select("id", "rule_id", "severity", "analyzer", F.col("location.path").alias("path"), F.col("location.line_start").alias("line_start"))
-
-
 __all__ = ["FINDINGS_CTE", "lines_sql", "rules_table"]

@@ -32,6 +32,11 @@ def rule_attributes(packs: Iterable[Pack]) -> Column:
     return F.from_json(F.lit(json.dumps(table)), _ATTRIBUTES)
 
 
+def rule_levels(packs: Iterable[Pack]) -> dict[str, str]:
+    """Severity of every rule."""
+    return {rule.rule_id: rule.severity for pack in packs for rule in pack.rules}
+
+
 def as_findings(
     matches: DataFrame,
     packs: Pack | Iterable[Pack],
