@@ -12,7 +12,7 @@ from vigilake.operators import advisories as A, filters as Fi, packages as Pk
 from vigilake.operators.matching import explode_lines, skip_comment_lines
 from vigilake.operators.packs import missing_directive
 from vigilake.operators.structured import flatten_documents
-from vigilake.session import read_table, scratch_folder
+from vigilake.session import read_table, scratch_folder, spread_rows
 from vigilake.sources import stores, tool_reports as TR
 from vigilake.sources.files import content_hash, decode_text, path_attributes, scan_files
 from vigilake.udf import EXTENSIONS
@@ -254,7 +254,7 @@ def _manifest(s, d, *lines):
             out.append(F.lower(F.translate("p_brand", "#", "-")) if piece == "n" else _version() if piece == "v" else F.lit(piece))
         return F.concat(*out)
 
-    return read_table(s, d, "part").select(
+    return spread_rows(read_table(s, d, "part"), "p_partkey").select(
         F.concat(F.lit("part/"), F.col("p_partkey").cast("string")).alias("path"), F.concat_ws("\n", *map(filled, lines)).alias("text")
     )
 
