@@ -10,6 +10,8 @@ from vigilake.functions.text import split_lines
 from vigilake.session import cut_lineage
 
 PATH = "location.path"
+#: Rows that one task sorts when rows are numbered.
+ROWS_PER_SORT = 200_000
 
 
 def finding_order() -> list[Column]:
@@ -40,16 +42,22 @@ def number_rows(df: DataFrame, by: Sequence[str], order: Sequence[Column], name:
 
     A plain window would put a whole group into one task. Here rows are range-partitioned by the full order, numbered
     inside their partition, and shifted by what the partitions before hold. The ranges are sampled, so the rows are
-    written to the checkpoint folder before they are read twice.
+    written to the checkpoint folder before they are read twice. The number of ranges follows the number of rows, so
+    what a task sorts does not grow with the input.
     """
     # sampling the ranges and dealing the rows both read the input, so it is computed once beforehand
-    placed = cut_lineage(df).repartitionByRange(*[F.col(c) for c in by], *order).withColumn("_part", F.spark_partition_id())
-    local = Window.partitionBy("_part", *by).orderBy(*order)
-    rows = cut_lineage(placed.withColumn("_n", F.row_number().over(local)))
+    held = cut_lineage(df)
+    ranges = max(-(-held.count() // ROWS_PER_SORT), held.sparkSession.sparkContext.defaultParallelism)
+    keys = [*[F.col(c) for c in by], *order]
+    # the high bits are the partition and the low ones the place in it
+    placed = held.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys).withColumn("_id", F.monotonically_increasing_id())
+    rows = cut_lineage(placed.withColumns({
+        "_part": F.shiftright("_id", 33), "_n": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)),
+    }).drop("_id"))
     # one row per partition and group that meet: a number of partitions, not of rows
-    sizes = rows.groupBy(*by, "_part").agg(F.count("*").alias("_size"))
+    sizes = rows.groupBy(*by, "_part").agg(F.count("*").alias("_size"), F.min("_n").alias("_first"))
     earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = sizes.select(*by, "_part", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_shift"))
+    shifts = sizes.select(*by, "_part", (F.coalesce(F.sum("_size").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("_shift"))
     return rows.join(shifts, [*by, "_part"]).withColumn(name, F.col("_n") + F.col("_shift")).drop("_part", "_n", "_shift")
 
 
