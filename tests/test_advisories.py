@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vigilake.operators import advisories as A
+from vigilake.session import join_tasks
 
 PACKAGE = "name string, version string, ecosystem string, file_path string, line_number int"
 ADVISORY = (
@@ -103,3 +104,24 @@ def test_package_of_very_many_versions(spark):
     hits = A.join_advisories(versions, adv)
     assert hits.count() == 60_000
     assert hits.where(F.col("advisory_id").cast("int") != F.floor(F.col("line_number") / 10)).count() == 0
+
+
+def test_advisories_of_one_class(spark):
+    # advisories that affect the same versions are compared once and all come back; the order of ranges and rows does not matter
+    a, b = ("1", "2", None), ("3", "4", None)
+    adv = advisories(
+        spark, ("x", "p", [a, b], ["9"]), ("y", "p", [b, a, a], ["9"]), ("z", "p", [a], []), ("z", "p", [b], ["9", "9"]), ("other", "p", [a], []),
+        (None, "p", [b, a], ["9"]), ("x", "q", [a], []),
+    )
+    got = sorted((r.version, str(r.advisory_id)) for r in A.join_advisories(packages(spark, "1.5", "3.5", "9", "2.5"), adv).collect())
+    same = ["None", "x", "y", "z"]
+    assert got == sorted([("1.5", "other"), *((v, i) for v in ("1.5", "3.5", "9") for i in same)])
+
+
+def test_hits_keep_their_tasks(spark):
+    # few bytes of versions and classes give very many rows, so Spark must not put the tasks together by their bytes
+    adv = advisories(spark, *[(str(i), "p", [("1", "2", None)], []) for i in range(20)])
+    hits = A.join_advisories(packages(spark, *[f"1.{i}" for i in range(200)]), adv)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert f"{join_tasks(spark)}), REPARTITION_BY_NUM" in plan
+    assert hits.count() == 4000
